@@ -119,14 +119,16 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", char
     """
     live = secret_scan(docs, id_col, text_col, owner_col).where("n_live > 0").select(F.col(id_col).alias("_doc"), F.col("live_spans").alias("_spans")).dropDuplicates(["_doc"])
     both = docs.join(live, docs[id_col] == live["_doc"], "left")
-    # The spans are sorted; what one covers twice is cut once, from the last to the first.
+    # Forward over the sorted spans: what lies before a span is copied, overlapping spans share a mark.
+    text = F.col(text_col)
     cut = F.aggregate(
-        F.reverse("_spans"), F.struct(F.col(text_col).alias("t"), F.char_length(text_col).alias("from")),
+        "_spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
         lambda acc, s: F.struct(
-            F.concat(F.substring(acc["t"], F.lit(1), s["start"]), F.lit(mark), acc["t"].substr(F.least(s["end"], acc["from"]) + 1, F.char_length(acc["t"]))).alias("t"),
-            s["start"].alias("from"),
+            F.when(s["start"] >= acc["at"], F.concat(acc["out"], text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
+            F.greatest(acc["at"], s["end"]).alias("at"),
         ),
-    )["t"]
+        lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.char_length(text))),
+    )
     changed = F.col("_doc").isNotNull()
     out = both.withColumn("_text", F.when(changed, cut).otherwise(F.col(text_col)))
     return out.select(*[F.col("_text").alias(text_col) if c == text_col else (F.when(changed, F.char_length("_text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == chars_col else F.col(c)) for c in docs.columns])
