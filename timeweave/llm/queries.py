@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timeweave.llm import exact_dedup, language_id, packing, secret_scan
+from timeweave.llm import exact_dedup, knn, language_id, packing, secret_scan, warc
 from timeweave.llm.common import id_crc
 
 
@@ -21,6 +21,12 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WARC records of every page, read back and put in global order."""
+    found = warc.warc_index(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 4096 tokens."""
     return packing.best_fit_packing(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
@@ -38,15 +44,27 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(_table(spark, sf_dir, "documents"))
 
 
+def op8_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 highest inner products of every 50th vector with all others."""
+    vectors = knn.quantise(_table(spark, sf_dir, "embeddings"))
+    return knn.top_k(vectors.where(F.col("id") % 50 == 0), vectors, 5)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact copies of every document; the largest doc_id stays."""
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"), keep="largest")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_index": op1_warc_index,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_language_id": op3_language_id,
     "op7_secret_scan": op7_secret_scan,
+    "op8_voronoi_knn": op8_voronoi_knn,
     "op9_exact_dedup": op9_exact_dedup,
 }
-ORACLE_SQL: dict[str, str] = {"op9_exact_dedup": exact_dedup.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc_index": warc.ORACLE_SQL,
+    "op8_voronoi_knn": knn.ORACLE_SQL,
+    "op9_exact_dedup": exact_dedup.ORACLE_SQL,
+}
