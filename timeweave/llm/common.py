@@ -62,17 +62,31 @@ def id_crc(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary"))
 
 
-def per_group(rows: DataFrame, keys: Sequence[str], spread: str, values: Mapping[str, tuple[str, str]], salts: int | None = None) -> DataFrame:
+def _salted(rows: DataFrame, spread: str) -> DataFrame:
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(max(16, partitions(rows.sparkSession)))).cast("int"))
+
+
+def attach(rows: DataFrame, table: DataFrame, keys: Sequence[str], spread: str, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``table``, which has one row a key.
+
+    A key that a third of all rows have is spread by the hash of ``spread``: the
+    table's row is copied to the sub-groups that exist, and rows meet it there.
+    """
+    salted = _salted(rows, spread)
+    copies = salted.select(*keys, "_salt").distinct().join(table, list(keys))
+    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
+def per_group(rows: DataFrame, keys: Sequence[str], spread: str, values: Mapping[str, tuple[str, str]]) -> DataFrame:
     """``rows`` with aggregates of their group, for groups of any size.
 
     ``values`` maps an output name to ("min" | "max" | "sum" | "count", column).
-    The rows of a group are spread over ``salts`` sub-groups by the hash of
-    ``spread``: they are counted there with map-side combine, the sub-groups'
-    results are combined (``salts`` rows a group at most) and go back to the
+    The rows of a group are spread over sub-groups by the hash of ``spread``:
+    they are aggregated there with map-side combine, the sub-groups' results are
+    combined (as many as there are partitions at most) and go back to the
     sub-groups. No task gets a group as a whole. Keys mustn't be null.
     """
-    salts = salts or max(16, partitions(rows.sparkSession))
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    salted = _salted(rows, spread)
     first = {"count": lambda c: F.count(F.lit(1)), "sum": F.sum, "min": F.min, "max": F.max}
     second = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
     heads = salted.groupBy(*keys, "_salt").agg(*[first[kind](column).alias(name) for name, (kind, column) in values.items()])
