@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timeweave.llm import ctw, exact_dedup, jaccard_join, knn, language_id, packing, secret_scan, warc
+from timeweave.llm import ctw, exact_dedup, jaccard_join, knn, language_id, packing, secret_scan, toxicity, warc
 from timeweave.llm.common import id_crc
 
 
@@ -39,6 +39,13 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", id_crc(F.col("doc_id")) % 4 == 2)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    found = toxicity.score_documents(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels")))
+    return found.withColumn("held_out", id_crc(F.col("doc_id")) % 3 == 1)
+
+
 def op5_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """log10 probability of every document under a context-tree mixture."""
     return ctw.score_documents(_table(spark, sf_dir, "documents"))
@@ -69,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_index": op1_warc_index,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_language_id": op3_language_id,
+    "op4_toxicity": op4_toxicity,
     "op5_context_tree_weighting": op5_context_tree_weighting,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_secret_scan": op7_secret_scan,
