@@ -18,3 +18,21 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, unless their Python finds it by path."""
+    import os
+    import shutil
+    import tempfile
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    if str(root) in os.environ.get("PYTHONPATH", "").split(":") or Path.cwd() == root:
+        return
+    context = spark.sparkContext
+    if not getattr(context, "_timeweave_shipped", False):
+        into = tempfile.mkdtemp()
+        shutil.copytree(root / "timeweave", f"{into}/src/timeweave", ignore=shutil.ignore_patterns("__pycache__"))
+        context.addPyFile(shutil.make_archive(f"{into}/timeweave-package", "zip", f"{into}/src"))
+        context._timeweave_shipped = True
