@@ -13,6 +13,7 @@ from __future__ import annotations
 import bisect
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from timeweave.llm.common import materialize, partitions
 
-#: Distinct words whose ids a worker remembers.
-CACHE_WORDS = 300_000
+#: Distinct words whose ids a worker remembers, over all its tasks.
+CACHE_WORDS = 800_000
 
 
 class WordEncoder:
@@ -53,6 +54,12 @@ class WordEncoder:
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> WordEncoder:
+    """The worker's encoder, with the words that its earlier tasks met."""
+    return WordEncoder(path)
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of each text and an end id, cut only beyond ``capacity``."""
     columns = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
@@ -62,7 +69,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = WordEncoder(tokenizer_path)
+        encoder = encoder_of(tokenizer_path)
         step = 4 * capacity
         for batch in batches:
             # A batch of many long texts is encoded in parts, which bounds the ids held at once.
