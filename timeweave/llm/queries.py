@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timeweave.llm import ctw, exact_dedup, jaccard_join, knn, language_id, packing, secret_scan, toxicity, warc
+from timeweave.llm import bpe, ctw, exact_dedup, jaccard_join, knn, language_id, packing, secret_scan, toxicity, warc
 from timeweave.llm.common import id_crc
 
 
@@ -72,6 +72,13 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and their decoding."""
+    import public_tokenizers
+
+    return bpe.encode(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_index": op1_warc_index,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -82,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_secret_scan": op7_secret_scan,
     "op8_voronoi_knn": op8_voronoi_knn,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_warc_index": warc.ORACLE_SQL,
