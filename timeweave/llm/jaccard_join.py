@@ -10,7 +10,8 @@ A document's set has the 64-bit hashes of its 5-word shingles.
    hashes, with shingles that a sample shows to be frequent last. A list whose
    entries are of one star is skipped whole; in the others, pairs of a star are
    skipped, as are blocks of sizes and positions that can't reach the overlap.
-   What is left are pairs of stars.
+   Sets that link share not one but many lists; pairs of stars that share fewer
+   are skipped too.
 4. Their centres are compared. A member's answer is derived from its centre's:
    the Jaccard distance is a metric, so members a, b of centres A, B can link
    only if d(A, B) <= 0.2 + d(a, A) + d(b, B). Only those members are compared,
@@ -118,7 +119,7 @@ def compare(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
     asked = dealt.select(F.col("a").alias("doc_id")).union(dealt.select(F.col("b").alias("doc_id"))).select(bucket.alias("_bucket")).distinct()
     near = docs.withColumn("_bucket", bucket).join(F.broadcast(asked), "_bucket", "left_semi").drop("_bucket")
-    members = attach(dealt.withColumnRenamed("b", "doc_id"), near, ["doc_id"], "a").select("a", "part", F.col("doc_id").alias("b"), "text")
+    members = dealt.withColumnRenamed("b", "doc_id").join(near, "doc_id").select("a", "part", F.col("doc_id").alias("b"), "text")
     anchors = dealt.select(F.col("a").alias("doc_id"), "part").distinct().join(near, "doc_id").select(F.col("doc_id").alias("a"), "part", F.lit(None).cast("long").alias("b"), "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -236,27 +237,42 @@ def index_lists(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     return packed.mapInPandas(gather, "h long, ka long, n long, at long")
 
 
-def list_pairs(stars: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> set[tuple[int, int]]:
-    """Pairs of different stars in a list that size and position allow to link.
+def least_shared(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """How many early index lists sets of these sizes share at least if they link.
+
+    With an overlap of o, a set has n - o elements of its own, so the j-th common
+    element is at place j + n - o at the latest, and those that this leaves
+    within both prefixes are in both sets' lists. Half of them are asked for: the
+    j-th then has n + 1 - o - j elements after it, which ``list_pairs`` looks at.
+    """
+    o = (4 * (na + nb) + 8) // 9
+    length = lambda n: n - (4 * n + 4) // 5 + 1
+    return (np.maximum(1, np.minimum(length(na) - (na - o), length(nb) - (nb - o))) + 1) // 2
+
+
+def list_pairs(stars: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, least_shared) of entries of different stars in a list that size and position allow to link.
 
     Entries go by size; a block of sizes from s to 1.25 s is compared with s, the
     rest is skipped.
     """
     order = np.argsort(sizes, kind="stable")
     stars, sizes, places = stars[order], sizes[order], places[order]
-    rest, out = sizes - places, set()
+    rest, ends, out = sizes - places, np.searchsorted(sizes, sizes * 5 // 4, side="right"), []
     for i in range(len(stars) - 1):
-        end = int(np.searchsorted(sizes, sizes[i] * 5 // 4, side="right"))
-        if end > i + 1:
-            need = (4 * (sizes[i] + sizes[i + 1 : end]) + 8) // 9
-            ok = (np.minimum(rest[i], rest[i + 1 : end]) >= need) & (stars[i + 1 : end] != stars[i])
+        j = slice(i + 1, int(ends[i]))
+        if j.stop > j.start:
+            least = least_shared(sizes[i], sizes[j])
+            # From the j-th common element on, j = least at most, the overlap less j - 1 has to fit.
+            ok = (np.minimum(rest[i], rest[j]) + least - 1 >= (4 * (sizes[i] + sizes[j]) + 8) // 9) & (stars[j] != stars[i])
             if ok.any():
-                out.update((min(stars[i], x), max(stars[i], x)) for x in np.unique(stars[i + 1 : end][ok]).tolist())
+                other = stars[j][ok]
+                out.append((np.minimum(other, stars[i]), np.maximum(other, stars[i]), least[ok]))
     return out
 
 
 def candidate_stars(lists: DataFrame, stars: DataFrame) -> DataFrame:
-    """(a, b): pairs of star centres that some members' index lists bring together."""
+    """(a, b): pairs of star centres whose members share index lists enough to link."""
     entries = attach(lists, stars.select("ka", "center"), ["ka"], "h")
     entries = materialize(entries.groupBy("h", "center", "n").agg(F.min("at").alias("at")), "lists")
     mixed = entries.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("center").alias("lo"), F.max("center").alias("hi")).where("lo <> hi")
@@ -266,13 +282,28 @@ def candidate_stars(lists: DataFrame, stars: DataFrame) -> DataFrame:
     blocks = rows.groupBy("h", "i", "j").agg(F.collect_list("center").alias("c"), F.collect_list("n").alias("n"), F.collect_list("at").alias("at"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found: set[tuple[int, int]] = set()
-            for c, n, at in zip(batch["c"], batch["n"], batch["at"]):
-                found |= list_pairs(np.asarray(c), np.asarray(n), np.asarray(at))
-            yield pd.DataFrame({"a": np.array([x[0] for x in found], dtype=np.int64), "b": np.array([x[1] for x in found], dtype=np.int64)})
+        found: list[pd.DataFrame] = []
+
+        def counted() -> pd.DataFrame:
+            return pd.concat(found).groupby(["a", "b"], as_index=False).agg(shared=("shared", "sum"), least=("least", "min"))
 
-    return blocks.mapInPandas(run, "a long, b long").distinct()
+        held = 0
+        for batch in batches:
+            parts = []
+            for number, (c, n, at) in enumerate(zip(batch["c"], batch["n"], batch["at"])):
+                parts += [(*x, np.full(len(x[0]), number)) for x in list_pairs(np.asarray(c), np.asarray(n), np.asarray(at))]
+            if parts:
+                a, b, least, number = (np.concatenate(x) for x in zip(*parts))
+                one = pd.DataFrame({"a": a, "b": b, "least": least, "number": number}).groupby(["number", "a", "b"], as_index=False)["least"].min()
+                found.append(one.groupby(["a", "b"], as_index=False).agg(shared=("number", "size"), least=("least", "min")))
+                held += len(found[-1])
+                if held > 1_000_000:
+                    found = [counted()]
+                    held = 0
+        yield counted() if found else pd.DataFrame({"a": [], "b": [], "shared": [], "least": []}).astype("int64")
+
+    pairs = blocks.mapInPandas(run, "a long, b long, shared long, least long").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("least").alias("least"))
+    return pairs.where("shared >= least").select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
