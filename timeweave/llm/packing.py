@@ -11,6 +11,7 @@ pieces of each length and look their places up.
 from __future__ import annotations
 
 import bisect
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,35 +24,65 @@ from pyspark.sql import functions as F
 from timeweave.llm.common import materialize, partitions
 
 #: Distinct words whose ids a worker remembers, over all its tasks.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 1_200_000
 
 
 class WordEncoder:
-    """Ids of whole texts from cached ids of their words.
+    """Ids of whole texts from remembered ids of their words.
 
-    The tokenizer drops white space before its merges, so a text's ids are those
-    of its words, put together. Words are cut at ASCII white space only, a subset
-    of what the tokenizer itself cuts at.
+    The tokenizer lower-cases, drops white space before its merges and cuts
+    between letters and punctuation, so a text's ids are those of its words, put
+    together, and a word's those of its letters and of the punctuation after
+    them. Words are cut at ASCII white space only, a subset of what the tokenizer
+    itself cuts at, and A-Z go to lower case first.
     """
 
+    TAIL = b".,;:!?%$&*#|-"
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [text.encode("utf-8", "replace").split() for text in texts]
+    def _learn(self, words: list[bytes]) -> None:
+        """Remember the ids of words that aren't known."""
+        known, cut, new = self.known, [], set()
+        for word in words:
+            if word not in known:
+                core = word.rstrip(self.TAIL)
+                if core and len(core) < len(word) and core.decode().isalpha():
+                    cut.append((word, core))
+                    new.update(x for x in (core, word[len(core) :]) if x not in known)
+                else:
+                    new.add(word)
+        letters = [word for word in new if word.decode().isalpha()]
+        if letters:
+            # Each is a word of the tokenizer, so one call does for all, unless lower case adds a mark to one.
+            found = self.tokenizer.encode(b" ".join(letters).decode(), add_special_tokens=False)
+            ids: list[list[int]] = [[] for _ in letters]
+            if (found.word_ids or [-1])[-1] == len(letters) - 1:
+                for number, x in zip(found.word_ids, found.ids):
+                    ids[number].append(x)
+                known.update((word, struct.pack(f"<{len(x)}I", *x)) for word, x in zip(letters, ids))
+        order = [word for word in new if word not in known]
+        for word, x in zip(order, self.tokenizer.encode_batch([word.decode() for word in order], add_special_tokens=False)):
+            known[word] = struct.pack(f"<{len(x.ids)}I", *x.ids)
+        for word, core in cut:
+            known[word] = known[core] + known[word[len(core) :]]
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a text as little-endian unsigned 32-bit integers."""
+        raw = text.encode("utf-8", "replace")
+        words = (raw if b"<|" in raw else raw.lower()).split()  # a special token's name is matched as it is written
         known = self.known
         if len(known) > CACHE_WORDS:
             known.clear()
-        new = list({word for words in split for word in words if word not in known})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            found = self.tokenizer.encode_batch([word.decode() for word in part], add_special_tokens=False)
-            known.update((word, np.asarray(x.ids, dtype="<u4").tobytes()) for word, x in zip(part, found))
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        try:
+            return b"".join([known[w] for w in words])
+        except KeyError:
+            self._learn(words)
+            return b"".join([known[w] for w in words])
 
 
 @lru_cache(maxsize=2)
@@ -76,8 +107,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
             for at in range(0, len(batch), 1000):
                 part = batch.iloc[at : at + 1000]
                 out = []
-                for doc_id, ids in zip(part["doc_id"], encoder.encode(list(part["text"]))):
-                    ids += end
+                for doc_id, text in zip(part["doc_id"], part["text"]):
+                    ids = encoder.encode(text) + end
                     for piece, start in enumerate(range(0, len(ids), step)):
                         own = ids[start : start + step]
                         out.append((doc_id, piece, start // 4, len(own) // 4, zlib.crc32(own), *([own] if with_ids else [])))
