@@ -19,6 +19,7 @@ documents.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -350,14 +351,22 @@ def word_scores(vocabulary: DataFrame, scores: DataFrame, broadcast_pairs: int =
 
     def keys_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch.iloc[at : at + 1000]
-                number, key, place = context_keys(list(part["word"]))
-                for k in classes:
-                    yield pd.DataFrame({"word": part["word"].to_numpy()[number], "c": part["c"].to_numpy()[number], "k": np.int32(k), "key": in_class(key, place, k).view(np.int64)})
-
-    met = words.mapInPandas(keys_of, "word binary, c long, k int, key long").join(scores, "key")
-    return met.groupBy("word", "c").agg(*[F.sum(F.when(F.col("k") == k, F.col("logp"))).alias(f"l{k}") for k in classes]).select("word", "c", F.array(*[f"l{k}" for k in classes]).alias("logp"))
+            part, held = [], 0
+            for word in [*batch["word"], None]:
+                if part and (word is None or held + len(word) > 200_000):
+                    names = np.array([hashlib.md5(w).digest() for w in part], dtype=object)
+                    number, key, place = context_keys(part)
+                    for k in classes:
+                        yield pd.DataFrame({"name": names[number], "k": np.int32(k), "key": in_class(key, place, k).view(np.int64)})
+                    part, held = [], 0
+                if word is not None:
+                    part.append(word)
+                    held += len(word)
+
+    met = words.mapInPandas(keys_of, "name binary, k int, key long").join(scores, "key")
+    sums = met.groupBy("name").agg(*[F.sum(F.when(F.col("k") == k, F.col("logp"))).alias(f"l{k}") for k in classes])
+    named = words.withColumn("name", F.unhex(F.md5("word")))
+    return named.join(sums, "name").select("word", "c", F.array(*[f"l{k}" for k in classes]).alias("logp"))
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
