@@ -344,7 +344,10 @@ def word_scores(vocabulary: DataFrame, scores: DataFrame, broadcast_pairs: int =
             for batch in batches:
                 if len(batch):
                     number, key, place = context_keys(list(batch["word"]))
-                    found = [np.bincount(number, weights=values[np.searchsorted(keys, in_class(key, place, k).view(np.int64))], minlength=len(batch)) for k in classes]
+                    # Sorted distinct keys are looked up: words share most of theirs.
+                    asked, where = np.unique(np.stack([in_class(key, place, k).view(np.int64) for k in classes]), return_inverse=True)
+                    logp = values[np.searchsorted(keys, asked)][where.reshape(len(classes), -1)]
+                    found = [np.bincount(number, weights=logp[k], minlength=len(batch)) for k in classes]
                     yield batch.assign(logp=list(np.stack(found, axis=1)))
 
         return words.mapInPandas(run, "word binary, c long, logp array<double>")
