@@ -95,7 +95,7 @@ def test_lists_bring_every_link_together(seed):
     shared, least = 0, None
     for x in set(parts[0].tolist()) & set(parts[1].tolist()):
         places = np.array([p.tolist().index(x) for p in parts])
-        for found in list_pairs(np.array([1, 2]), np.array([len(a), len(b)]), places):
+        for found in list_pairs(np.array([1, 2]), np.array([1, 2]), np.array([len(a), len(b)]), places):
             shared, least = shared + 1, int(found[2][0])
     assert least is not None and shared >= least
 

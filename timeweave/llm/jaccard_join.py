@@ -11,7 +11,8 @@ A document's set has the 64-bit hashes of its 5-word shingles.
    entries are of one star is skipped whole; in the others, pairs of a star are
    skipped, as are blocks of sizes and positions that can't reach the overlap.
    Sets that link share not one but many lists; pairs of stars that share fewer
-   are skipped too.
+   are skipped too. Neighbours in the lists are compared first: they connect most
+   of a large group, and only pairs of stars of different components go on.
 4. Their centres are compared. A member's answer is derived from its centre's:
    the Jaccard distance is a metric, so members a, b of centres A, B can link
    only if d(A, B) <= 0.2 + d(a, A) + d(b, B). Only those members are compared,
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from timeweave.llm.common import attach, materialize, partitions, per_group
@@ -250,36 +251,62 @@ def least_shared(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     return (np.maximum(1, np.minimum(length(na) - (na - o), length(nb) - (nb - o))) + 1) // 2
 
 
-def list_pairs(stars: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(a, b, least_shared) of entries of different stars in a list that size and position allow to link.
+def list_pairs(stars: np.ndarray, groups: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, least_shared) of entries of stars of different groups in a list that size and position allow to link.
 
     Entries go by size; a block of sizes from s to 1.25 s is compared with s, the
     rest is skipped.
     """
     order = np.argsort(sizes, kind="stable")
-    stars, sizes, places = stars[order], sizes[order], places[order]
+    stars, groups, sizes, places = stars[order], groups[order], sizes[order], places[order]
     rest, ends, out = sizes - places, np.searchsorted(sizes, sizes * 5 // 4, side="right"), []
     for i in range(len(stars) - 1):
         j = slice(i + 1, int(ends[i]))
         if j.stop > j.start:
             least = least_shared(sizes[i], sizes[j])
             # From the j-th common element on, j = least at most, the overlap less j - 1 has to fit.
-            ok = (np.minimum(rest[i], rest[j]) + least - 1 >= (4 * (sizes[i] + sizes[j]) + 8) // 9) & (stars[j] != stars[i])
+            ok = (np.minimum(rest[i], rest[j]) + least - 1 >= (4 * (sizes[i] + sizes[j]) + 8) // 9) & (groups[j] != groups[i])
             if ok.any():
                 other = stars[j][ok]
                 out.append((np.minimum(other, stars[i]), np.maximum(other, stars[i]), least[ok]))
     return out
 
 
-def candidate_stars(lists: DataFrame, stars: DataFrame) -> DataFrame:
-    """(a, b): pairs of star centres whose members share index lists enough to link."""
+def star_lists(lists: DataFrame, stars: DataFrame) -> DataFrame:
+    """(h, center, n, at): the index lists with the stars of their entries, each size of a star once."""
     entries = attach(lists, stars.select("ka", "center"), ["ka"], "h")
-    entries = materialize(entries.groupBy("h", "center", "n").agg(F.min("at").alias("at")), "lists")
-    mixed = entries.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("center").alias("lo"), F.max("center").alias("hi")).where("lo <> hi")
-    nb = F.ceil(F.col("m") / LIST_BLOCK).cast("int")
-    rows = attach(entries, mixed.select("h", "m"), ["h"], "center").withColumn("nb", nb).withColumn("own", F.pmod(F.xxhash64("center", "n"), F.col("nb")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "center", "n", "at")
-    blocks = rows.groupBy("h", "i", "j").agg(F.collect_list("center").alias("c"), F.collect_list("n").alias("n"), F.collect_list("at").alias("at"))
+    return materialize(entries.groupBy("h", "center", "n").agg(F.min("at").alias("at")), "lists")
+
+
+def _in_blocks(entries: DataFrame, label: str) -> DataFrame:
+    """Entries of lists with more than one ``label``, long lists dealt to blocks."""
+    mixed = entries.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min(label).alias("lo"), F.max(label).alias("hi")).where("lo <> hi")
+    rows = attach(entries, mixed.select("h", "m"), ["h"], "center").withColumn("nb", F.ceil(F.col("m") / LIST_BLOCK).cast("int"))
+    return rows.withColumn("own", F.pmod(F.xxhash64("center", "n"), F.col("nb")).cast("int"))
+
+
+def neighbours(entries: DataFrame) -> DataFrame:
+    """(a, b): stars that are next to each other, or to the first, in several lists.
+
+    These are few, as many as entries at most, and find most links of large
+    groups; the pairs of stars that they connect needn't be looked at again.
+    """
+    w = Window.partitionBy("h", "own").orderBy("center", "n")
+    near = _in_blocks(entries, "center").select("center", "n", F.lag("center").over(w).alias("before"), F.lag("n").over(w).alias("nb"), F.first("center").over(w).alias("head"), F.first("n").over(w).alias("nh"))
+    pairs = near.select(F.col("before").alias("a"), F.col("center").alias("b"), "n", F.col("nb").alias("o")).union(near.select(F.col("head").alias("a"), F.col("center").alias("b"), "n", F.col("nh").alias("o")))
+    fits = "a <> b AND 5 * n >= 4 * o AND 5 * o >= 4 * n"
+    counted = pairs.where(fits).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("n", "o")).alias("n"))
+    return counted.where("shared >= 2 + n DIV 50").select("a", "b")
+
+
+def candidate_stars(entries: DataFrame) -> DataFrame:
+    """(a, b): pairs of stars, not connected yet, whose members share index lists enough to link.
+
+    ``entries`` have the component that each star is known to be in.
+    """
+    rows = _in_blocks(entries, "component").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    rows = rows.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "center", "component", "n", "at")
+    blocks = rows.groupBy("h", "i", "j").agg(*[F.collect_list(x).alias(y) for x, y in (("center", "c"), ("component", "g"), ("n", "n"), ("at", "at"))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: list[pd.DataFrame] = []
@@ -290,8 +317,8 @@ def candidate_stars(lists: DataFrame, stars: DataFrame) -> DataFrame:
         held = 0
         for batch in batches:
             parts = []
-            for number, (c, n, at) in enumerate(zip(batch["c"], batch["n"], batch["at"])):
-                parts += [(*x, np.full(len(x[0]), number)) for x in list_pairs(np.asarray(c), np.asarray(n), np.asarray(at))]
+            for number, (c, g, n, at) in enumerate(zip(batch["c"], batch["g"], batch["n"], batch["at"])):
+                parts += [(*x, np.full(len(x[0]), number)) for x in list_pairs(np.asarray(c), np.asarray(g), np.asarray(n), np.asarray(at))]
             if parts:
                 a, b, least, number = (np.concatenate(x) for x in zip(*parts))
                 one = pd.DataFrame({"a": a, "b": b, "least": least, "number": number}).groupby(["number", "a", "b"], as_index=False)["least"].min()
@@ -328,9 +355,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     stars = reps.join(members, "doc_id", "left").select("doc_id", "ka", "n", F.coalesce("_center", "doc_id").alias("center"), F.coalesce("_far", F.lit(0.0)).alias("far"))
     stars = materialize(stars, "stars")
 
-    pairs = materialize(candidate_stars(index_lists(texts, frequent_shingles(texts)), stars), "candidates")
-    met = compare(texts, pairs)
-    links = met.where(_LINKED).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    entries = star_lists(index_lists(texts, frequent_shingles(texts)), stars)
+    first = compare(texts, neighbours(entries))
+    links = first.where(_LINKED).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    components = materialize(connected_components(links), "components")
+    grouped = attach(entries, components.withColumnRenamed("node", "center"), ["center"], "h", "left").withColumn("component", F.coalesce("component", "center"))
+    pairs = candidate_stars(grouped).join(first.select("a", "b"), ["a", "b"], "left_anti")
+    second = compare(texts, pairs)
+    met = first.unionByName(second)
+    links = materialize(met.where(_LINKED).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
     components = materialize(connected_components(links), "components")
 
     open_pairs = met.where(f"NOT ({_LINKED})").select("a", "b", F.expr(_DISTANCE).alias("d"))
