@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 
@@ -39,8 +40,9 @@ CLASSES, CLASS_SAMPLE = 4, 2000
 SPLIT = 2
 BLANK, END = 0x20, b"\n"
 CHUNK_BYTES = 8 << 20
-#: Distinct (context, byte) pairs up to which their probabilities go to all executors; beyond, words are joined with them.
-BROADCAST_PAIRS = 5_000_000
+#: Bytes of words whose pairs are asked for together.
+BLOCK_BYTES = 500_000
+_BLOBS = "part int, block binary, data binary"
 _U = np.uint64
 
 
@@ -238,18 +240,19 @@ def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return distinct, np.bincount(where, weights=count, minlength=len(distinct)).astype(np.int64)
 
 
-def _by_part(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list[bytes]]]:
-    """Blobs of each part; batches are sorted by part."""
-    part, blobs = None, []
+def _grouped(batches: Iterator[pd.DataFrame], key: str) -> Iterator[tuple[object, list[tuple]]]:
+    """Rows (part, block, data) of each value of ``key``; batches are sorted by it."""
+    value, rows = None, []
     for batch in batches:
-        for p, data in zip(batch["part"], batch["data"]):
-            if p != part and blobs:
-                yield part, blobs
-                blobs = []
-            part = p
-            blobs.append(data)
-    if blobs:
-        yield part, blobs
+        for row in zip(batch["part"], batch["block"], batch["data"]):
+            own = row[0] if key == "part" else row[1]
+            if own != value and rows:
+                yield value, rows
+                rows = []
+            value = own
+            rows.append(row)
+    if rows:
+        yield value, rows
 
 
 def class_columns(vocabulary: DataFrame) -> list[str]:
@@ -257,42 +260,60 @@ def class_columns(vocabulary: DataFrame) -> list[str]:
     return [c for c in vocabulary.columns if c != "word"]
 
 
+def _part_of(key: np.ndarray, parts: int) -> np.ndarray:
+    """Which part a key's two last context bytes are dealt to."""
+    return (((key >> _U(8)) & _U(0xFFFF)) * _U(0x9E3779B1) >> _U(7)) % _U(parts)
+
+
+def _block_keys(words: list[bytes], classes: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block of words: its distinct keys by part, then key; their parts; where each (class, position) finds its key; word numbers."""
+    number, key, place = context_keys(words)
+    distinct, where = np.unique(np.stack([in_class(key, place, k) for k in range(classes)]), return_inverse=True)
+    part = _part_of(distinct, parts)
+    order = np.argsort(part, kind="stable")
+    at = np.empty(len(order), dtype=np.int64)
+    at[order] = np.arange(len(order))
+    return distinct[order], part[order], at[where.reshape(classes, -1)], number
+
+
 def context_counts(vocabulary: DataFrame) -> DataFrame:
-    """(part, data): packed counts of the (context, byte) pairs of distinct words, by their two last context bytes.
+    """(part, block, data): packed counts of the (context, byte) pairs of blocks of words, by their two last context bytes.
 
-    Pairs that only words without training count have are there with count 0.
+    Pairs that only words without training count have are there with count 0. A
+    block's words are in its row of part -1.
     """
-    n = partitions(vocabulary.sparkSession)
-    by_class = class_columns(vocabulary)
+    n, by_class = partitions(vocabulary.sparkSession), class_columns(vocabulary)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, counts, held = [], [], 0
-
-        def flush() -> pd.DataFrame:
-            key, where = np.unique(np.concatenate(keys), return_inverse=True)
-            count = np.bincount(where, weights=np.concatenate(counts), minlength=len(key)).astype(np.int64)
-            # The blank that starts a word is no context byte of those that deal.
-            part = (((key >> _U(8)) & _U(0xFFFF)) * _U(0x9E3779B1) >> _U(7)) % _U(n)
-            order = np.argsort(part, kind="stable")
-            key, count, part = key[order], count[order], part[order]
+        def block(rows: pd.DataFrame) -> pd.DataFrame:
+            words, counts = list(rows["word"]), rows[by_class].to_numpy(np.int64)
+            key, part, at, number = _block_keys(words, len(by_class), n)
+            count = np.zeros(len(key))
+            for k in range(len(by_class)):
+                count += np.bincount(at[k], weights=counts[number, k], minlength=len(key))
             starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            return pd.DataFrame({"part": part[starts].astype(np.int32), "data": [_pack(a, b) for a, b in zip(np.split(key, starts[1:]), np.split(count, starts[1:]))]})
+            blobs = [_pack(a, b) for a, b in zip(np.split(key, starts[1:]), np.split(count, starts[1:]))]
+            own = zstandard.compress(pickle.dumps((words, counts.sum(axis=1))), 1)
+            name = hashlib.md5(words[0]).digest()
+            return pd.DataFrame({"part": np.r_[-1, part[starts].astype(np.int64)].astype(np.int32), "block": [name] * (len(blobs) + 1), "data": [own, *blobs]})
 
+        held, size = [], 0
         for batch in batches:
-            if len(batch):
-                number, key, place = context_keys(list(batch["word"]))
-                for k, column in enumerate(by_class):
-                    keys.append(in_class(key, place, k))
-                    counts.append(batch[column].to_numpy(np.float64)[number])
-                    held += len(key)
-                if held > 3_000_000:
-                    yield flush()
-                    keys, counts, held = [], [], 0
-        if keys:
-            yield flush()
-
-    packed = vocabulary.select("word", *by_class).mapInPandas(run, "part int, data binary")
-    return packed.repartition(n, "part").sortWithinPartitions("part")
+            # A block holds about BLOCK_BYTES of words, one word at least.
+            sizes = batch["word"].map(len).to_numpy()
+            start = 0
+            for i, length in enumerate(sizes.tolist()):
+                size += length + 1
+                if size >= BLOCK_BYTES:
+                    held.append(batch.iloc[start : i + 1])
+                    yield block(pd.concat(held))
+                    held, size, start = [], 0, i + 1
+            if start < len(batch):
+                held.append(batch.iloc[start:])
+        if held:
+            yield block(pd.concat(held))
+
+    return vocabulary.select("word", *by_class).mapInPandas(run, _BLOBS)
 
 
 def learn_upper(counts: DataFrame) -> list[Level]:
@@ -301,8 +322,8 @@ def learn_upper(counts: DataFrame) -> list[Level]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         top: Counter = Counter()
         below: Counter = Counter()
-        for _, blobs in _by_part(batches):
-            key, count = _unpack(blobs)
+        for _, rows in _grouped(batches, "part"):
+            key, count = _unpack([data for _, _, data in rows])
             short, where = np.unique(key & _U((1 << 8 * SPLIT) - 1), return_inverse=True)
             top.update(dict(zip(short.tolist(), np.bincount(where, weights=count).astype(np.int64).tolist())))
             level = lower_levels(key, count)[0]
@@ -319,60 +340,39 @@ def learn_upper(counts: DataFrame) -> list[Level]:
 
 
 def pair_scores(counts: DataFrame, upper: list[Level]) -> DataFrame:
-    """(key, logp) of every distinct (context, byte) pair."""
+    """(part, block, data): log10 probabilities of the pairs of each blob, in its order."""
     shared = counts.sparkSession.sparkContext.broadcast(upper)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, blobs in _by_part(batches):
-            key, count = _unpack(blobs)
-            yield pd.DataFrame({"key": key.view(np.int64), "logp": log_probabilities(key, shared.value, lower_levels(key, count))})
-
-    return counts.mapInPandas(run, "key long, logp double")
-
-
-def word_scores(vocabulary: DataFrame, scores: DataFrame, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
-    """(word, c, logp): training count, and in each class the sum over the word's bytes."""
-    by_class = class_columns(vocabulary)
-    words = vocabulary.select("word", sum((F.col(c) for c in by_class), F.lit(0)).cast("long").alias("c"))
-    classes = range(len(by_class))
-    if scores.count() <= broadcast_pairs:
-        table = scores.toPandas().sort_values("key")
-        shared = vocabulary.sparkSession.sparkContext.broadcast((table["key"].to_numpy(np.int64), table["logp"].to_numpy()))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            keys, values = shared.value
-            for batch in batches:
-                if len(batch):
-                    number, key, place = context_keys(list(batch["word"]))
-                    # Sorted distinct keys are looked up: words share most of theirs.
-                    asked, where = np.unique(np.stack([in_class(key, place, k).view(np.int64) for k in classes]), return_inverse=True)
-                    logp = values[np.searchsorted(keys, asked)][where.reshape(len(classes), -1)]
-                    found = [np.bincount(number, weights=logp[k], minlength=len(batch)) for k in classes]
-                    yield batch.assign(logp=list(np.stack(found, axis=1)))
-
-        return words.mapInPandas(run, "word binary, c long, logp array<double>")
-
-    def keys_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            part, held = [], 0
-            for word in [*batch["word"], None]:
-                if part and (word is None or held + len(word) > 200_000):
-                    names = np.array([hashlib.md5(w).digest() for w in part], dtype=object)
-                    number, key, place = context_keys(part)
-                    for k in classes:
-                        yield pd.DataFrame({"name": names[number], "k": np.int32(k), "key": in_class(key, place, k).view(np.int64)})
-                    part, held = [], 0
-                if word is not None:
-                    part.append(word)
-                    held += len(word)
-
-    met = words.mapInPandas(keys_of, "name binary, k int, key long").join(scores, "key")
-    sums = met.groupBy("name").agg(*[F.sum(F.when(F.col("k") == k, F.col("logp"))).alias(f"l{k}") for k in classes])
-    named = words.withColumn("name", F.unhex(F.md5("word")))
-    return named.join(sums, "name").select("word", "c", F.array(*[f"l{k}" for k in classes]).alias("logp"))
-
-
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
+        for part, rows in _grouped(batches, "part"):
+            key, count = _unpack([data for _, _, data in rows])
+            logp = log_probabilities(key, shared.value, lower_levels(key, count))
+            for _, block, data in rows:
+                asked = np.frombuffer(zstandard.decompress(data), dtype=np.uint64)
+                own = logp[np.searchsorted(key, asked[: len(asked) // 2])]
+                yield pd.DataFrame({"part": np.array([part], dtype=np.int32), "block": [block], "data": [zstandard.compress(own.tobytes(), 1)]})
+
+    return counts.mapInPandas(run, _BLOBS)
+
+
+def word_scores(words: DataFrame, scores: DataFrame, classes: int, parts: int) -> DataFrame:
+    """(word, c, logp): training count, and in each class the sum over the word's bytes, from blocks' words and scores."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, rows in _grouped(batches, "block"):
+            own, counts = pickle.loads(zstandard.decompress(rows[0][2]))
+            logp = np.concatenate([np.frombuffer(zstandard.decompress(data), dtype=np.float64) for _, _, data in rows[1:]])
+            _, _, at, number = _block_keys(own, classes, parts)
+            found = np.stack([np.bincount(number, weights=logp[at[k]], minlength=len(own)) for k in range(classes)], axis=1)
+            for start in range(0, len(own), 20_000):
+                end = start + 20_000
+                yield pd.DataFrame({"word": own[start:end], "c": counts[start:end], "logp": list(found[start:end])})
+
+    both = words.unionByName(scores)
+    return both.repartition(parts, "block").sortWithinPartitions("block", "part").mapInPandas(run, "word binary, c long, logp array<double>")
+
+
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every document.
 
     Learned from the documents whose crc32(id as text) mod 7 is not 2. Null and
@@ -414,9 +414,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     vocabulary = materialize(used.groupBy("word").agg(*[F.sum(c).alias(c) for c in by_class]), "vocabulary")
     totals = vocabulary.select(sum((F.col(c) for c in by_class), F.lit(0)).alias("c")).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     n, v = int(totals["n"]), int(totals["v"])
-    counts = materialize(context_counts(vocabulary), "contexts").repartition(partitions(spark), "part").sortWithinPartitions("part")
-    scores = materialize(pair_scores(counts, learn_upper(counts)), "pairs")
-    scored = word_scores(vocabulary, scores, broadcast_pairs)
+    parts = partitions(spark)
+    blocks = materialize(context_counts(vocabulary), "contexts")
+    counts = blocks.where("part >= 0").repartition(parts, "part").sortWithinPartitions("part", "block")
+    scored = word_scores(blocks.where("part < 0"), pair_scores(counts, learn_upper(counts)), len(by_class), parts)
     back = used.select("chunk", "word").join(scored, "word").select("chunk", F.lit(0).alias("kind"), "word", "c", "logp", F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("boolean").alias("held_out"))
     texts = rows.select("chunk", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("word"), F.lit(None).cast("long").alias("c"), F.lit(None).cast("array<double>").alias("logp"), "id", "text", "held_out")
 
