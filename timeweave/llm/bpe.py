@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from timeweave.llm.common import identified
+
 #: Pieces of a block, after which its distinct ones are folded.
 BLOCK_PIECES = 2_000_000
 #: Folding costs the square of a piece's bytes; longer pieces are merged with a heap instead.
@@ -205,7 +207,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     the pattern matches all of it. Null is empty. Repeated rows are encoded each;
     an empty table gives no rows; further columns aren't read.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = identified(docs, id_col).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     columns = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

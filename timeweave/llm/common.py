@@ -95,6 +95,11 @@ def per_group(rows: DataFrame, keys: Sequence[str], spread: str, values: Mapping
     return salted.join(back, [*keys, "_salt"]).drop("_salt")
 
 
+def identified(docs: DataFrame, id_col: str) -> DataFrame:
+    """The rows with an id; a document without one can't be referred to, and no operator returns it."""
+    return docs.where(F.col(id_col).isNotNull())
+
+
 def plain(docs: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, so that others with clashing names can't get in the way."""
     return docs.select(*[F.col(c) for c in columns])

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timeweave.llm.common import blocks_for, bytes_of, id_crc, materialize, partitions
+from timeweave.llm.common import blocks_for, bytes_of, id_crc, identified, materialize, partitions
 
 DEPTH = 7
 #: Classes of texts, and the bounded sample of training documents from which their centres come.
@@ -381,7 +381,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are scored each; an empty table gives no rows; further columns aren't read.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(id_crc(F.col(id_col)) % 7 == 2, F.lit(False)).alias("held_out"))
+    rows = identified(docs, id_col).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(id_crc(F.col(id_col)) % 7 == 2, F.lit(False)).alias("held_out"))
     chunks = blocks_for(bytes_of(rows, "text"), CHUNK_BYTES, partitions(spark))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int")).repartition(max(chunks, partitions(spark)), "chunk")
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from timeweave.llm.common import UPPER, ascii_lower, materialize, partitions, per_group, plain
+from timeweave.llm.common import UPPER, ascii_lower, identified, materialize, partitions, per_group, plain
 
 #: Characters of the text in the splitters; the comparison is of whole texts.
 SPLITTER_CHARS = 32
@@ -26,7 +26,7 @@ def sort_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     run ends where the full text differs from the one before.
     """
     n = partitions(docs.sparkSession)
-    rows = plain(docs, id_col, text_col).select(F.col(id_col).alias("_id"), ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_text"))
+    rows = plain(identified(docs, id_col), id_col, text_col).select(F.col(id_col).alias("_id"), ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_text"))
     rows = rows.select("_id", "_text", F.substring("_text", 1, SPLITTER_CHARS).alias("_head"), F.sha2("_text", 256).alias("text_sha256"), F.pmod(F.xxhash64("_id"), F.lit(n)).cast("int").alias("_part"))
     dealt = rows.repartitionByRange(n, "_head", "text_sha256", "_part")
     neighbours = Window.partitionBy("_head", "text_sha256", "_part").orderBy("_text", "_id")

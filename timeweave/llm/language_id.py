@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from timeweave.llm.common import id_crc
+from timeweave.llm.common import id_crc, identified
 
 #: The bounded sample: labelled documents a language, and letters and blanks of their text.
 SAMPLE_DOCS, SAMPLE_CHARS = 60, 40_000
@@ -160,7 +160,7 @@ def language_id(docs: DataFrame, samples: dict[str, str], id_col: str = "doc_id"
             found = [parser.predict(text or "") for text in batch["text"]]
             yield pd.DataFrame({"id": batch["id"], "lang_pred": [x[0] for x in found], "score": [x[1] for x in found], "phrases_per_letter": [x[2] for x in found]})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = identified(docs, id_col).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInPandas(run, "id long, lang_pred string, score double, phrases_per_letter double").withColumnRenamed("id", id_col)
 
 

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from timeweave.llm.common import materialize, partitions
+from timeweave.llm.common import identified, materialize, partitions
 
 #: Distinct words whose ids a worker remembers, over all its tasks.
 CACHE_WORDS = 1_200_000
@@ -114,7 +114,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
                         out.append((doc_id, piece, start // 4, len(own) // 4, zlib.crc32(own), *([own] if with_ids else [])))
                 yield pd.DataFrame(out, columns=[c.split()[0] for c in columns.split(", ")])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(run, columns)
+    return identified(docs, id_col).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(run, columns)
 
 
 def reduce_by_dominance(counts: dict[int, int], capacity: int) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:

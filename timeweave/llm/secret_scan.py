@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timeweave.llm.common import materialize, partitions, per_group
+from timeweave.llm.common import identified, materialize, partitions
 
 #: Base kinds, in the order in which equal starts are listed, and those that the scan adds.
 BASE_KINDS = ("assign", "access", "hex")
@@ -71,7 +71,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
                 out.append((doc_id, owner, *counts, hashlib.sha256(joined(spans, BASE_KINDS).encode()).hexdigest(), joined(spans, KINDS), [{"kind": k, "start": a, "end": b, "secret": hashlib.sha256(s.encode()).hexdigest()} for a, b, k, s in spans]))
             yield pd.DataFrame(out, columns=["doc_id", "owner", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "span_list"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(run, columns)
+    return identified(docs, id_col).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(run, columns)
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
