@@ -372,6 +372,26 @@ def word_scores(words: DataFrame, scores: DataFrame, classes: int, parts: int) -
     return both.repartition(parts, "block").sortWithinPartitions("block", "part").mapInPandas(run, "word binary, c long, logp array<double>")
 
 
+def _pack_by_chunk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(chunk, data): the words of each chunk with counts and scores (to 24 bits), packed."""
+    held, size = [], 0
+
+    def packed() -> pd.DataFrame:
+        rows = pd.concat(held)
+        out = [(chunk, zstandard.compress(pickle.dumps((list(own["word"]), own["c"].to_numpy(np.int64), np.stack(own["logp"].to_list()).astype(np.float32))), 3)) for chunk, own in rows.groupby("chunk")]
+        return pd.DataFrame(out, columns=["chunk", "data"])
+
+    for batch in batches:
+        if len(batch):
+            held.append(batch[["chunk", "word", "c", "logp"]])
+            size += len(batch)
+        if size >= 300_000:
+            yield packed()
+            held, size = [], 0
+    if held:
+        yield packed()
+
+
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every document.
 
@@ -418,24 +438,26 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blocks = materialize(context_counts(vocabulary), "contexts")
     counts = blocks.where("part >= 0").repartition(parts, "part").sortWithinPartitions("part", "block")
     scored = word_scores(blocks.where("part < 0"), pair_scores(counts, learn_upper(counts)), len(by_class), parts)
-    back = used.select("chunk", "word").join(scored, "word").select("chunk", F.lit(0).alias("kind"), "word", "c", "logp", F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("boolean").alias("held_out"))
-    texts = rows.select("chunk", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("word"), F.lit(None).cast("long").alias("c"), F.lit(None).cast("array<double>").alias("logp"), "id", "text", "held_out")
+    packed = used.select("chunk", "word").join(scored, "word").mapInPandas(_pack_by_chunk, "chunk int, data binary")
+    back = packed.select("chunk", F.lit(0).alias("kind"), "data", F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("boolean").alias("held_out"))
+    texts = rows.select("chunk", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("data"), "id", "text", "held_out")
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         chunk, at, c, logp, arrays = None, {}, [], [], None
         for batch in batches:
             out = []
-            for number, kind, word, count, value, doc_id, text, held_out in zip(*[batch[x] for x in ("chunk", "kind", "word", "c", "logp", "id", "text", "held_out")]):
+            for number, kind, data, doc_id, text, held_out in zip(*[batch[x] for x in ("chunk", "kind", "data", "id", "text", "held_out")]):
                 if number != chunk:
                     chunk, at, c, logp, arrays = number, {}, [], [], None
                 if kind == 0:
-                    at[word] = len(c)
-                    c.append(count)
-                    logp.append(value)
+                    words, counts, values = pickle.loads(zstandard.decompress(data))
+                    at.update(zip(words, range(len(at), len(at) + len(words))))
+                    c.append(counts)
+                    logp.append(values)
                     continue
                 if arrays is None:
-                    seen = np.array(c, dtype=np.float64)
-                    arrays = (seen > 0, np.log10((seen + 1) / (n + v + 1)), np.array(logp))  # words by classes
+                    seen = np.concatenate(c).astype(np.float64)
+                    arrays = (seen > 0, np.log10((seen + 1) / (n + v + 1)), np.concatenate(logp).astype(np.float64))  # words by classes
                 tokens = [*words_of(text), END]
                 own = np.fromiter((at[w] for w in tokens), dtype=np.int64, count=len(tokens))
                 by = arrays[2][own].sum(axis=0)
