@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from timeweave.llm.common import id_crc, identified
+from timeweave.llm.common import id_crc, identified, materialize
 
 #: The bounded sample: labelled documents a language, and letters and blanks of their text.
 SAMPLE_DOCS, SAMPLE_CHARS = 60, 40_000
@@ -25,6 +25,8 @@ CACHE_WORDS = 300_000
 #: Above so many phrases a letter no learned language fits.
 MOST_PHRASES = 0.62
 SHARPNESS = 4.0
+#: Phrases beyond one a word: so many times the labelled rows' upper spread above their median is well above; lengths with fewer labelled rows take the limit of all.
+WELL_ABOVE, LEAST_LABELLED = 4.0, 30
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -120,15 +122,18 @@ class Parser:
         self.at: dict[bytes, int] = {}
         self.rows = np.zeros((4096, 1 + len(self.automata)), dtype=np.int64)
 
+    def of_token(self, token: str) -> list[int]:
+        words = _LETTERS.findall(token)
+        return [sum(map(len, words)), *(sum(a.phrases(f" {word} ") for word in words) for _, a in self.automata)]
+
     def totals(self, text: str) -> np.ndarray:
         """Letters, then phrases of each language."""
         tokens = text.lower().encode("utf-8", "replace").split()
         at = self.at
         for token in {t for t in tokens if t not in at}:
-            words = _LETTERS.findall(token.decode())
             if len(at) == len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.rows[len(at)] = [sum(map(len, words)), *(sum(a.phrases(f" {word} ") for word in words) for _, a in self.automata)]
+            self.rows[len(at)] = self.of_token(token.decode())
             at[token] = len(at)
         total = self.rows[[at[t] for t in tokens]].sum(axis=0) if tokens else np.zeros(self.rows.shape[1], dtype=np.int64)
         if len(at) > CACHE_WORDS:
@@ -164,17 +169,67 @@ def language_id(docs: DataFrame, samples: dict[str, str], id_col: str = "doc_id"
     return rows.mapInPandas(run, "id long, lang_pred string, score double, phrases_per_letter double").withColumnRenamed("id", id_col)
 
 
+def _may_train(id_col: str) -> Column:
+    return id_crc(F.col(id_col)) % 4 != 2
+
+
+class ProseParser(Parser):
+    """Letters, phrases by language and words of texts; tokens with digits, as codes and keys are, don't count."""
+
+    def clear(self) -> None:
+        super().clear()
+        self.rows = np.zeros((4096, 2 + len(self.automata)), dtype=np.int64)
+
+    def of_token(self, token: str) -> list[int]:
+        return [0] * self.rows.shape[1] if any(c.isdigit() for c in token) else [*super().of_token(token), len(_LETTERS.findall(token))]
+
+
+def prose_rates(docs: DataFrame, samples: dict[str, str], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(id, labelled, length, rate, excess), one row a document: phrases a letter of its prose, and those beyond one a word.
+
+    ``length`` is the bit length of the number of letters. A text without prose
+    is judged by all its letters, with length 0 and no excess; one without
+    letters has no rate either.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parser, whole = ProseParser(samples), Parser(samples)
+        for batch in batches:
+            out = []
+            for text in batch["text"]:
+                letters, *phrases, words = parser.totals(text).tolist()
+                if letters and phrases:
+                    out.append((letters.bit_length(), min(phrases) / letters, (min(phrases) - words) / letters))
+                else:
+                    lang, _, rate = whole.predict(text)
+                    out.append((0, None if lang == "und" else rate, None))
+            yield pd.DataFrame({"id": batch["id"], "labelled": batch["labelled"], "length": [x[0] for x in out], "rate": pd.Series([x[1] for x in out], dtype="float64"), "excess": pd.Series([x[2] for x in out], dtype="float64")})
+
+    rows = identified(docs, id_col).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (_may_train(id_col) & F.col(lang_col).isNotNull()).alias("labelled"))
+    found = rows.mapInPandas(run, "id long, labelled boolean, length int, rate double, excess double")
+    return found.select("id", "labelled", "length", F.when(~F.isnan("rate"), F.col("rate")).alias("rate"), F.when(~F.isnan("excess"), F.col("excess")).alias("excess"))
+
+
 def training_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The documents whose labels may be learned from."""
-    return docs.where(id_crc(F.col(id_col)) % 4 != 2)
+    return docs.where(_may_train(id_col))
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` whose language is identified, with all their columns.
 
-    Texts without letters, and those in which no learned language's phrases are
-    found (more than MOST_PHRASES a letter), go.
+    Texts without letters go, and those in which no learned language's phrases are
+    found: more than MOST_PHRASES a letter of prose and, beyond one a word, well
+    above what all labelled rows of that length show.
     """
-    judged = language_id(docs, learn(training_rows(docs, id_col), id_col, text_col, lang_col), id_col, text_col)
-    kept = judged.where((F.col("lang_pred") != "und") & (F.col("phrases_per_letter") <= MOST_PHRASES)).select(F.col(id_col).alias("_kept_id")).distinct()
+    judged = materialize(prose_rates(docs, learn(training_rows(docs, id_col), id_col, text_col, lang_col), id_col, text_col, lang_col), "rates")
+    labelled = judged.where("labelled AND excess IS NOT NULL")
+    median, upper = F.percentile_approx("excess", 0.5), F.percentile_approx("excess", 0.95)
+    limit = (median + WELL_ABOVE * (upper - median)).alias("limit")
+    overall = labelled.agg(limit).first()["limit"] or 0.0
+    by_length = {r["length"]: max(overall, r["limit"]) for r in labelled.groupBy("length").agg(limit, F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_LABELLED).collect()}
+    most = F.lit(overall)
+    for length, value in by_length.items():
+        most = F.when(F.col("length") == length, value).otherwise(most)
+    kept = judged.where((F.col("rate") <= MOST_PHRASES) | (F.col("excess") <= most)).select(F.col("id").alias("_kept_id")).distinct()
     return docs.join(kept, docs[id_col] == kept["_kept_id"], "left_semi")
