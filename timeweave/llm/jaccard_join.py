@@ -18,6 +18,9 @@ A document's set has the 64-bit hashes of its 5-word shingles.
    only if d(A, B) <= 0.2 + d(a, A) + d(b, B). Only those members are compared,
    and only where the centres aren't connected yet.
 5. Links between centres, stars and classes give components.
+6. All links are within components: there the classes meet in blocks, those of
+   large components by size, and every pair is compared. A task adds up its
+   links, so pairs are no rows.
 
 No step drops, caps or samples sets: the sample only decides an order.
 """
@@ -333,14 +336,81 @@ def candidate_stars(entries: DataFrame) -> DataFrame:
     return pairs.where("shared >= least").select("a", "b")
 
 
+def common_shingles(sets: list[np.ndarray]) -> np.ndarray:
+    """The sizes of the overlaps of all pairs of sets, as a matrix."""
+    out = np.zeros((len(sets), len(sets)), dtype=np.float64)
+    values, codes, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    shared = counts[codes] > 1
+    column, owner = (np.cumsum(counts > 1) - 1)[codes[shared]], owner[shared]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    for at in range(0, int((counts > 1).sum()), 4096):
+        x = slice(*np.searchsorted(column, [at, at + 4096]))
+        dense = np.zeros((len(sets), 4096), dtype=np.float32)
+        dense[owner[x], column[x] - at] = 1
+        out += dense @ dense.T
+    return out
+
+
+def link_counts(texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """(rep, linked): documents of other classes that link to each class, of ``classes`` (rep, n, component, size).
+
+    Classes of a component meet in blocks; those of more than STAR_BLOCK only
+    with sizes that may link, which are of the same power of 1.25 or the next.
+    """
+    counted = per_group(classes, ["component"], "rep", {"m": ("count", "rep")}).where("m > 1")
+    banded = counted.withColumn("band", F.when(F.col("m") <= STAR_BLOCK, 0).otherwise(F.floor(F.log(1.25, F.col("n")))).cast("int"))
+    blocks = per_group(banded, ["component", "band"], "rep", {"k": ("count", "rep")}).withColumn("nb", F.ceil(F.col("k") / STAR_BLOCK).cast("int"))
+    own = materialize(blocks.select("component", "rep", "size", "m", "band", "nb", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int").alias("own")), "blocks")
+    heads = own.where(F.col("m") > STAR_BLOCK).select("component", "band", "nb").distinct()
+    each = lambda rows, n: rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
+    near = lambda step: attach(own, heads.select("component", (F.col("band") + step).alias("band"), F.col("nb").alias("no")), ["component", "band"], "rep")
+    key = lambda lo, hi, i, j, side: ("component", "rep", "size", lo.alias("lo"), hi.alias("hi"), i.alias("i"), j.alias("j"), side.alias("side"))
+    band, mine, other = F.col("band"), F.col("own"), F.col("other")
+    dealt = each(own, "nb").select(*key(band, band, F.least(mine, other), F.greatest(mine, other), (mine > other).cast("int")))
+    dealt = dealt.union(each(near(-1), "no").select(*key(band, band + 1, mine, other, F.lit(0))))
+    dealt = dealt.union(each(near(1), "no").select(*key(band - 1, band, other, mine, F.lit(1))))
+    keys = ["component", "lo", "hi", "i", "j"]
+    bucket = lambda name: F.pmod(F.xxhash64(name), F.lit(1 << 20))
+    asked = own.select(bucket("rep").alias("_bucket")).distinct()
+    moved = texts.withColumn("_bucket", bucket("doc_id")).join(F.broadcast(asked), "_bucket", "left_semi").select(F.col("doc_id").alias("rep"), "text")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingles = Shingler()
+
+        def linked(group: tuple, members: dict[int, tuple[int, int, np.ndarray]]) -> pd.DataFrame:
+            side, size = (np.array([x[k] for x in members.values()]) for k in (0, 1))
+            sets = [x[2] for x in members.values()]
+            n = np.array([len(x) for x in sets])
+            met = 9 * common_shingles(sets) >= 4 * (n[:, None] + n[None, :])
+            # A block with itself: all pairs but a class's own; two blocks: those across.
+            met &= ~np.eye(len(sets), dtype=bool) if group[1] == group[2] and group[3] == group[4] else side[:, None] != side[None, :]
+            return pd.DataFrame({"rep": list(members), "linked": met @ size})
+
+        group, members = None, {}
+        for batch in batches:
+            for *at, rep, size, side, text in zip(*(batch[c] for c in (*keys, "rep", "size", "side", "text"))):
+                if tuple(at) != group:
+                    if len(members) > 1:
+                        yield linked(group, members)
+                    group, members = tuple(at), {}
+                members[rep] = (side, size, shingles(text))
+        if len(members) > 1:
+            yield linked(group, members)
+
+    meeting = dealt.join(moved, "rep").repartition(partitions(texts.sparkSession), *keys).sortWithinPartitions(*keys, "rep")
+    return meeting.mapInPandas(run, "rep long, linked long").groupBy("rep").agg(F.sum("linked").alias("linked"))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, n_links) of every document with an id.
 
     Words are runs without ASCII white space, A-Z in lower case; a text of fewer
     than five words is one shingle; null, empty and blank texts have no shingles
     and are components of their own. ``component_id`` is the smallest id that
-    links reach; ``n_links`` counts the links found between the centre of the
-    document's star and other centres. Rows that repeat an id are one document,
+    links reach; ``n_links`` is the number of other documents that the document
+    links to, equal ones included. Rows that repeat an id are one document,
     given once for each row. An empty table gives no rows; further columns
     aren't read.
     """
@@ -379,10 +449,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         links = materialize(links.union(reach.join(more, ["xa", "xb"]).select(F.col("a").alias("u"), F.col("b").alias("v"))).distinct(), "links")
         components = materialize(connected_components(links), "components")
 
-    degree = links.select("u").union(links.select("v")).groupBy(F.col("u").alias("center")).agg(F.count(F.lit(1)).alias("n_links"))
-    about = components.withColumnRenamed("node", "center").join(degree, "center", "left")
-    placed = attach(stars.select(F.col("doc_id").alias("rep"), "center"), about, ["center"], "rep", "left").select("rep", F.coalesce("component", "center").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    of_class = attach(classes.select("doc_id", "rep").distinct(), placed, ["rep"], "doc_id").select(F.col("doc_id").alias("_id"), "component_id", "n_links")
+    about = components.withColumnRenamed("node", "center")
+    placed = attach(stars.select(F.col("doc_id").alias("rep"), "n", "center"), about, ["center"], "rep", "left").select("rep", "n", F.coalesce("component", "center").alias("component"))
+    documents = classes.select("doc_id", "rep").distinct()
+    sized = materialize(placed.join(documents.groupBy("rep").agg(F.count(F.lit(1)).alias("size")), "rep"), "sized")
+    counted = sized.join(link_counts(texts, sized), "rep", "left").select("rep", F.col("component").alias("component_id"), (F.col("size") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    of_class = attach(documents, counted, ["rep"], "doc_id").select(F.col("doc_id").alias("_id"), "component_id", "n_links")
     out = sets.join(of_class, F.col("doc_id") == F.col("_id"), "left")
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
