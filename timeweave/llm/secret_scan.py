@@ -91,17 +91,18 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return salted.join(back, ["secret", "_salt"]).drop("_salt")
 
 
-def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", live_owners: int = 1, live_repositories: int = 3) -> DataFrame:
+def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", live_owners: int = 1, live_repositories: int | None = None) -> DataFrame:
     """One row a document: counts and digest of the base spans, all spans, and n_live, n_copied, live_spans.
 
-    A candidate is live-looking if at most ``live_owners`` owners and
-    ``live_repositories`` repositories have it, else copied. Null or empty texts
+    A candidate is live-looking if at most ``live_owners`` owners have it, in any
+    number of documents, else copied; ``live_repositories`` bounds the documents
+    as well, where given. Null or empty texts
     have no spans; a null owner counts as one owner. Repeated rows count once a
     repository. An empty table gives no rows; further columns aren't read.
     """
     scanned = materialize(scan(docs, id_col, text_col, owner_col), "secrets")
     candidates = scanned.where(F.size("span_list") > 0).select("doc_id", "owner", F.explode("span_list").alias("s")).select("doc_id", "owner", F.col("s.kind").alias("kind"), F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.secret").alias("secret"))
-    judged = ownership(candidates.distinct()).withColumn("live", (F.col("n_owners") <= live_owners) & (F.col("n_repositories") <= live_repositories))
+    judged = ownership(candidates.distinct()).withColumn("live", (F.col("n_owners") <= live_owners) & (F.lit(True) if live_repositories is None else F.col("n_repositories") <= live_repositories))
     by_doc = judged.groupBy("doc_id").agg(
         F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_copied"),
         F.sort_array(F.collect_list(F.when(F.col("live"), F.struct("start", "end", "kind")))).alias("live_spans"),
