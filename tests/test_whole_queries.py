@@ -1,0 +1,21 @@
+import random
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_tokens_against_brute_force(spark):
+    from timeweave.operators.alignment import near_tokens
+
+    r = random.Random(4)
+    words = {"".join(r.choice("abc") for _ in range(r.randint(3, 11))) for _ in range(250)} | {"kitten", "mitten", "sitting", "x" * 40, "y" + "x" * 39}
+    words |= {w[1:] for w in list(words)[:60]} | {"z" + w for w in list(words)[:60]}
+    want = {(a, b) for a in words for b in words if a < b and (n := min(len(a), len(b))) > 4 and distance(a, b) <= (1 if n <= 7 else 2)}
+    got = near_tokens(spark.createDataFrame([(w,) for w in words], "w string")).collect()
+    assert len(got) == len(want) and {tuple(x) for x in got} == want and ("kitten", "mitten") in want

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from timeweave.functions import scalars as X
+
 from timeweave.operators.intervals import range_join
 
 
@@ -123,3 +125,22 @@ def assigned_windows(items: DataFrame, centroids: np.ndarray) -> DataFrame:
         return pd.DataFrame({"win": window["win"], "row": window["row"], "cluster": [int(scores[i].argmax()) if c is None else c for i, c in enumerate(found)]})
 
     return items.groupBy("win").applyInPandas(run, "win long, row long, cluster int")
+
+
+def near_tokens(tokens: DataFrame) -> DataFrame:
+    """(a, b), a < b, of distinct tokens ``w`` within the limit of edits, whatever their first letters.
+
+    Of the limit + 1 pieces of the shorter token one is in the other as it is,
+    moved by the limit at most; pairs meet at such pieces. Tokens of up to four
+    characters match only themselves.
+    """
+    limit = F.when(F.col("len") <= 7, 1).otherwise(2)
+    cut = lambda k: F.floor(k * F.col("len") / (F.col("d") + 1)).cast("int")
+    split = lambda rows: rows.withColumn("d", limit).withColumn("k", F.explode(F.sequence(F.lit(0), "d"))).withColumn("at", cut(F.col("k"))).withColumn("size", cut(F.col("k") + 1) - F.col("at"))
+    whole = tokens.where(F.length("w") > 4)
+    pieces = split(whole.select("w", F.length("w").alias("len"))).select("w", "len", "k", F.substring("w", F.col("at") + 1, F.col("size")).alias("piece"))
+    others = split(whole.select(F.col("w").alias("o"), F.explode(F.sequence(F.greatest(F.lit(5), F.length("w") - 2), F.length("w"))).alias("len")))
+    others = others.where("length(o) - len <= d").withColumn("shift", F.explode(F.sequence(-F.col("d"), F.col("d")))).withColumn("at", F.col("at") + F.col("shift")).where("at >= 0 AND at + size <= length(o)")
+    probes = others.select("o", "len", "k", F.substring("o", F.col("at") + 1, F.col("size")).alias("piece")).distinct()
+    pairs = pieces.join(probes, ["len", "k", "piece"]).where("w <> o").select(F.least("w", "o").alias("a"), F.greatest("w", "o").alias("b")).distinct()
+    return pairs.where(X.tokens_match(F.col("a"), F.col("b")))

@@ -1,0 +1,17 @@
+"""Queries over all rows of their tables, beside those whose SQL takes a part."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from timeweave.functions import scalars as X
+from timeweave.operators.alignment import near_tokens
+from timeweave.plans.catalogue import query
+from timeweave.sources import tables as T
+
+
+@query("bounded_edit_distance_all")
+def bounded_edit_distance_all(spark, sf_dir):
+    """the pairs of all distinct tokens that match."""
+    tokens = T.utterances(spark, sf_dir).select(F.explode(F.split("text", " ")).alias("w")).select(X.normalize_token(F.col("w")).alias("w")).where("w IS NOT NULL").distinct()
+    return near_tokens(tokens)
