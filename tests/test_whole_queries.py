@@ -1,5 +1,15 @@
 import random
 
+import duckdb
+
+import __spark_entry__ as E
+
+SF = "/root/testdata/sf0.001"
+CUTS = {
+    "job_queue": ("WHERE o_custkey < 200 ", ""), "recording_overlaps": ("WHERE event_id % 7 = 0", ""), "cluster_for_range": ("WHERE event_id % 19 = 0", ""),
+    "seams_between": ("WHERE event_id % 31 = 0", ""), "snap_to_quiet": ("WHERE event_id % 13 = 0", ""),
+}
+
 
 def distance(a, b):
     row = list(range(len(b) + 1))
@@ -19,3 +29,15 @@ def test_tokens_against_brute_force(spark):
     want = {(a, b) for a in words for b in words if a < b and (n := min(len(a), len(b))) > 4 and distance(a, b) <= (1 if n <= 7 else 2)}
     got = near_tokens(spark.createDataFrame([(w,) for w in words], "w string")).collect()
     assert len(got) == len(want) and {tuple(x) for x in got} == want and ("kitten", "mitten") in want
+
+
+def test_all_rows_against_sql_without_the_cut(spark):
+    for name in ("orders", "events"):
+        duckdb.sql(f"CREATE OR REPLACE VIEW {name} AS FROM '{SF}/{name}.parquet'")
+    for name, (cut, rest) in CUTS.items():
+        sql = E.oracle_sql()[name]
+        assert sql.count(cut) == 1
+        want = duckdb.sql(sql.replace(cut, rest))
+        got = E.queries()[f"{name}_all"](spark, SF).select(*want.columns).collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, want.fetchall())), name
+    assert E.queries()["reference_points_all"](spark, SF).count() > E.queries()["reference_points"](spark, SF).count()

@@ -81,7 +81,7 @@ def reference_points(words: DataFrame, points: DataFrame, horizon_ms: int = 180_
     mid = midpoint()
     met = range_join(words.withColumn("mid", mid), points, (mid - horizon_ms, mid + horizon_ms), (F.col("at_ms"), F.col("at_ms")), keys=("session_id",), bucket_ms=horizon_ms)
     side = F.when(F.col("r_at_ms") <= F.col("mid"), "before").otherwise("after")
-    rank = F.row_number().over(Window.partitionBy("word_id", "side").orderBy(F.abs(F.col("r_at_ms") - F.col("mid")), "r_at_ms"))
+    rank = F.row_number().over(Window.partitionBy("word_id", "side").orderBy(F.abs(F.col("r_at_ms") - F.col("mid")), "r_at_ms", "r_delay", "r_gain"))
     near = met.withColumn("side", side).withColumn("_r", rank).where(F.col("_r") <= each)
     return near.groupBy("word_id", "side").agg(X.upper_median(F.collect_list("r_delay")).alias("delay"), X.upper_median(F.collect_list("r_gain")).alias("gain"), F.count(F.lit(1)).alias("n"))
 

@@ -179,8 +179,8 @@ def quiet_stretches(spark, sf_dir):
 , pts AS (SELECT session_id, event_id AS point_id, p AS at_ms FROM ev WHERE event_id % 13 = 0),
 c AS (SELECT q.session_id, point_id, at_ms, least(greatest(at_ms, q.start_ms + least((q.end_ms - q.start_ms) // 2, 1000)), q.end_ms - least((q.end_ms - q.start_ms) // 2, 1000)) AS s, q.start_ms FROM pts JOIN quiet q USING (session_id))
 SELECT session_id, point_id, at_ms, s AS snapped_ms FROM c QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY abs(s - at_ms), start_ms) = 1"""))
-def snap_to_quiet(spark, sf_dir):
-    points = T.events(spark, sf_dir).where("event_id % 13 = 0").select("session_id", F.col("event_id").alias("point_id"), F.col("p").alias("at_ms"))
+def snap_to_quiet(spark, sf_dir, where="event_id % 13 = 0"):
+    points = T.events(spark, sf_dir).where(where).select("session_id", F.col("event_id").alias("point_id"), F.col("p").alias("at_ms"))
     return Q.snap_to_quiet(points, Q.quiet_stretches(_levels(spark, sf_dir))).where("snapped_ms IS NOT NULL")
 
 

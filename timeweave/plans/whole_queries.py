@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from timeweave.functions import scalars as X
 from timeweave.operators.alignment import near_tokens
+from timeweave.plans import interval_queries, rule_queries, sequence_queries
 from timeweave.plans.catalogue import query
 from timeweave.sources import tables as T
 
@@ -15,3 +16,33 @@ def bounded_edit_distance_all(spark, sf_dir):
     """the pairs of all distinct tokens that match."""
     tokens = T.utterances(spark, sf_dir).select(F.explode(F.split("text", " ")).alias("w")).select(X.normalize_token(F.col("w")).alias("w")).where("w IS NOT NULL").distinct()
     return near_tokens(tokens)
+
+
+@query("job_queue_all")
+def job_queue_all(spark, sf_dir):
+    return rule_queries.job_queue(spark, sf_dir, "true")
+
+
+@query("recording_overlaps_all")
+def recording_overlaps_all(spark, sf_dir):
+    return interval_queries.recording_overlaps(spark, sf_dir, "true")
+
+
+@query("cluster_for_range_all")
+def cluster_for_range_all(spark, sf_dir):
+    return rule_queries.cluster_for_range(spark, sf_dir, "true")
+
+
+@query("reference_points_all")
+def reference_points_all(spark, sf_dir):
+    return rule_queries.reference_points(spark, sf_dir, "true")
+
+
+@query("seams_between_all")
+def seams_between_all(spark, sf_dir):
+    return rule_queries.seams_between(spark, sf_dir, "true")
+
+
+@query("snap_to_quiet_all")
+def snap_to_quiet_all(spark, sf_dir):
+    return sequence_queries.snap_to_quiet(spark, sf_dir, "true")
