@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from tests.llm.helpers import collected, docs
 from timeweave.llm import jaccard_join
 from timeweave.llm.components import connected_components
-from timeweave.llm.jaccard_join import Shingler, jaccard_components, keep_one_of_each, list_pairs, prefix
+from timeweave.llm.jaccard_join import jaccard_components, keep_one_of_each, list_pairs, member_links, prefixes, shingle_sets
 
 
 def shingles(text):
@@ -91,11 +91,14 @@ def test_lists_bring_every_link_together(seed):
     h = {x: r.getrandbits(60) for x in a | b}
     often = np.array(sorted(r.sample(sorted(h.values()), len(h) // 3)), dtype=np.uint64)
     frequent = np.stack([often, np.arange(len(often), dtype=np.uint64)])
-    parts = [prefix(np.array(sorted(h[x] for x in s), dtype=np.uint64), frequent) for s in (a, b)]
+    parts = prefixes([np.array(sorted(h[x] for x in s), dtype=np.uint64) for s in (a, b)], frequent)
     shared, least = 0, None
     for x in set(parts[0].tolist()) & set(parts[1].tolist()):
         places = np.array([p.tolist().index(x) for p in parts])
-        for found in list_pairs(np.array([1, 2]), np.array([1, 2]), np.array([len(a), len(b)]), places):
+        sizes = np.array([len(a), len(b)])
+        order = np.argsort(sizes, kind="stable")
+        found = list_pairs(np.zeros(2, dtype=np.int64), np.array([1, 2])[order], np.array([1, 2])[order], sizes[order], places[order])
+        if len(found[0]):
             shared, least = shared + 1, int(found[2][0])
     assert least is not None and shared >= least
 
@@ -118,8 +121,46 @@ def test_components(spark):
     assert got == {x: find(x) for e in edges for x in e if e[0] != e[1] or x in got}
 
 
-def test_short_texts_and_hashes():
-    s = Shingler()
-    assert len(s("")) == 0 and len(s("a b")) == 1 and len(s("a b c d e f")) == 2
-    assert (s("a b") == s("A  b\n")).all() and (s("b a") != s("a b")).all()
-    assert jaccard_join.WORDS == 5
+def test_short_texts_and_hashes(monkeypatch):
+    one = lambda text: next(shingle_sets([text]))
+    assert len(one("")) == 0 and len(one("a b")) == 1 and len(one("a b c d e f")) == 2
+    assert (one("a b") == one("A  b\n")).all() and (one("b a") != one("a b")).all()
+    texts = ["", "a b c d", "a b c d e f g", "", "x " * 100, "q", "a b c d e f g"]
+    whole = [x.tolist() for x in shingle_sets(texts)]
+    monkeypatch.setattr(jaccard_join, "SHINGLE_BYTES", 1)
+    assert whole == [x.tolist() for x in shingle_sets(texts)] == [one(t).tolist() for t in texts]
+    assert [len(x) for x in whole] == [len(shingles(t)) for t in texts]
+
+
+def test_pairs_of_a_list_against_all_pairs(monkeypatch):
+    r = np.random.default_rng(5)
+    lists, sizes = np.sort(r.integers(0, 9, 200)), r.integers(1, 40, 200)
+    order = np.lexsort((sizes, lists))
+    lists, sizes = lists[order], sizes[order]
+    stars, groups, places = r.integers(0, 30, 200), r.integers(0, 3, 200), np.minimum(r.integers(0, 8, 200), sizes - 1)
+    want = {}
+    for i in range(200):
+        for j in range(200):
+            if lists[i] == lists[j] and groups[i] != groups[j] and sizes[i] <= sizes[j] and 4 * sizes[j] <= 5 * sizes[i]:
+                least = int(jaccard_join.least_shared(sizes[i], sizes[j]))
+                if min(sizes[i] - places[i], sizes[j] - places[j]) + least - 1 >= (4 * (sizes[i] + sizes[j]) + 8) // 9:
+                    key = (int(lists[i]), *sorted((int(stars[i]), int(stars[j]))))
+                    want[key] = min(want.get(key, least), least)
+    a, b, least = list_pairs(lists, stars, groups, sizes, places)
+    assert sorted(zip(a.tolist(), b.tolist(), least.tolist())) == sorted((k[1], k[2], v) for k, v in want.items())
+
+
+@pytest.mark.parametrize("block", [400, 3])
+def test_members_of_open_stars_against_all_pairs(spark, monkeypatch, block):
+    """Hosts and guests in blocks find every pair of stars whose members link."""
+    monkeypatch.setattr(jaccard_join, "STAR_BLOCK", block)
+    words = [f"w{i}" for i in range(100)]
+    ends = lambda base, step: [" ".join(base[: len(base) - step * k]) for k in range(8)]
+    rows = list(enumerate(ends(words, 2) + ends([*words[:82], *[f"x{i}" for i in range(8)]], 1) + ends([*words[:60], *[f"z{i}" for i in range(40)]], 1)))
+    sets = {d: shingles(t) for d, t in rows}
+    similar = lambda x, y: len(sets[x] & sets[y]) / len(sets[x] | sets[y])
+    stars = [(d, len(sets[d]), d // 8 * 8, 1 - similar(d, d // 8 * 8)) for d in sets]
+    open_pairs = [(a, b, 1 - similar(a, b)) for a, b in ((0, 8), (0, 16), (8, 16))]
+    got = member_links(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(stars, "doc_id long, n long, center long, far double"), spark.createDataFrame(open_pairs, "a long, b long, d double"))
+    want = {(a, b) for a, b, _ in open_pairs for x in sets for y in sets if x // 8 * 8 == a and y // 8 * 8 == b and 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])}
+    assert want == {(0, 8)} == {tuple(sorted(r)) for r in got.collect()}

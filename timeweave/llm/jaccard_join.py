@@ -15,8 +15,9 @@ A document's set has the 64-bit hashes of its 5-word shingles.
    of a large group, and only pairs of stars of different components go on.
 4. Their centres are compared. A member's answer is derived from its centre's:
    the Jaccard distance is a metric, so members a, b of centres A, B can link
-   only if d(A, B) <= 0.2 + d(a, A) + d(b, B). Only those members are compared,
-   and only where the centres aren't connected yet.
+   only if d(A, B) <= 0.2 + d(a, A) + d(b, B). Only those members meet, in
+   blocks, and only where the centres aren't connected yet; a task tells which
+   stars it found linked, so pairs of members are no rows.
 5. Links between centres, stars and classes give components.
 6. All links are within components: there the classes meet in blocks, those of
    large components by size, and every pair is compared. A task adds up its
@@ -27,12 +28,12 @@ No step drops, caps or samples sets: the sample only decides an order.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timeweave.llm.common import attach, materialize, partitions, per_group
@@ -40,11 +41,14 @@ from timeweave.llm.components import connected_components
 
 WORDS = 5
 #: Links are 100 * intersection >= 80 * union, so 9 * intersection >= 4 * (size + size).
-CACHE_WORDS = 500_000
+#: Characters of text hashed at once.
+SHINGLE_BYTES = 2_000_000
 #: For the order: one document in ORDER_SAMPLE is looked at, shingles of ORDER_LEAST and more of them count as frequent, ORDER_MOST at most.
 ORDER_SAMPLE, ORDER_LEAST, ORDER_MOST = 32, 3, 200_000
 #: Members that meet a centre in one task, and entries of a list in one block.
 STAR_BLOCK, LIST_BLOCK = 400, 1500
+#: Shingles of the sets of one block, one set at least.
+BLOCK_SHINGLES = 1_000_000
 _U = np.uint64
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -57,54 +61,75 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-class Shingler:
-    """Sorted distinct shingle hashes of texts."""
-
-    def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
-
-    def __call__(self, text: str) -> np.ndarray:
+def shingle_sets(texts: Iterable[str]) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each text; texts are hashed in parts of SHINGLE_BYTES, one text at least."""
+    part, size = [], 0
+    for text in texts:
         words = text.encode("utf-8", "replace").lower().split()
-        known, n = self.known, len(words)
-        if not n:
-            return np.zeros(0, dtype=np.uint64)
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        try:
-            h = np.array([known[w] for w in words], dtype=np.uint64)
-        except KeyError:
-            for w in words:
-                if w not in known:
-                    known[w] = xxhash.xxh3_64_intdigest(w)
-            h = np.array([known[w] for w in words], dtype=np.uint64)
-        if n < WORDS:
-            return mix(np.array([(h * _MULTIPLIERS[:n]).sum(dtype=np.uint64)]), n)
-        total = h[: n - WORDS + 1] * _MULTIPLIERS[0]
-        for k in range(1, WORDS):
-            total = total + h[k : n - WORDS + 1 + k] * _MULTIPLIERS[k]
-        return np.unique(mix(total, WORDS))
+        part.append(words)
+        size += len(text)
+        if size >= SHINGLE_BYTES:
+            yield from _shingle_part(part)
+            part, size = [], 0
+    yield from _shingle_part(part)
+
+
+def _shingle_part(texts: list[list[bytes]]) -> Iterator[np.ndarray]:
+    h = np.array([xxhash.xxh3_64_intdigest(w) for words in texts for w in words], dtype=np.uint64)
+    full = max(0, len(h) - WORDS + 1)
+    total = np.zeros(full, dtype=np.uint64)
+    for k in range(WORDS):
+        total += h[k : full + k] * _MULTIPLIERS[k]
+    total, at = mix(total, WORDS), 0  # those that reach into the next text aren't looked at
+    for words in texts:
+        n = len(words)
+        if n >= WORDS:
+            s = np.sort(total[at : at + n - WORDS + 1])
+            yield s[np.r_[True, s[1:] != s[:-1]]]
+        else:
+            yield mix(np.array([(h[at : at + n] * _MULTIPLIERS[:n]).sum(dtype=np.uint64)]), n) if n else np.zeros(0, dtype=np.uint64)
+        at += n
 
 
 def _i64(x: np.ndarray | np.uint64) -> np.ndarray:
     return np.asarray(x, dtype=np.uint64).view(np.int64)
 
 
-def _class_key(s: np.ndarray) -> tuple[int, int]:
-    """128 bits of a set."""
-    return int(_i64(mix(s, 11).sum(dtype=np.uint64))), int(_i64(mix(s, 12).sum(dtype=np.uint64)))
+def _class_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Size, 128-bit key in two halves and min-hash of each set; 0 for empty sets."""
+    n = np.array([len(s) for s in sets], dtype=np.int64)
+    out = [np.zeros(len(sets), dtype=np.uint64) for _ in range(3)]
+    if n.sum():
+        every, full = np.concatenate(sets), n > 0
+        starts = (np.cumsum(n) - n)[full]
+        for x, of, seed in zip(out, (np.add, np.add, np.minimum), (11, 12, 13)):
+            x[full] = of.reduceat(mix(every, seed), starts)
+    return n, *map(_i64, out)
+
+
+def _parts(sets: Iterator[np.ndarray], most: int = 500_000) -> Iterator[list[np.ndarray]]:
+    """Sets in lists of about ``most`` hashes."""
+    part, size = [], 0
+    for s in sets:
+        part.append(s)
+        size += len(s)
+        if size >= most:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
 
 
 def features(docs: DataFrame) -> DataFrame:
     """(doc_id, n, ka, kb, mh): size, 128-bit key and min-hash of each set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles = Shingler()
         for batch in batches:
-            out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                s = shingles(text)
-                out.append((doc_id, len(s), *(_class_key(s) if len(s) else (0, 0)), int(_i64(mix(s, 13).min())) if len(s) else 0))
-            yield pd.DataFrame(out, columns=["doc_id", "n", "ka", "kb", "mh"])
+            at = 0
+            for sets in _parts(shingle_sets(batch["text"])):
+                n, ka, kb, mh = _class_keys(sets)
+                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[at : at + len(sets)].to_numpy(), "n": n, "ka": ka, "kb": kb, "mh": mh})
+                at += len(sets)
 
     return docs.mapInPandas(run, "doc_id long, n long, ka long, kb long, mh long")
 
@@ -118,7 +143,8 @@ def compare(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     2^20 at most, whatever the number of pairs.
     """
     salts = F.ceil(F.col("m") / STAR_BLOCK).cast("int")
-    counted = per_group(pairs.select("a", "b").distinct(), ["a"], "b", {"m": ("count", "b")})
+    pairs = materialize(pairs.select("a", "b").distinct(), "asked")
+    counted = pairs.join(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m")), "a")
     dealt = materialize(counted.select("a", "b", F.pmod(F.xxhash64("b"), salts).cast("int").alias("part")), "pairs")
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
     asked = dealt.select(F.col("a").alias("doc_id")).union(dealt.select(F.col("b").alias("doc_id"))).select(bucket.alias("_bucket")).distinct()
@@ -127,11 +153,10 @@ def compare(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     anchors = dealt.select(F.col("a").alias("doc_id"), "part").distinct().join(near, "doc_id").select(F.col("doc_id").alias("a"), "part", F.lit(None).cast("long").alias("b"), "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles, own, key = Shingler(), np.zeros(0, dtype=np.uint64), None
+        own, key = np.zeros(0, dtype=np.uint64), None
         for batch in batches:
             out = []
-            for a, b, text in zip(batch["a"], batch["b"], batch["text"]):
-                s = shingles(text)
+            for a, b, s in zip(batch["a"], batch["b"], shingle_sets(batch["text"])):
                 if pd.isna(b):
                     key, own = a, s
                 elif key == a:
@@ -153,11 +178,10 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
     """Shingles that come last in the global order, sorted, with their rank there."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles = Shingler()
         for batch in batches:
-            sets = [shingles(t) for t in batch["text"]]
-            values, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
-            yield pd.DataFrame({"h": _i64(values), "n": counts})
+            for sets in _parts(shingle_sets(batch["text"])):
+                values, counts = np.unique(np.concatenate(sets), return_counts=True)
+                yield pd.DataFrame({"h": _i64(values), "n": counts})
 
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(ORDER_SAMPLE)) == 0)
     counted = sample.mapInPandas(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= ORDER_LEAST)
@@ -168,18 +192,23 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
     return np.stack([hashes[order], rank[order].astype(np.uint64)])
 
 
-def prefix(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The first len - ceil(0.8 len) + 1 shingles of a sorted set in the global order."""
-    k = len(s) - (4 * len(s) + 4) // 5 + 1
+def prefixes(sets: list[np.ndarray], frequent: np.ndarray) -> list[np.ndarray]:
+    """The first len - ceil(0.8 len) + 1 shingles of each sorted set in the global order."""
+    size = lambda s: len(s) - (4 * len(s) + 4) // 5 + 1
     if not frequent.shape[1]:
-        return s[:k]
-    at = np.minimum(np.searchsorted(frequent[0], s), frequent.shape[1] - 1)
-    often = frequent[0][at] == s
-    rare = s[~often]
-    if len(rare) >= k:
-        return rare[:k]
-    last = s[often]
-    return np.concatenate([rare, last[np.argsort(frequent[1][at][often], kind="stable")]])[:k]
+        return [s[: size(s)] for s in sets]
+    every = np.concatenate(sets)
+    where = np.minimum(np.searchsorted(frequent[0], every), frequent.shape[1] - 1)
+    often, out, at = frequent[0][where] == every, [], 0
+    for s in sets:
+        own = slice(at, at + len(s))
+        at, k = at + len(s), size(s)
+        rare = s[~often[own]][:k]
+        if len(rare) < k:
+            last = np.flatnonzero(often[own])
+            rare = np.concatenate([rare, s[last[np.argsort(frequent[1][where[own][last]], kind="stable")]]])[:k]
+        out.append(rare)
+    return out
 
 
 _ENTRY = np.dtype([("h", "<u8"), ("ka", "<i8"), ("n", "<u4"), ("at", "<u4")])
@@ -195,18 +224,21 @@ def index_lists(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     table = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles = Shingler()
         for batch in batches:
             seen, parts = set(), []
-            for text in batch["text"]:
-                s = shingles(text)
-                if not len(s) or (key := _class_key(s)[0]) in seen:
-                    continue
-                seen.add(key)
-                first = prefix(s, table.value)
-                entries = np.empty(len(first), dtype=_ENTRY)
-                entries["h"], entries["ka"], entries["n"], entries["at"] = first, key, len(s), np.arange(len(first))
-                parts.append(entries)
+            for sets in _parts(shingle_sets(batch["text"])):
+                keys, fresh = _class_keys(sets)[1].tolist(), []
+                for s, key in zip(sets, keys):
+                    if len(s) and key not in seen:
+                        seen.add(key)
+                        fresh.append((s, key))
+                if fresh:
+                    first = prefixes([s for s, _ in fresh], table.value)
+                    entries = np.empty(sum(map(len, first)), dtype=_ENTRY)
+                    entries["h"] = np.concatenate(first)
+                    entries["ka"], entries["n"] = (np.repeat(np.array(x), [len(p) for p in first]) for x in ([key for _, key in fresh], [len(s) for s, _ in fresh]))
+                    entries["at"] = np.concatenate([np.arange(len(p)) for p in first])
+                    parts.append(entries)
             if parts:
                 entries = np.concatenate(parts)
                 where = (mix(entries["h"], 21) % _U(n)).astype(np.int64)
@@ -254,30 +286,41 @@ def least_shared(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     return (np.maximum(1, np.minimum(length(na) - (na - o), length(nb) - (nb - o))) + 1) // 2
 
 
-def list_pairs(stars: np.ndarray, groups: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(a, b, least_shared) of entries of stars of different groups in a list that size and position allow to link.
+def list_pairs(lists: np.ndarray, stars: np.ndarray, groups: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, least_shared) of entries of stars of different groups that size and position in their list allow to link.
 
-    Entries go by size; a block of sizes from s to 1.25 s is compared with s, the
-    rest is skipped.
+    Entries come by list, then size. Each is compared with the next, the second
+    next and so on of its list, until sizes are beyond 1.25 times its own: the
+    rest of the list is skipped. A pair is given once for each list.
     """
-    order = np.argsort(sizes, kind="stable")
-    stars, groups, sizes, places = stars[order], groups[order], sizes[order], places[order]
-    rest, ends, out = sizes - places, np.searchsorted(sizes, sizes * 5 // 4, side="right"), []
-    for i in range(len(stars) - 1):
-        j = slice(i + 1, int(ends[i]))
-        if j.stop > j.start:
-            least = least_shared(sizes[i], sizes[j])
-            # From the j-th common element on, j = least at most, the overlap less j - 1 has to fit.
-            ok = (np.minimum(rest[i], rest[j]) + least - 1 >= (4 * (sizes[i] + sizes[j]) + 8) // 9) & (groups[j] != groups[i])
-            if ok.any():
-                other = stars[j][ok]
-                out.append((np.minimum(other, stars[i]), np.maximum(other, stars[i]), least[ok]))
-    return out
+    rest, ends = sizes - places, np.searchsorted(lists, lists, side="right")
+    on, step, out = np.arange(len(lists)), 1, []
+    while True:
+        on = on[on + step < ends[on]]
+        on = on[4 * sizes[on + step] <= 5 * sizes[on]]
+        if not len(on):
+            break
+        to = on + step
+        o = (4 * (sizes[on] + sizes[to]) + 8) // 9
+        least = least_shared(sizes[on], sizes[to])
+        # From the j-th common element on, j = least at most, the overlap less j - 1 has to fit.
+        ok = (np.minimum(rest[on], rest[to]) + least - 1 >= o) & (groups[on] != groups[to])
+        if ok.any():
+            a, b = stars[on[ok]], stars[to[ok]]
+            out.append((lists[on[ok]], np.minimum(a, b), np.maximum(a, b), least[ok]))
+        step += 1
+    if not out:
+        return tuple(np.zeros(0, dtype=np.int64) for _ in range(3))
+    number, a, b, least = (np.concatenate(x) for x in zip(*out))
+    order = np.lexsort((number, b, a))
+    number, a, b, least = number[order], a[order], b[order], least[order]
+    starts = np.flatnonzero(np.r_[True, (number[1:] != number[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    return a[starts], b[starts], np.minimum.reduceat(least, starts)
 
 
 def star_lists(lists: DataFrame, stars: DataFrame) -> DataFrame:
     """(h, center, n, at): the index lists with the stars of their entries, each size of a star once."""
-    entries = attach(lists, stars.select("ka", "center"), ["ka"], "h")
+    entries = lists.join(stars.select("ka", "center"), "ka")
     return materialize(entries.groupBy("h", "center", "n").agg(F.min("at").alias("at")), "lists")
 
 
@@ -309,50 +352,130 @@ def candidate_stars(entries: DataFrame) -> DataFrame:
     """
     rows = _in_blocks(entries, "component").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     rows = rows.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "center", "component", "n", "at")
-    blocks = rows.groupBy("h", "i", "j").agg(*[F.collect_list(x).alias(y) for x, y in (("center", "c"), ("component", "g"), ("n", "n"), ("at", "at"))])
+    key, columns = ["h", "i", "j"], ["center", "component", "n", "at"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: list[pd.DataFrame] = []
-
-        def counted() -> pd.DataFrame:
-            return pd.concat(found).groupby(["a", "b"], as_index=False).agg(shared=("shared", "sum"), least=("least", "min"))
+        def counted(rows: np.ndarray) -> pd.DataFrame:
+            lists = np.cumsum(np.r_[0, (rows[1:, :3] != rows[:-1, :3]).any(axis=1)])
+            a, b, least = list_pairs(lists, *rows[:, 3:].T)
+            starts = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, dtype=np.int64)
+            return pd.DataFrame({"a": a[starts], "b": b[starts], "shared": np.diff(np.r_[starts, len(a)]), "least": np.minimum.reduceat(least, starts) if len(a) else least})
 
-        held = 0
+        held = np.zeros((0, 7), dtype=np.int64)
         for batch in batches:
-            parts = []
-            for number, (c, g, n, at) in enumerate(zip(batch["c"], batch["g"], batch["n"], batch["at"])):
-                parts += [(*x, np.full(len(x[0]), number)) for x in list_pairs(np.asarray(c), np.asarray(g), np.asarray(n), np.asarray(at))]
-            if parts:
-                a, b, least, number = (np.concatenate(x) for x in zip(*parts))
-                one = pd.DataFrame({"a": a, "b": b, "least": least, "number": number}).groupby(["number", "a", "b"], as_index=False)["least"].min()
-                found.append(one.groupby(["a", "b"], as_index=False).agg(shared=("number", "size"), least=("least", "min")))
-                held += len(found[-1])
-                if held > 1_000_000:
-                    found = [counted()]
-                    held = 0
-        yield counted() if found else pd.DataFrame({"a": [], "b": [], "shared": [], "least": []}).astype("int64")
-
-    pairs = blocks.mapInPandas(run, "a long, b long, shared long, least long").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("least").alias("least"))
-    return pairs.where("shared >= least").select("a", "b")
-
-
-def common_shingles(sets: list[np.ndarray]) -> np.ndarray:
-    """The sizes of the overlaps of all pairs of sets, as a matrix."""
-    out = np.zeros((len(sets), len(sets)), dtype=np.float64)
-    values, codes, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    shared = counts[codes] > 1
-    column, owner = (np.cumsum(counts > 1) - 1)[codes[shared]], owner[shared]
-    order = np.argsort(column, kind="stable")
-    column, owner = column[order], owner[order]
-    for at in range(0, int((counts > 1).sum()), 4096):
-        x = slice(*np.searchsorted(column, [at, at + 4096]))
-        dense = np.zeros((len(sets), 4096), dtype=np.float32)
-        dense[owner[x], column[x] - at] = 1
-        out += dense @ dense.T
+            held = np.concatenate([held, batch[key + columns].to_numpy(np.int64)])
+            # The last block may go on in the next batch; blocks have a bounded number of entries.
+            last = int(np.argmax((held[:, :3] == held[-1, :3]).all(axis=1))) if len(held) else 0
+            if last:
+                yield counted(held[:last])
+                held = held[last:]
+        if len(held):
+            yield counted(held)
+
+    n = partitions(entries.sparkSession)
+    pairs = rows.repartition(n, *key).sortWithinPartitions(*key, "n", "at").mapInPandas(run, "a long, b long, shared long, least long")
+    return pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("least").alias("least")).where("shared >= least").select("a", "b")
+
+
+def common_shingles(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The sizes of the overlaps of the sets of ``left`` and ``right``, as a matrix; a range of hashes at a time."""
+    out = np.zeros((len(left), len(right)), dtype=np.float64)
+    both = [*left, *right]
+    ranges = sum(map(len, both)) // BLOCK_SHINGLES + 1
+    bounds = [_U(k * (2**64 // ranges)) for k in range(1, ranges)]
+    cuts = [np.r_[0, np.searchsorted(s, np.array(bounds, dtype=np.uint64)), len(s)].astype(np.int64) for s in both]
+    for k in range(ranges):
+        own = [s[c[k] : c[k + 1]] for s, c in zip(both, cuts)]
+        sizes = [len(s) for s in own]
+        values, codes, counts = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(both)), sizes)
+        shared = counts[codes] > 1
+        column, owner = (np.cumsum(counts > 1) - 1)[codes[shared]], owner[shared]
+        order = np.argsort(column, kind="stable")
+        column, owner = column[order], owner[order]
+        for at in range(0, int((counts > 1).sum()), 4096):
+            x = slice(*np.searchsorted(column, [at, at + 4096]))
+            dense = np.zeros((len(both), min(4096, int(column[-1]) + 1 - at)), dtype=np.float32)
+            dense[owner[x], column[x] - at] = 1
+            out += dense[: len(left)] @ dense[len(left) :].T
     return out
 
 
+def links_between(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Which sets link, as a matrix."""
+    sizes = [np.array([len(s) for s in sets]) for sets in (left, right)]
+    return 9 * common_shingles(left, right) >= 4 * (sizes[0][:, None] + sizes[1][None])
+
+
+def number_of_blocks(count: Column, shingles: Column) -> Column:
+    """Blocks of about STAR_BLOCK sets and BLOCK_SHINGLES shingles at most."""
+    return F.greatest(F.ceil(count / STAR_BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+
+
+def with_texts(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """``rows`` (rep, ...) with the texts; documents that can't be asked for are sorted out before the shuffle by hash bucket (2^20 at most)."""
+    bucket = lambda name: F.pmod(F.xxhash64(name), F.lit(1 << 20))
+    asked = rows.select(bucket("rep").alias("_bucket")).distinct()
+    moved = texts.withColumn("_bucket", bucket("doc_id")).join(F.broadcast(asked), "_bucket", "left_semi").select(F.col("doc_id").alias("rep"), "text")
+    return rows.join(moved, "rep")
+
+
+def in_meetings(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, list[dict[int, int]], list[list[np.ndarray]]]]:
+    """(key, documents by rep of both sides, sets of both sides) of each meeting of two blocks.
+
+    Rows (*keys, side, rep, size, text) come sorted by key; a repeated rep counts once a side.
+    """
+    now, sizes, sets = None, [{}, {}], [[], []]
+    for batch in batches:
+        for *own, side, rep, size, s in zip(*(batch[c] for c in (*keys, "side", "rep", "size")), shingle_sets(batch["text"])):
+            if tuple(own) != now:
+                if now is not None:
+                    yield now, sizes, sets
+                now, sizes, sets = tuple(own), [{}, {}], [[], []]
+            if rep not in sizes[side]:
+                sizes[side][rep] = size
+                sets[side].append(s)
+    if now is not None:
+        yield now, sizes, sets
+
+
+def member_links(texts: DataFrame, stars: DataFrame, open_pairs: DataFrame) -> DataFrame:
+    """(u, v): centres of stars of which members link, among ``open_pairs`` (a, b, d) of centres.
+
+    The larger star of a pair is host to members of the smaller; guests of all
+    pairs of a host are pooled. Hosts and guests meet in blocks, so a set is
+    copied once for each block that it meets and a pair of members is never a row.
+    """
+    own = materialize(stars.groupBy("center").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("m")), "radius")
+    side = lambda name: own.select(F.col("center").alias(name), F.col("far").alias(f"f{name}"), F.col("m").alias(f"m{name}"))
+    reach = open_pairs.join(side("a"), "a").join(side("b"), "b").where("d <= 0.2000001 + fa + fb AND fa + fb > 0")
+    first = (F.col("ma") > F.col("mb")) | ((F.col("ma") == F.col("mb")) & (F.col("a") < F.col("b")))
+    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    met = materialize(reach.select(pick("a", "b").alias("host"), pick("b", "a").alias("center"), (F.col("d") - 0.2000001 - pick("fa", "fb")).alias("least"), (F.col("d") - 0.2000001 - pick("fb", "fa")).alias("host_least")), "open")
+    guests = met.join(stars.select("center", F.col("doc_id").alias("rep"), "n", "far"), "center").where("far >= least").select("host", "rep", "n", F.lit(1).alias("side"))
+    least = met.groupBy("host").agg(F.min("host_least").alias("least"))
+    hosts = attach(stars.select(F.col("center").alias("host"), F.col("doc_id").alias("rep"), "n", "far"), least, ["host"], "rep").where("far >= least").select("host", "rep", "n", F.lit(0).alias("side"))
+    both = materialize(hosts.union(guests.distinct()), "meeting")
+    counts = both.groupBy("host").pivot("side", [0, 1]).agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"))
+    blocks = counts.where("`0_m` > 0 AND `1_m` > 0").select("host", number_of_blocks(F.col("0_m"), F.col("0_s")).alias("nh"), number_of_blocks(F.col("1_m"), F.col("1_s")).alias("ng"))
+    placed = attach(both, blocks, ["host"], "rep")
+    mine, others = F.when(F.col("side") == 0, F.col("nh")).otherwise(F.col("ng")), F.when(F.col("side") == 0, F.col("ng")).otherwise(F.col("nh"))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("rep"), mine).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
+    block = lambda of: F.when(F.col("side") == of, F.col("own")).otherwise(F.col("other")).alias("ij"[of])
+    keys = ["host", "i", "j"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for (host, _, _), members, sets in in_meetings(batches, keys):
+            if sets[0] and sets[1]:
+                linked = links_between(*sets).any(axis=0)
+                yield pd.DataFrame({"rep": [r for r, x in zip(members[1], linked) if x], "v": host}).astype("int64")
+
+    dealt = with_texts(placed.select("host", block(0), block(1), "side", "rep", F.lit(1).alias("size")), texts)
+    meeting = dealt.repartition(partitions(texts.sparkSession), *keys).sortWithinPartitions(*keys, "side", "rep")
+    found = meeting.mapInPandas(run, "rep long, v long").distinct()
+    return found.join(stars.select(F.col("doc_id").alias("rep"), F.col("center").alias("u")), "rep").select("u", "v").distinct()
+
+
 def link_counts(texts: DataFrame, classes: DataFrame) -> DataFrame:
     """(rep, linked): documents of other classes that link to each class, of ``classes`` (rep, n, component, size).
 
@@ -361,7 +484,7 @@ def link_counts(texts: DataFrame, classes: DataFrame) -> DataFrame:
     """
     counted = per_group(classes, ["component"], "rep", {"m": ("count", "rep")}).where("m > 1")
     banded = counted.withColumn("band", F.when(F.col("m") <= STAR_BLOCK, 0).otherwise(F.floor(F.log(1.25, F.col("n")))).cast("int"))
-    blocks = per_group(banded, ["component", "band"], "rep", {"k": ("count", "rep")}).withColumn("nb", F.ceil(F.col("k") / STAR_BLOCK).cast("int"))
+    blocks = per_group(banded, ["component", "band"], "rep", {"k": ("count", "rep"), "s": ("sum", "n")}).withColumn("nb", number_of_blocks(F.col("k"), F.col("s")))
     own = materialize(blocks.select("component", "rep", "size", "m", "band", "nb", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int").alias("own")), "blocks")
     heads = own.where(F.col("m") > STAR_BLOCK).select("component", "band", "nb").distinct()
     each = lambda rows, n: rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
@@ -372,53 +495,32 @@ def link_counts(texts: DataFrame, classes: DataFrame) -> DataFrame:
     dealt = dealt.union(each(near(-1), "no").select(*key(band, band + 1, mine, other, F.lit(0))))
     dealt = dealt.union(each(near(1), "no").select(*key(band - 1, band, other, mine, F.lit(1))))
     keys = ["component", "lo", "hi", "i", "j"]
-    bucket = lambda name: F.pmod(F.xxhash64(name), F.lit(1 << 20))
-    asked = own.select(bucket("rep").alias("_bucket")).distinct()
-    moved = texts.withColumn("_bucket", bucket("doc_id")).join(F.broadcast(asked), "_bucket", "left_semi").select(F.col("doc_id").alias("rep"), "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles = Shingler()
-
-        def linked(group: tuple, members: dict[int, tuple[int, int, np.ndarray]]) -> pd.DataFrame:
-            side, size = (np.array([x[k] for x in members.values()]) for k in (0, 1))
-            sets = [x[2] for x in members.values()]
-            n = np.array([len(x) for x in sets])
-            met = 9 * common_shingles(sets) >= 4 * (n[:, None] + n[None, :])
-            # A block with itself: all pairs but a class's own; two blocks: those across.
-            met &= ~np.eye(len(sets), dtype=bool) if group[1] == group[2] and group[3] == group[4] else side[:, None] != side[None, :]
-            return pd.DataFrame({"rep": list(members), "linked": met @ size})
-
-        group, members = None, {}
-        for batch in batches:
-            for *at, rep, size, side, text in zip(*(batch[c] for c in (*keys, "rep", "size", "side", "text"))):
-                if tuple(at) != group:
-                    if len(members) > 1:
-                        yield linked(group, members)
-                    group, members = tuple(at), {}
-                members[rep] = (side, size, shingles(text))
-        if len(members) > 1:
-            yield linked(group, members)
-
-    meeting = dealt.join(moved, "rep").repartition(partitions(texts.sparkSession), *keys).sortWithinPartitions(*keys, "rep")
+        for (_, lo, hi, i, j), sizes, sets in in_meetings(batches, keys):
+            reps, size = [list(x) for x in sizes], [np.array(list(x.values()), dtype=np.float64) for x in sizes]
+            if (lo, i) == (hi, j):
+                # A block with itself: all pairs but a class's own.
+                met = links_between(sets[0], sets[0]) & ~np.eye(len(sets[0]), dtype=bool)
+                yield pd.DataFrame({"rep": reps[0], "linked": met @ size[0]}).astype("int64")
+            elif sets[0] and sets[1]:
+                met = links_between(*sets)
+                yield pd.DataFrame({"rep": reps[0] + reps[1], "linked": np.r_[met @ size[1], met.T @ size[0]]}).astype("int64")
+
+    meeting = with_texts(dealt, texts).repartition(partitions(texts.sparkSession), *keys).sortWithinPartitions(*keys, "side", "rep")
     return meeting.mapInPandas(run, "rep long, linked long").groupBy("rep").agg(F.sum("linked").alias("linked"))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, n_links) of every document with an id.
-
-    Words are runs without ASCII white space, A-Z in lower case; a text of fewer
-    than five words is one shingle; null, empty and blank texts have no shingles
-    and are components of their own. ``component_id`` is the smallest id that
-    links reach; ``n_links`` is the number of other documents that the document
-    links to, equal ones included. Rows that repeat an id are one document,
-    given once for each row. An empty table gives no rows; further columns
-    aren't read.
-    """
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Texts (doc_id, text), sets (doc_id, n, ...) and classes (doc_id, ka, n, mh, rep) of the documents with an id."""
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sets = materialize(features(texts), "sets")
-    classes = materialize(per_group(sets.where("n > 0"), ["ka", "kb", "n"], "doc_id", {"rep": ("min", "doc_id")}).select("doc_id", "ka", "n", "mh", "rep"), "classes")
-    reps = classes.where("doc_id = rep").select("doc_id", "ka", "n", "mh").distinct()
+    return texts, sets, materialize(per_group(sets.where("n > 0"), ["ka", "kb", "n"], "doc_id", {"rep": ("min", "doc_id")}).select("doc_id", "ka", "n", "mh", "rep"), "classes")
 
+
+def class_components(texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """(rep, n, component) of each class: its size and the smallest rep that links reach."""
+    reps = classes.where("doc_id = rep").select("doc_id", "ka", "n", "mh").distinct()
     near = per_group(reps, ["mh"], "doc_id", {"center": ("min", "doc_id")}).where("doc_id <> center")
     compared = compare(texts, near.select(F.col("center").alias("a"), F.col("doc_id").alias("b")))
     members = compared.where(_LINKED).select(F.col("b").alias("doc_id"), F.col("a").alias("_center"), F.expr(_DISTANCE).alias("_far"))
@@ -427,32 +529,36 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     entries = star_lists(index_lists(texts, frequent_shingles(texts)), stars)
     first = compare(texts, neighbours(entries))
-    links = first.where(_LINKED).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    components = materialize(connected_components(links), "components")
+    components = connected_components(first.where(_LINKED).select(F.col("a").alias("u"), F.col("b").alias("v")))
     grouped = attach(entries, components.withColumnRenamed("node", "center"), ["center"], "h", "left").withColumn("component", F.coalesce("component", "center"))
     pairs = candidate_stars(grouped).join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = compare(texts, pairs)
-    met = first.unionByName(second)
-    links = materialize(met.where(_LINKED).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
-    components = materialize(connected_components(links), "components")
+    met = first.unionByName(compare(texts, pairs))
+    as_links = lambda found: found.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    components = connected_components(as_links(components).union(met.where(_LINKED).select("a", "b")))
 
-    open_pairs = met.where(f"NOT ({_LINKED})").select("a", "b", F.expr(_DISTANCE).alias("d"))
-    radius = stars.groupBy("center").agg(F.max("far").alias("far"))
-    reach = open_pairs.join(radius.select(F.col("center").alias("a"), F.col("far").alias("fa")), "a").join(radius.select(F.col("center").alias("b"), F.col("far").alias("fb")), "b").where("d <= 0.2000001 + fa + fb AND fa + fb > 0")
     known = lambda name: components.select(F.col("node").alias(name), F.col("component").alias(f"c{name}"))
-    reach = reach.join(known("a"), "a", "left").join(known("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)")
-    own = lambda name: stars.select(F.col("center").alias(name), F.col("doc_id").alias(f"x{name}"), F.col("far").alias(f"r{name}"), F.col("n").alias(f"n{name}"))
-    reach = reach.join(own("a"), "a").where("d <= 0.2000001 + ra + fb").join(own("b"), "b").where("d <= 0.2000001 + ra + rb AND (ra > 0 OR rb > 0) AND 5 * na >= 4 * nb AND 5 * nb >= 4 * na")
-    reach = materialize(reach.select("a", "b", "xa", "xb"), "members")
-    if reach.limit(1).count():
-        more = compare(texts, reach.select(F.col("xa").alias("a"), F.col("xb").alias("b"))).where(_LINKED).select(F.col("a").alias("xa"), F.col("b").alias("xb"))
-        links = materialize(links.union(reach.join(more, ["xa", "xb"]).select(F.col("a").alias("u"), F.col("b").alias("v"))).distinct(), "links")
-        components = materialize(connected_components(links), "components")
-
-    about = components.withColumnRenamed("node", "center")
-    placed = attach(stars.select(F.col("doc_id").alias("rep"), "n", "center"), about, ["center"], "rep", "left").select("rep", "n", F.coalesce("component", "center").alias("component"))
+    open_pairs = met.where(f"NOT ({_LINKED})").select("a", "b", F.expr(_DISTANCE).alias("d"))
+    open_pairs = open_pairs.join(known("a"), "a", "left").join(known("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b", "d")
+    more = materialize(member_links(texts, stars, open_pairs), "more")
+    if not more.isEmpty():
+        components = connected_components(as_links(components).union(more))
+    return attach(stars.select(F.col("doc_id").alias("rep"), "n", "center"), components.withColumnRenamed("node", "center"), ["center"], "rep", "left").select("rep", "n", F.coalesce("component", "center").alias("component"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id, n_links) of every document with an id.
+
+    Words are runs without ASCII white space, A-Z in lower case; a text of fewer
+    than five words is one shingle; null, empty and blank texts have no shingles
+    and are components of their own. ``component_id`` is the smallest id that
+    links reach; ``n_links`` is the number of other documents that the document
+    links to, equal ones included. Rows that repeat an id are one document,
+    given once for each row. An empty table gives no rows; further columns
+    aren't read.
+    """
+    texts, sets, classes = _classes(docs, id_col, text_col)
     documents = classes.select("doc_id", "rep").distinct()
-    sized = materialize(placed.join(documents.groupBy("rep").agg(F.count(F.lit(1)).alias("size")), "rep"), "sized")
+    sized = materialize(class_components(texts, classes).join(documents.groupBy("rep").agg(F.count(F.lit(1)).alias("size")), "rep"), "sized")
     counted = sized.join(link_counts(texts, sized), "rep", "left").select("rep", F.col("component").alias("component_id"), (F.col("size") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
     of_class = attach(documents, counted, ["rep"], "doc_id").select(F.col("doc_id").alias("_id"), "component_id", "n_links")
     out = sets.join(of_class, F.col("doc_id") == F.col("_id"), "left")
@@ -460,7 +566,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are the smallest of their component, with all their columns."""
-    found = jaccard_components(docs, id_col, text_col)
-    kept = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept_id")).distinct()
+    """The rows of ``docs`` that are the smallest of their component, with all their columns.
+
+    Documents without shingles stay, those without an id go; of rows that repeat
+    an id all stay or none.
+    """
+    texts, sets, classes = _classes(docs, id_col, text_col)
+    first = class_components(texts, classes).where("rep = component").select(F.col("rep").alias("_kept_id"))
+    kept = first.union(sets.where("n = 0").select("doc_id")).distinct()
     return docs.join(kept, docs[id_col] == kept["_kept_id"], "left_semi")
