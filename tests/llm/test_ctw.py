@@ -1,12 +1,12 @@
 import math
 import zlib
 from collections import Counter
+from functools import cache
 
 import numpy as np
 
 from tests.llm.helpers import collected, docs
 from timeweave.llm import ctw
-from timeweave.llm.common import materialize
 
 
 def log_kt(a, b):
@@ -24,7 +24,8 @@ def test_block_probability():
 
 
 def brute_model(counts):
-    """log10 P(byte | context) by plain recursion over dictionaries; counts by (context bytes, newest first; byte)."""
+    """log10 P(byte | context) by plain recursion over dictionaries; counts by (DEPTH context bytes, newest first; byte)."""
+
     def node(context, bits):
         got = [0, 0]
         for (c, byte), n in counts.items():
@@ -33,75 +34,82 @@ def brute_model(counts):
                 got[int(text[len(bits)])] += n
         return got
 
-    def is_leaf(context):
-        return len(context) == ctw.DEPTH or len(context) >= 2 and context[-2] == ctw.BLANK
-
-    def children(context):
-        return {c[: len(context) + 1] for c, _ in counts if c[: len(context)] == context and len(c) > len(context)}
-
+    @cache
     def mixed(context, bits):
         own = log_kt(*node(context, bits))
-        if is_leaf(context):
+        if len(context) == ctw.DEPTH:
             return own
-        below = sum(mixed(c, bits) for c in children(context) if sum(node(c, bits)))
+        below = sum(mixed(c, bits) for c in {c[: len(context) + 1] for c, _ in counts if c[: len(context)] == context})
         return float(np.logaddexp(math.log(0.5) + own, math.log(0.5) + below))
 
+    @cache
     def predict(context, bits, bit, depth=0):
         at = context[:depth]
         n = node(at, bits)
-        if not sum(n):
-            return None
         own = (n[bit] + 0.5) / (sum(n) + 1)
-        if is_leaf(at) or depth == len(context):
-            return own
-        deeper = predict(context, bits, bit, depth + 1)
-        if deeper is None:
+        if depth == ctw.DEPTH:
             return own
         w = math.exp(math.log(0.5) + log_kt(*n) - mixed(at, bits))
-        return w * own + (1 - w) * deeper
+        return w * own + (1 - w) * predict(context, bits, bit, depth + 1)
 
     def log_p(context, byte):
-        text, total = f"{byte:08b}", 0.0
-        for k in range(8):
-            p = predict(context, text[:k], int(text[k]))
-            total += math.log10(0.5 if p is None else p)
-        return total
+        text = f"{byte:08b}"
+        return sum(math.log10(predict(context, text[:k], int(text[k]))) for k in range(8))
 
     return log_p
 
 
-def test_mixture_against_recursion():
-    words = [b"ab", b"abc", b"ab", b"ba", b"abcdefghij", ctw.END]
-    counts, keys, weights = Counter(), [], []
-    number, key, place = ctw.context_keys(words)
-    for k in (0, 1):
-        own = ctw.in_class(key, place, k)
-        keys.append(own)
-        weights.append(np.full(len(own), 2 if k == 0 else 1))
-    unseen = ctw.in_class(*ctw.context_keys([b"abx", b"zz"])[1:], 0)
-    key, where = np.unique(np.concatenate([*keys, unseen]), return_inverse=True)
-    count = np.bincount(where, weights=np.concatenate([*weights, np.zeros(len(unseen))]))
-    for k, n in zip(key.tolist(), count.astype(int).tolist()):
-        context = tuple(b for b in ((k >> 8 * i) & 255 for i in range(1, 8)) if b)
-        if n:
-            counts[context, k & 255] += n
+def normal(text):
+    return b" ".join([*(text or "").encode().lower().split(), b"\n"])
+
+
+def pairs(text):
+    """(context, newest byte first; byte) of every byte of a normalised text, end marks before it."""
+    padded = b"\n" * ctw.DEPTH + text
+    return [(tuple(padded[i - ctw.DEPTH : i][::-1]), padded[i]) for i in range(ctw.DEPTH, len(padded))]
+
+
+def test_keys_against_slices():
+    texts = [b"\n", b"ab cd \n", b"x" * 40 + b" \n", b"\n"]
+    keys = ctw.pair_keys(texts).tolist()
+    want = [sum(b << 8 * (i + 1) for i, b in enumerate(c)) | byte for t in texts for c, byte in pairs(t)]
+    assert keys == want
+
+
+def test_scores_against_recursion(spark):
+    """The end-to-end score of every document, over blanks and unseen bytes, is that of the plain recursion over the training documents."""
+    rows = [(i, ["a b", "ab a ba", "b", "ab ab b a", "", None, "A  ab"][i % 7]) for i in range(20)] + [(30, "ab zé b"), (31, "q")]
+    counts = Counter()
+    for d, t in rows:
+        if zlib.crc32(str(d).encode()) % 7 != 2:
+            counts.update(pairs(normal(t)))
+    log_p, got = brute_model(counts), collected(ctw.score_documents(docs(spark, rows)))
+    assert any(r.held_out for r in got.values())
+    for d, t in rows:
+        want = sum(log_p(*x) for x in pairs(normal(t)))
+        assert abs(got[d].score - want) < 1e-8 * abs(want)
+        assert abs(got[d].bits_per_byte + want / math.log10(2) / len(normal(t))) < 1e-8
+
+
+def test_probabilities_of_all_bytes_add_up():
+    texts = [b"ab ba \n", b"aab \n", b"abcab cab \n"] * 3
+    key, count = ctw._summed(ctw.pair_keys(texts), np.ones(sum(map(len, texts))))
     lower = ctw.lower_levels(key, count)
-    short, at = np.unique(key & np.uint64(0xFFFF), return_inverse=True)
+    short, n = ctw._summed(key & np.uint64(0xFFFF), count)
     nodes, up = np.unique(lower[0].parents(1), return_inverse=True)
-    n_short = np.bincount(at, weights=count)
-    upper = ctw.upper_levels(short[n_short > 0], n_short[n_short > 0], nodes, np.bincount(up, weights=lower[0].mixed))
-    got, log_p = ctw.log_probabilities(key, upper, lower), brute_model(counts)
-    for k, value in zip(key.tolist(), got.tolist()):
-        context = tuple(b for b in ((k >> 8 * i) & 255 for i in range(1, 8)) if b)
-        assert abs(value - log_p(context, k & 255)) < 1e-9
+    upper = ctw.upper_levels(short, n, nodes, np.bincount(up, weights=lower[0].mixed))
+    for context in {*(key >> np.uint64(8)).tolist(), 0x616161, 7}:
+        every = (np.uint64(context) << np.uint64(8)) | np.arange(256, dtype=np.uint64)
+        assert abs((10 ** ctw.log_probabilities(every, upper, lower)).sum() - 1) < 1e-9
 
 
 def test_documents_base_and_blocks_of_any_size(spark, monkeypatch):
-    rows = [(i, f"the cat {i % 7} sat on the mat and then some more words{i % 11}") for i in range(60)] + [(100, None), (101, ""), (102, "é ñ \x0bA"), (103, "x" * 50_000), (104, "unseen zebra " * 3000)]
+    rows = [(i, f"the cat {i % 7} sat on the mat and then some more words{i % 11}") for i in range(60)] + [(100, None), (101, ""), (102, "é ñ \x0bA \x00 b"), (103, "x" * 50_000), (104, "unseen zebra " * 3000)]
     df = docs(spark, rows)
     got = collected(ctw.score_documents(df))
-    monkeypatch.setattr(ctw, "BLOCK_BYTES", 40)
-    monkeypatch.setattr(ctw, "CHUNK_BYTES", 3000)
+    monkeypatch.setattr(ctw, "PIECE_BYTES", 40)
+    monkeypatch.setattr(ctw, "CHUNK_BYTES", 300)
+    monkeypatch.setattr(ctw, "GROUP", 3)
     small = collected(ctw.score_documents(df))
     train, tokens = Counter(), {}
     for d, t in rows:
@@ -113,5 +121,7 @@ def test_documents_base_and_blocks_of_any_size(spark, monkeypatch):
         r = got[d]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(d).encode()) % 7 == 2, len(w), sum(train[x] > 0 for x in w), n)
         assert abs(r.base_score - sum(math.log10((train[x] + 1) / (n + v + 1)) for x in w)) < 1e-6 * abs(r.base_score)
-        assert r.score < 0 and abs(r.score - small[d].score) < 1e-6 * abs(r.score)
+        assert r.score < 0 and abs(r.score - small[d].score) < 1e-9 * abs(r.score)
     assert ctw.score_documents(docs(spark, [])).count() == 0
+    untrained = collected(ctw.score_documents(docs(spark, [(next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2), "ab")])))
+    assert all(abs(r.bits_per_byte - 8) < 1e-9 and r.train_tokens == 0 for r in untrained.values())

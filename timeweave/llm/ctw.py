@@ -1,25 +1,28 @@
 """Language-model scores by context-tree weighting.
 
-A text is its words, each closed by a blank, and one end mark. Bytes are
-predicted bit by bit: each of the 255 binary nodes of a byte has a context tree
-over the preceding bytes of the word, back to the blank before it, and then the
-class of the text (DEPTH symbols at most). A node mixes the Krichevsky-Trofimov
-estimate of its own counts with its children's mixtures, half and half, over all
-depths; learned once over the training words, the mixture weights are the
-posterior ones. CLASSES classes come from byte frequencies of a bounded sample;
-a text's probability is the mean of those it has in each class, so the class
-isn't told beforehand.
-
-Everything is counted on distinct words. Context counts are dealt out by the two
-last context bytes, so all deeper nodes of a tree are in one task; the levels
-above (257 contexts, whatever the input) are put together on the driver. Scores
-go back from distinct contexts to distinct words to the words of each chunk of
-documents.
+A text is its words, A-Z in lower case, each closed by a blank, and one end mark.
+Bytes are predicted bit by bit: each of the 255 binary nodes of a byte has a
+context tree over the DEPTH bytes before it, across blanks; before the text stand
+end marks. A node mixes the Krichevsky-Trofimov estimate of its own counts with
+its children's mixtures, half and half, over all depths; learned once over the
+training texts, the mixture weights are the posterior ones. A node without
+counts predicts 1/2, as its estimate does.
+
+1. A task puts its documents in chunks and counts a chunk's distinct words and
+   distinct (context, byte) pairs, packed by part: a word's by its hash, a
+   pair's by its two last context bytes, so all deeper nodes of a tree are in one
+   part. Nothing is moved yet.
+2. The chunks' counts of a part are added up in groups of GROUP chunks, then over
+   the groups, so a part that a third of all text falls in is summed by many
+   tasks.
+3. The levels above (257 contexts, whatever the input) are put together on the
+   driver; each part weighs its own trees and scores its pairs.
+4. Each group of chunks asks its copy of a part's table; the answers go to the
+   chunks, and there to the documents.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 import pickle
 from collections import Counter
@@ -27,22 +30,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timeweave.llm.common import blocks_for, bytes_of, id_crc, identified, materialize, partitions
+from timeweave.llm.common import id_crc, identified, materialize, partitions
 
-DEPTH = 7
-#: Classes of texts, and the bounded sample of training documents from which their centres come.
-CLASSES, CLASS_SAMPLE = 4, 2000
+DEPTH = 5
 #: Contexts of fewer bytes are on the driver.
 SPLIT = 2
-BLANK, END = 0x20, b"\n"
-CHUNK_BYTES = 8 << 20
-#: Bytes of words whose pairs are asked for together.
-BLOCK_BYTES = 500_000
-_BLOBS = "part int, block binary, data binary"
+END = b"\n"
+#: Bytes of text of a chunk, of a piece of it whose pairs are sorted together, and chunks whose counts are added up first.
+CHUNK_BYTES, PIECE_BYTES, GROUP = 32 << 20, 1 << 20, 64
+DOCUMENTS, WORDS, PAIRS = 0, 1, 2
+_BLOBS = "kind int, part int, chunk long, data binary"
 _U = np.uint64
 
 
@@ -51,70 +53,29 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split()
 
 
-def context_keys(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word number, key, place of the class) of every byte that a word's text predicts.
+def word_keys(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words."""
+    return np.array(list(map(xxhash.xxh3_64_intdigest, words)), dtype=np.uint64)
 
-    A key has the predicted byte lowest, then the last byte before it, and so on;
-    0 stands where the word's context ends. The place is that of the symbol
-    beyond the blank, DEPTH + 1 if that is too far.
-    """
-    parts = [b" " + END if w == END else b" " + w + b" " for w in words]
-    lengths = np.array([len(p) for p in parts], dtype=np.int64)
-    buffer = np.frombuffer(b"".join(parts), dtype=np.uint8).astype(np.uint64)
-    number = np.repeat(np.arange(len(parts)), lengths)
-    first = np.repeat(np.cumsum(lengths) - lengths, lengths)
-    at = np.arange(len(buffer))
-    keep = at > first
-    number, first, at = number[keep], first[keep], at[keep]
-    key = buffer[at]
-    for k in range(1, DEPTH + 1):
-        back = at - k
-        key = key | (np.where(back >= first, buffer[np.maximum(back, 0)], _U(0)) << _U(8 * k))
-    return number, key, np.minimum(at - first + 1, DEPTH + 1)
-
-
-def in_class(key: np.ndarray, place: np.ndarray, number: int) -> np.ndarray:
-    """Keys with the symbol of a class at its place."""
-    return np.where(place <= DEPTH, key | (_U(number + 1) << (_U(8) * np.minimum(place, DEPTH).astype(np.uint64))), key)
 
+def as_bytes(words: list[bytes]) -> bytes:
+    """What the model predicts of a text: its words, blanks and the end mark."""
+    return b" ".join([*words, END])
 
-def byte_profile(text: str) -> np.ndarray:
-    """Square roots of the byte frequencies of a text in lower case."""
-    counts = np.bincount(np.frombuffer(text.lower().encode("utf-8", "replace"), dtype=np.uint8), minlength=256).astype(np.float64)
-    return np.sqrt(counts / max(1.0, counts.sum()))
 
+def pair_keys(texts: list[bytes]) -> np.ndarray:
+    """The (context, byte) pairs of all bytes of texts, one after the other.
 
-def learn_classes(rows: DataFrame, classes: int = CLASSES) -> np.ndarray:
-    """Centres of the byte profiles of the CLASS_SAMPLE first training documents by hash."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"profile": [byte_profile(t).tolist() for t in batch["text"]]})
-
-    first = rows.where("NOT held_out").select("id").orderBy(F.xxhash64("id"), "id").limit(CLASS_SAMPLE)
-    found = rows.join(F.broadcast(first.distinct()), "id", "left_semi")
-    profiles = sorted(r["profile"] for r in found.select("text").mapInPandas(run, "profile array<double>").collect())
-    if not profiles:
-        return byte_profile("")[None]
-    points, best, centres = np.array(profiles), math.inf, None
-    draw = np.random.default_rng(0)
-    for _ in range(10):
-        tried = points[draw.choice(len(points), min(classes, len(points)), replace=False)]
-        for _ in range(20):
-            square = (points**2).sum(axis=1)[:, None] + (tried**2).sum(axis=1)[None] - 2 * points @ tried.T
-            own = square.argmin(axis=1)
-            tried = np.array([points[own == k].mean(axis=0) if (own == k).any() else tried[k] for k in range(len(tried))])
-        if square.min(axis=1).sum() < best:
-            best, centres = square.min(axis=1).sum(), tried
-    return centres
-
-
-def available(key: np.ndarray) -> np.ndarray:
-    """Context bytes of each key."""
-    depth = np.zeros(len(key), dtype=np.int64)
+    A key has the predicted byte lowest, then the last byte before it, and so on.
+    """
+    buffer = np.frombuffer(END * DEPTH + (END * DEPTH).join(texts), dtype=np.uint8).astype(np.uint64)
+    key = buffer.copy()
     for k in range(1, DEPTH + 1):
-        depth[(key >> _U(8 * k)) & _U(255) != 0] = k
-    return depth
+        key[k:] |= buffer[:-k] << _U(8 * k)
+    predicted = np.ones(len(buffer), dtype=bool)
+    starts = np.cumsum([0, *[len(t) + DEPTH for t in texts[:-1]]])
+    predicted[(starts[:, None] + np.arange(DEPTH)[None]).ravel()] = False
+    return key[predicted]
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -144,25 +105,24 @@ class Level:
     """Nodes of one depth: sorted numbers, counts, own and mixed log probability, weight of the own estimate."""
 
     def __init__(self, key: np.ndarray, count: np.ndarray, depth: int):
+        self.depth = depth
+        key, count = _summed(key & _U((1 << 8 * (depth + 1)) - 1), count)
         nodes = np.concatenate([_node(key, bit, depth) for bit in range(8)])
         ones = np.concatenate([((key >> _U(7 - bit)) & _U(1)).astype(bool) for bit in range(8)])
         counts = np.tile(count.astype(np.float64), 8)
-        self.depth = depth
         self.nodes, where = np.unique(nodes, return_inverse=True)
         self.ones = np.bincount(where, weights=counts * ones, minlength=len(self.nodes))
         self.zeros = np.bincount(where, weights=counts * ~ones, minlength=len(self.nodes))
         self.own = log_kt(self.zeros, self.ones)
 
-    def weigh(self, below: np.ndarray) -> None:
-        """``below``: the sum of the children's mixed log probabilities of each node; a context that reaches the class has none."""
-        half = math.log(0.5)
-        leaf = np.zeros(len(self.nodes), dtype=bool)
-        if self.depth >= 2:
-            leaf = (self.nodes >> _U(8 * (self.depth - 1))) & _U(255) == BLANK
-        if self.depth == DEPTH:
-            leaf[:] = True
-        self.mixed = np.where(leaf, self.own, np.logaddexp(half + self.own, half + below))
-        self.weight = np.where(leaf, 1.0, np.exp(np.minimum(0.0, half + self.own - self.mixed)))
+    def weigh(self, below: np.ndarray | None) -> None:
+        """``below``: the sum of the children's mixed log probabilities of each node; the deepest level has none."""
+        if below is None:
+            self.mixed, self.weight = self.own, np.ones(len(self.nodes))
+        else:
+            half = math.log(0.5)
+            self.mixed = np.logaddexp(half + self.own, half + below)
+            self.weight = np.exp(np.minimum(0.0, half + self.own - self.mixed))
 
     def parents(self, depth: int) -> np.ndarray:
         """Numbers, one depth up, of the parents of the nodes."""
@@ -173,42 +133,37 @@ class Level:
         return np.bincount(at, weights=self.mixed, minlength=len(upper.nodes))
 
     def predict(self, key: np.ndarray, bit: int, deeper: np.ndarray) -> np.ndarray:
-        """Probability of the key's bit, given what the next depth says (nan: it has no node); nan without a node here.
-
-        Where the child has no counts its weight goes to the node's own estimate.
-        """
+        """Probability of the key's bit, given what the next depth says; 1/2 without a node here."""
         if not len(self.nodes):
-            return np.full(len(key), np.nan)
+            return np.full(len(key), 0.5)
         node = _node(key, bit, self.depth)
         at = np.minimum(np.searchsorted(self.nodes, node), len(self.nodes) - 1)
         one = ((key >> _U(7 - bit)) & _U(1)).astype(bool)
         own = (np.where(one, self.ones[at], self.zeros[at]) + 0.5) / (self.ones[at] + self.zeros[at] + 1)
-        mixed = np.where(np.isnan(deeper), own, self.weight[at] * own + (1 - self.weight[at]) * deeper)
-        return np.where(self.nodes[at] == node, mixed, np.nan)
+        return np.where(self.nodes[at] == node, self.weight[at] * own + (1 - self.weight[at]) * deeper, 0.5)
+
+
+def _summed(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys with the sums of their counts."""
+    distinct, where = np.unique(key, return_inverse=True)
+    return distinct, np.rint(np.bincount(where, weights=count, minlength=len(distinct))).astype(np.int64)
 
 
 def lower_levels(key: np.ndarray, count: np.ndarray) -> list[Level]:
     """Weighed levels of depth SPLIT and more, the deepest last."""
     seen = count > 0
-    key, count = key[seen], count[seen]
-    depth = available(key)
-    levels = [Level(key[depth >= d], count[depth >= d], d) for d in range(SPLIT, DEPTH + 1)]
-    below = np.zeros(len(levels[-1].nodes))
-    for upper, lower in zip([None, *levels][::-1], [*levels, None][::-1]):
-        if lower is not None and upper is not None:
-            below = lower.sums_for(upper)
-        if upper is not None:
-            upper.weigh(below)
+    levels = [Level(key[seen], count[seen], d) for d in range(SPLIT, DEPTH + 1)]
+    levels[-1].weigh(None)
+    for upper, lower in zip(levels[-2::-1], levels[:0:-1]):
+        upper.weigh(lower.sums_for(upper))
     return levels
 
 
 def upper_levels(key: np.ndarray, count: np.ndarray, nodes: np.ndarray, below: np.ndarray) -> list[Level]:
     """Weighed levels above SPLIT, from counts of keys with that many context bytes less one, and sums of their children."""
-    depth = available(key)
-    levels = [Level(key[depth >= d], count[depth >= d], d) for d in range(SPLIT)]
+    levels = [Level(key, count, d) for d in range(SPLIT)]
     at = np.searchsorted(levels[-1].nodes, nodes)
-    sums = np.bincount(at, weights=below, minlength=len(levels[-1].nodes)) if len(levels[-1].nodes) else np.zeros(0)
-    levels[-1].weigh(sums)
+    levels[-1].weigh(np.bincount(at, weights=below, minlength=len(levels[-1].nodes)) if len(levels[-1].nodes) else np.zeros(0))
     for upper, lower in zip(levels[-2::-1], levels[:0:-1]):
         upper.weigh(lower.sums_for(upper))
     return levels
@@ -216,255 +171,265 @@ def upper_levels(key: np.ndarray, count: np.ndarray, nodes: np.ndarray, below: n
 
 def log_probabilities(key: np.ndarray, upper: list[Level], lower: list[Level]) -> np.ndarray:
     """log10 of the mixture's probability of each key's byte in its context."""
-    depth, total = available(key), np.zeros(len(key))
+    total = np.zeros(len(key))
     for bit in range(8):
-        p = np.full(len(key), np.nan)
+        p = np.full(len(key), 0.5)
         for level in [*upper, *lower][::-1]:
-            p = np.where(depth >= level.depth, level.predict(key, bit, p), p)
-        total += np.log10(np.where(np.isnan(p), 0.5, p))
+            p = level.predict(key, bit, p)
+        total += np.log10(p)
     return total
 
 
-def _pack(key: np.ndarray, count: np.ndarray) -> bytes:
-    return zstandard.compress(key.tobytes() + count.astype(np.int64).tobytes(), 1)
+def _pack(key: np.ndarray, value: np.ndarray) -> bytes:
+    """Sorted keys, as the steps between them, and 64-bit values."""
+    return zstandard.compress(np.diff(key, prepend=_U(0)).tobytes() + value.tobytes(), 1)
 
 
-def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys with the sums of their counts."""
-    raw = [np.frombuffer(zstandard.decompress(b), dtype=np.uint64) for b in blobs]
-    if not raw:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-    key = np.concatenate([x[: len(x) // 2] for x in raw])
-    count = np.concatenate([x[len(x) // 2 :] for x in raw]).view(np.int64)
-    distinct, where = np.unique(key, return_inverse=True)
-    return distinct, np.bincount(where, weights=count, minlength=len(distinct)).astype(np.int64)
+def _unpack(blob: bytes, kind: type = np.int64) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(zstandard.decompress(blob), dtype=np.uint64)
+    return np.cumsum(raw[: len(raw) // 2], dtype=np.uint64), raw[len(raw) // 2 :].view(kind)
 
 
-def _grouped(batches: Iterator[pd.DataFrame], key: str) -> Iterator[tuple[object, list[tuple]]]:
-    """Rows (part, block, data) of each value of ``key``; batches are sorted by it."""
-    value, rows = None, []
-    for batch in batches:
-        for row in zip(batch["part"], batch["block"], batch["data"]):
-            own = row[0] if key == "part" else row[1]
-            if own != value and rows:
-                yield value, rows
-                rows = []
-            value = own
-            rows.append(row)
-    if rows:
-        yield value, rows
+def _added(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys of packed counts, added up."""
+    keys, counts = zip(*map(_unpack, blobs))
+    return _summed(np.concatenate(keys), np.concatenate(counts))
+
+
+def _part_of(kind: int, key: np.ndarray, parts: int) -> np.ndarray:
+    """Which part a key is dealt to: a pair by its two last context bytes."""
+    own = (key >> _U(8)) & _U(0xFFFF) if kind == PAIRS else key >> _U(32)
+    return (own * _U(0x9E3779B1) >> _U(7)) % _U(parts)
 
 
-def class_columns(vocabulary: DataFrame) -> list[str]:
-    """The columns with a word's training count in each class."""
-    return [c for c in vocabulary.columns if c != "word"]
+class Tally:
+    """Distinct keys of a chunk, with the counts that they have in training texts."""
 
+    def __init__(self) -> None:
+        self.keys, self.counts, self.held, self.least = [], [], 0, 4_000_000
 
-def _part_of(key: np.ndarray, parts: int) -> np.ndarray:
-    """Which part a key's two last context bytes are dealt to."""
-    return (((key >> _U(8)) & _U(0xFFFF)) * _U(0x9E3779B1) >> _U(7)) % _U(parts)
+    def add(self, key: np.ndarray, train: np.ndarray) -> None:
+        key, count = _summed(key, train)
+        self.keys.append(key)
+        self.counts.append(count)
+        self.held += len(key)
+        if self.held > self.least:
+            self._merge()
+            self.least = 2 * self.held + 4_000_000
 
+    def _merge(self) -> None:
+        if self.keys:
+            key, count = _summed(np.concatenate(self.keys), np.concatenate(self.counts))
+            self.keys, self.counts, self.held = [key], [count], len(key)
 
-def _block_keys(words: list[bytes], classes: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a block of words: its distinct keys by part, then key; their parts; where each (class, position) finds its key; word numbers."""
-    number, key, place = context_keys(words)
-    distinct, where = np.unique(np.stack([in_class(key, place, k) for k in range(classes)]), return_inverse=True)
-    part = _part_of(distinct, parts)
-    order = np.argsort(part, kind="stable")
-    at = np.empty(len(order), dtype=np.int64)
-    at[order] = np.arange(len(order))
-    return distinct[order], part[order], at[where.reshape(classes, -1)], number
+    def blobs(self, kind: int, parts: int) -> Iterator[tuple[int, bytes]]:
+        """(part, packed keys and counts)."""
+        self._merge()
+        for key, count in zip(self.keys, self.counts):
+            part = _part_of(kind, key, parts).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            starts = np.flatnonzero(np.diff(part[order], prepend=-1))
+            for own in np.split(order, starts[1:]):
+                yield int(part[own[0]]), _pack(key[own], count[own])
 
 
-def context_counts(vocabulary: DataFrame) -> DataFrame:
-    """(part, block, data): packed counts of the (context, byte) pairs of blocks of words, by their two last context bytes.
+def pieces(texts: list[bytes]) -> Iterator[slice]:
+    """Consecutive texts of PIECE_BYTES together, one at least."""
+    start, size = 0, 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= PIECE_BYTES:
+            yield slice(start, i + 1)
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield slice(start, len(texts))
 
-    Pairs that only words without training count have are there with count 0. A
-    block's words are in its row of part -1.
+
+def count_chunks(rows: DataFrame, parts: int) -> DataFrame:
+    """(kind, part, chunk, data) of ``rows`` (id, text, held_out): each chunk's documents, and its words and pairs by part.
+
+    Words and pairs that only held-out texts have are there with count 0.
     """
-    n, by_class = partitions(vocabulary.sparkSession), class_columns(vocabulary)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def block(rows: pd.DataFrame) -> pd.DataFrame:
-            words, counts = list(rows["word"]), rows[by_class].to_numpy(np.int64)
-            key, part, at, number = _block_keys(words, len(by_class), n)
-            count = np.zeros(len(key))
-            for k in range(len(by_class)):
-                count += np.bincount(at[k], weights=counts[number, k], minlength=len(key))
-            starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            blobs = [_pack(a, b) for a, b in zip(np.split(key, starts[1:]), np.split(count, starts[1:]))]
-            own = zstandard.compress(pickle.dumps((words, counts.sum(axis=1))), 1)
-            name = hashlib.md5(words[0]).digest()
-            return pd.DataFrame({"part": np.r_[-1, part[starts].astype(np.int64)].astype(np.int32), "block": [name] * (len(blobs) + 1), "data": [own, *blobs]})
+        from pyspark import TaskContext
+
+        task, number = TaskContext.get().partitionId(), 0
+
+        def blobs(held: list[tuple[int, bool, bytes]]) -> Iterator[pd.DataFrame]:
+            chunk = (task << 24) + number
+            texts, train = [t for _, _, t in held], np.array([not h for _, h, _ in held], dtype=np.float64)
+            words, pairs = Tally(), Tally()
+            for own in pieces(texts):
+                split = [[*t.split(), END] for t in texts[own]]
+                words.add(word_keys([w for s in split for w in s]), np.repeat(train[own], [len(s) for s in split]))
+                pairs.add(pair_keys(texts[own]), np.repeat(train[own], [len(t) for t in texts[own]]))
+            yield pd.DataFrame({"kind": DOCUMENTS, "part": 0, "chunk": chunk, "data": [zstandard.compress(pickle.dumps(held), 1)]})
+            for kind, tally in ((WORDS, words), (PAIRS, pairs)):
+                for part, data in tally.blobs(kind, parts):
+                    yield pd.DataFrame({"kind": kind, "part": part, "chunk": chunk, "data": [data]})
 
         held, size = [], 0
         for batch in batches:
-            # A block holds about BLOCK_BYTES of words, one word at least.
-            sizes = batch["word"].map(len).to_numpy()
-            start = 0
-            for i, length in enumerate(sizes.tolist()):
-                size += length + 1
-                if size >= BLOCK_BYTES:
-                    held.append(batch.iloc[start : i + 1])
-                    yield block(pd.concat(held))
-                    held, size, start = [], 0, i + 1
-            if start < len(batch):
-                held.append(batch.iloc[start:])
+            for doc_id, text, held_out in zip(batch["id"], batch["text"], batch["held_out"]):
+                held.append((int(doc_id), bool(held_out), as_bytes(words_of(text))))
+                size += len(held[-1][2])
+                if size >= CHUNK_BYTES:
+                    yield from blobs(held)
+                    held, size, number = [], 0, number + 1
         if held:
-            yield block(pd.concat(held))
+            yield from blobs(held)
+
+    return rows.mapInPandas(run, _BLOBS)
+
 
-    return vocabulary.select("word", *by_class).mapInPandas(run, _BLOBS)
+def _grouped(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, list[tuple[int, bytes]]]]:
+    """(key, [(chunk, data)]) of rows that come sorted by ``keys``."""
+    value, rows = None, []
+    for batch in batches:
+        for *own, chunk, data in zip(*(batch[c] for c in (*keys, "chunk", "data"))):
+            if tuple(own) != value and rows:
+                yield value, rows
+                rows = []
+            value = tuple(own)
+            rows.append((chunk, data))
+    if rows:
+        yield value, rows
 
 
-def learn_upper(counts: DataFrame) -> list[Level]:
-    """The levels above SPLIT; what reaches the driver is bounded by 257 contexts."""
+def add_up(blobs: DataFrame, keys: list[str]) -> DataFrame:
+    """``blobs`` with one row a value of ``keys`` (kind and part first); ``chunk`` is 0."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for key, rows in _grouped(batches, keys):
+            yield pd.DataFrame({c: [x] for c, x in zip(keys, key)} | {"chunk": 0, "data": [_pack(*_added([data for _, data in rows]))]})
+
+    dealt = blobs.repartition(partitions(blobs.sparkSession), *keys).sortWithinPartitions(*keys)
+    return dealt.select(*keys, "chunk", "data").mapInPandas(run, ", ".join(f"{c} int" for c in keys) + ", chunk long, data binary")
+
+
+def learn_upper(table: DataFrame) -> list[Level]:
+    """The levels above SPLIT from the parts' pairs; what reaches the driver is bounded by 257 contexts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         top: Counter = Counter()
         below: Counter = Counter()
-        for _, rows in _grouped(batches, "part"):
-            key, count = _unpack([data for _, _, data in rows])
-            short, where = np.unique(key & _U((1 << 8 * SPLIT) - 1), return_inverse=True)
-            top.update(dict(zip(short.tolist(), np.bincount(where, weights=count).astype(np.int64).tolist())))
+        for _, rows in _grouped(batches, ["part"]):
+            key, count = _added([data for _, data in rows])
+            short, n = _summed(key & _U((1 << 8 * SPLIT) - 1), count)
+            top.update(dict(zip(short[n > 0].tolist(), n[n > 0].tolist())))
             level = lower_levels(key, count)[0]
             nodes, where = np.unique(level.parents(SPLIT - 1), return_inverse=True)
             for node, value in zip(nodes.tolist(), np.bincount(where, weights=level.mixed, minlength=len(nodes)).tolist()):
                 below[node] += value
-        rows = [(0, k, float(v)) for k, v in top.items() if v] + [(1, k, v) for k, v in below.items()]
-        yield pd.DataFrame(rows, columns=["kind", "k", "v"])
+        found = [(0, k, v, 0.0) for k, v in top.items()] + [(1, k, 0, v) for k, v in below.items()]
+        yield pd.DataFrame(found, columns=["kind", "k", "n", "below"])
 
-    rows = counts.mapInPandas(run, "kind int, k long, v double").groupBy("kind", "k").agg(F.sum("v").alias("v")).toPandas().sort_values(["kind", "k"])
+    rows = table.mapInPandas(run, "kind int, k long, n long, below double").groupBy("kind", "k").agg(F.sum("n").alias("n"), F.sum("below").alias("below")).toPandas().sort_values(["kind", "k"])
     top, below = rows[rows["kind"] == 0], rows[rows["kind"] == 1]
     as_key = lambda x: x["k"].to_numpy(np.int64).astype(np.uint64)
-    return upper_levels(as_key(top), top["v"].to_numpy(), as_key(below), below["v"].to_numpy())
+    return upper_levels(as_key(top), top["n"].to_numpy(np.int64), as_key(below), below["below"].to_numpy(np.float64))
 
 
-def pair_scores(counts: DataFrame, upper: list[Level]) -> DataFrame:
-    """(part, block, data): log10 probabilities of the pairs of each blob, in its order."""
-    shared = counts.sparkSession.sparkContext.broadcast(upper)
+def word_totals(table: DataFrame) -> tuple[int, int]:
+    """Tokens and distinct tokens of the training texts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part, rows in _grouped(batches, "part"):
-            key, count = _unpack([data for _, _, data in rows])
-            logp = log_probabilities(key, shared.value, lower_levels(key, count))
-            for _, block, data in rows:
-                asked = np.frombuffer(zstandard.decompress(data), dtype=np.uint64)
-                own = logp[np.searchsorted(key, asked[: len(asked) // 2])]
-                yield pd.DataFrame({"part": np.array([part], dtype=np.int32), "block": [block], "data": [zstandard.compress(own.tobytes(), 1)]})
+        for batch in batches:
+            counts = [_unpack(data)[1] for data in batch["data"]]
+            yield pd.DataFrame({"n": [int(c.sum()) for c in counts], "v": [int((c > 0).sum()) for c in counts]})
 
-    return counts.mapInPandas(run, _BLOBS)
+    row = table.mapInPandas(run, "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
+    return int(row["n"]), int(row["v"])
 
 
-def word_scores(words: DataFrame, scores: DataFrame, classes: int, parts: int) -> DataFrame:
-    """(word, c, logp): training count, and in each class the sum over the word's bytes, from blocks' words and scores."""
+def score_table(table: DataFrame, upper: list[Level]) -> DataFrame:
+    """The parts' tables with, for each pair, its log10 probability instead of its count."""
+    shared = table.sparkSession.sparkContext.broadcast(upper)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, rows in _grouped(batches, "block"):
-            own, counts = pickle.loads(zstandard.decompress(rows[0][2]))
-            logp = np.concatenate([np.frombuffer(zstandard.decompress(data), dtype=np.float64) for _, _, data in rows[1:]])
-            _, _, at, number = _block_keys(own, classes, parts)
-            found = np.stack([np.bincount(number, weights=logp[at[k]], minlength=len(own)) for k in range(classes)], axis=1)
-            for start in range(0, len(own), 20_000):
-                end = start + 20_000
-                yield pd.DataFrame({"word": own[start:end], "c": counts[start:end], "logp": list(found[start:end])})
+        for batch in batches:
+            for kind, part, chunk, data in zip(*(batch[c] for c in ("kind", "part", "chunk", "data"))):
+                if kind == PAIRS:
+                    key, count = _unpack(data)
+                    data = _pack(key, log_probabilities(key, shared.value, lower_levels(key, count)))
+                yield pd.DataFrame({"kind": kind, "part": part, "chunk": chunk, "data": [data]})
 
-    both = words.unionByName(scores)
-    return both.repartition(parts, "block").sortWithinPartitions("block", "part").mapInPandas(run, "word binary, c long, logp array<double>")
+    return table.select("kind", "part", "chunk", "data").mapInPandas(run, _BLOBS)
 
 
-def _pack_by_chunk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(chunk, data): the words of each chunk with counts and scores (to 24 bits), packed."""
-    held, size = [], 0
+def answer(asked: DataFrame, scored: DataFrame, groups: int) -> DataFrame:
+    """``asked`` (kind, part, group, chunk, data) with the values of ``scored`` for its keys; each group has its copy of a part's table."""
+    copies = scored.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("chunk", F.lit(-1).cast("long"))
+    keys = ["kind", "part", "group"]
 
-    def packed() -> pd.DataFrame:
-        rows = pd.concat(held)
-        out = [(chunk, zstandard.compress(pickle.dumps((list(own["word"]), own["c"].to_numpy(np.int64), np.stack(own["logp"].to_list()).astype(np.float32))), 3)) for chunk, own in rows.groupby("chunk")]
-        return pd.DataFrame(out, columns=["chunk", "data"])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = value = None
+        for batch in batches:
+            for kind, part, chunk, data in zip(*(batch[c] for c in ("kind", "part", "chunk", "data"))):
+                if chunk < 0:
+                    key, value = _unpack(data)
+                else:
+                    own = _unpack(data)[0]
+                    yield pd.DataFrame({"kind": kind, "part": part, "chunk": chunk, "data": [_pack(own, value[np.searchsorted(key, own)])]})
 
-    for batch in batches:
-        if len(batch):
-            held.append(batch[["chunk", "word", "c", "logp"]])
-            size += len(batch)
-        if size >= 300_000:
-            yield packed()
-            held, size = [], 0
-    if held:
-        yield packed()
+    met = copies.select(*keys, "chunk", "data").unionByName(asked.select(*keys, "chunk", "data"))
+    return met.repartition(partitions(asked.sparkSession), *keys).sortWithinPartitions(*keys, "chunk").mapInPandas(run, _BLOBS)
+
+
+def _looked_up(key: np.ndarray, table: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Values of keys from sorted tables of parts, put together."""
+    distinct, where = np.unique(key, return_inverse=True)
+    return table[1][np.searchsorted(table[0], distinct)][where]
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every document.
+    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every document with an id.
 
     Learned from the documents whose crc32(id as text) mod 7 is not 2. Null and
     empty texts are an end mark alone. With nothing to learn from, every
     estimate is 1/2 and the base is that of no tokens. Repeated rows count and
     are scored each; an empty table gives no rows; further columns aren't read.
+    Words are told apart by 64-bit hashes.
     """
-    spark = docs.sparkSession
+    parts = partitions(docs.sparkSession)
     rows = identified(docs, id_col).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(id_crc(F.col(id_col)) % 7 == 2, F.lit(False)).alias("held_out"))
-    chunks = blocks_for(bytes_of(rows, "text"), CHUNK_BYTES, partitions(spark))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int")).repartition(max(chunks, partitions(spark)), "chunk")
-
-    centres = learn_classes(rows)
-    by_class = [f"c{k}" for k in range(len(centres))]
-
-    def use(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def flush(chunk: int, every: dict[bytes, None], train: list[Counter]) -> Iterator[pd.DataFrame]:
-            words = list(every)
-            for at in range(0, len(words), 50_000):
-                part = words[at : at + 50_000]
-                yield pd.DataFrame({"chunk": np.int32(chunk), "word": part} | {c: [train[k][w] for w in part] for k, c in enumerate(by_class)})
-
-        fresh = lambda: ({}, [Counter() for _ in by_class])
-        chunk, (every, train) = None, fresh()
-        for batch in batches:
-            for number, text, held_out in zip(batch["chunk"], batch["text"], batch["held_out"]):
-                if number != chunk and chunk is not None:
-                    yield from flush(chunk, every, train)
-                    every, train = fresh()
-                chunk = number
-                words = [*words_of(text), END]
-                every.update(dict.fromkeys(words))
-                if not held_out:
-                    train[int(((centres - byte_profile(text)) ** 2).sum(axis=1).argmin())].update(words)
-        if chunk is not None:
-            yield from flush(chunk, every, train)
-
-    used = materialize(rows.sortWithinPartitions("chunk").mapInPandas(use, "chunk int, word binary, " + ", ".join(f"{c} long" for c in by_class)), "words")
-    vocabulary = materialize(used.groupBy("word").agg(*[F.sum(c).alias(c) for c in by_class]), "vocabulary")
-    totals = vocabulary.select(sum((F.col(c) for c in by_class), F.lit(0)).alias("c")).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
-    n, v = int(totals["n"]), int(totals["v"])
-    parts = partitions(spark)
-    blocks = materialize(context_counts(vocabulary), "contexts")
-    counts = blocks.where("part >= 0").repartition(parts, "part").sortWithinPartitions("part", "block")
-    scored = word_scores(blocks.where("part < 0"), pair_scores(counts, learn_upper(counts)), len(by_class), parts)
-    packed = used.select("chunk", "word").join(scored, "word").mapInPandas(_pack_by_chunk, "chunk int, data binary")
-    back = packed.select("chunk", F.lit(0).alias("kind"), "data", F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("boolean").alias("held_out"))
-    texts = rows.select("chunk", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("data"), "id", "text", "held_out")
+    counted = materialize(count_chunks(rows, parts), "chunks")
+    chunks = counted.where(f"kind = {DOCUMENTS}").agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    groups = max(1, math.ceil(chunks / GROUP))
+    asked = counted.where(f"kind <> {DOCUMENTS}").withColumn("group", F.pmod(F.xxhash64("chunk"), F.lit(groups)).cast("int"))
+    table = materialize(add_up(add_up(asked, ["kind", "part", "group"]), ["kind", "part"]), "table")
+    n, v = word_totals(table.where(f"kind = {WORDS}"))
+    scored = materialize(score_table(table, learn_upper(table.where(f"kind = {PAIRS}"))), "scored")
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chunk, at, c, logp, arrays = None, {}, [], [], None
+        chunk, own = None, {}
         for batch in batches:
-            out = []
-            for number, kind, data, doc_id, text, held_out in zip(*[batch[x] for x in ("chunk", "kind", "data", "id", "text", "held_out")]):
+            for kind, number, data in zip(batch["kind"], batch["chunk"], batch["data"]):
                 if number != chunk:
-                    chunk, at, c, logp, arrays = number, {}, [], [], None
-                if kind == 0:
-                    words, counts, values = pickle.loads(zstandard.decompress(data))
-                    at.update(zip(words, range(len(at), len(at) + len(words))))
-                    c.append(counts)
-                    logp.append(values)
+                    chunk, own = number, {WORDS: [], PAIRS: []}
+                if kind != DOCUMENTS:
+                    own[kind].append(_unpack(data, np.int64 if kind == WORDS else np.float64))
                     continue
-                if arrays is None:
-                    seen = np.concatenate(c).astype(np.float64)
-                    arrays = (seen > 0, np.log10((seen + 1) / (n + v + 1)), np.concatenate(logp).astype(np.float64))  # words by classes
-                tokens = [*words_of(text), END]
-                own = np.fromiter((at[w] for w in tokens), dtype=np.int64, count=len(tokens))
-                by = arrays[2][own].sum(axis=0)
-                score = float(by.max() + np.log10(np.mean(10 ** (by - by.max()))))
-                out.append((doc_id, bool(held_out), len(tokens), int(arrays[0][own].sum()), n, float(arrays[1][own].sum()), score, -score / math.log10(2) / sum(len(w) + 1 for w in tokens)))
-            yield pd.DataFrame(out, columns=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
-
-    met = back.unionByName(texts).repartition(max(chunks, partitions(spark)), "chunk").sortWithinPartitions("chunk", "kind")
-    found = met.mapInPandas(judge, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
-    return found.withColumnRenamed("id", id_col)
+                tables = {}
+                for x in (WORDS, PAIRS):
+                    key, value = (np.concatenate(y) for y in zip(*own.pop(x)))
+                    order = np.argsort(key, kind="stable")
+                    tables[x] = key[order], value[order]
+                held = pickle.loads(zstandard.decompress(data))
+                texts = [t for _, _, t in held]
+                for at in pieces(texts):
+                    split = [[*t.split(), END] for t in texts[at]]
+                    lengths = np.array([len(t) for t in texts[at]])
+                    tokens = np.array([len(s) for s in split])
+                    c = _looked_up(word_keys([w for s in split for w in s]), tables[WORDS])
+                    first = np.cumsum(tokens) - tokens
+                    score = np.add.reduceat(_looked_up(pair_keys(texts[at]), tables[PAIRS]), np.cumsum(lengths) - lengths)
+                    yield pd.DataFrame({
+                        "id": [d for d, _, _ in held[at]], "held_out": [h for _, h, _ in held[at]], "n_tokens": tokens, "n_known": np.add.reduceat((c > 0).astype(np.int64), first), "train_tokens": n,
+                        "base_score": np.add.reduceat(np.log10((c + 1.0) / (n + v + 1)), first), "score": score, "bits_per_byte": -score / math.log10(2) / lengths,
+                    })
+
+    met = answer(asked, scored, groups).unionByName(counted.where(f"kind = {DOCUMENTS}"))
+    found = met.repartition(parts, "chunk").sortWithinPartitions("chunk", F.col("kind") == DOCUMENTS, "kind", "part")
+    return found.mapInPandas(judge, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double").withColumnRenamed("id", id_col)
