@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -8,7 +9,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tests.llm.helpers import docs, table
-from timeweave.llm.packing import best_fit_packing, plan, reduce_by_dominance
+from timeweave.llm.packing import WordEncoder, best_fit_packing, lower_bound, plan, reduce_by_dominance
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -71,7 +72,16 @@ def test_reduction_keeps_the_optimum(items):
     counts = {x: items.count(x) for x in items}
     fixed, left = reduce_by_dominance(counts, 20)
     rest = [x for x, n in left.items() for _ in range(n)]
-    assert sum(n for _, n in fixed) + (optimum(rest, 20) if rest else 0) == optimum(items, 20)
+    best = optimum(items, 20)
+    assert sum(n for _, n in fixed) + (optimum(rest, 20) if rest else 0) == best
+    assert lower_bound(counts, 20) <= best <= plan(counts, 20)[1]["sequences"]
+
+
+def test_sets_of_three_are_fixed():
+    # 6 leaves 14: 9 and 5 fill it, and no two items longer than 5 fit there.
+    fixed, left = reduce_by_dominance({9: 2, 6: 2, 5: 3}, 20)
+    assert ((6, 9, 5), 2) in fixed and sum(n * sum(lengths) for lengths, n in fixed) + sum(x * n for x, n in left.items()) == 45
+    assert lower_bound({9: 2, 6: 2, 5: 3}, 20) == 3 and lower_bound({}, 20) == 0
 
 
 @settings(max_examples=100, deadline=None)
@@ -93,3 +103,13 @@ def test_plan_places_every_piece_once(counts):
             assert offset == end
             end += length
         assert end <= 40
+
+
+def test_ids_of_odd_words():
+    """Random Unicode against the tokenizer: marks, cases and punctuation after any letter."""
+    tokenizer, encoder, r = Tokenizer.from_file(PATH), WordEncoder(PATH), random.Random(6)
+    parts = ["İ", "I", "ı", "ß", "Σ", "ς", "é", "e\u0301", "\u0307", "ﬁ", "ǆ", "ა", "Ა", "\u1c89", "字", "ꟑ", "²", "½", "٣", "'s", "'", "don't", "a", "B", "zebra", *WordEncoder.TAIL.decode(), "_", "\xa0", " ", "\n", "\x85", "<|", "|>", "\x00", "😀"]
+    texts = ["İ$", "istanbul İ, İ. x", *["".join(r.choice(parts) for _ in range(r.randint(1, 12))) for _ in range(6000)]]
+    texts += ["".join(chr(r.choice([r.randrange(32, 0x250), r.randrange(32, 0xD800), r.randrange(0x10000, 0x20000)])) + r.choice(["", "", "$", ". "]) for _ in range(8)) for _ in range(3000)]
+    for text, want in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(encoder.encode(text), dtype="<u4").tolist() == want.ids, text

@@ -13,6 +13,7 @@ from __future__ import annotations
 import bisect
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,10 +35,13 @@ class WordEncoder:
     between letters and punctuation, so a text's ids are those of its words, put
     together, and a word's those of its letters and of the punctuation after
     them. Words are cut at ASCII white space only, a subset of what the tokenizer
-    itself cuts at, and A-Z go to lower case first.
+    itself cuts at, and A-Z go to lower case first. Letters are cut from
+    punctuation only where the tokenizer's own normal form of them has nothing
+    but letters, of the blocks up to LAST_LETTER, that any Unicode version knows.
     """
 
     TAIL = b".,;:!?%$&*#|-"
+    LAST_LETTER = "\u024f"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -45,20 +49,27 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
 
+    def _all_letters(self, word: bytes) -> bool:
+        """Whether the tokenizer sees one run of letters."""
+        if word.isalpha():  # ASCII
+            return True
+        text = word.decode()
+        return text.isalpha() and max(text) <= self.LAST_LETTER and self.tokenizer.normalizer.normalize_str(text).isalpha()
+
     def _learn(self, words: list[bytes]) -> None:
         """Remember the ids of words that aren't known."""
         known, cut, new = self.known, [], set()
         for word in words:
             if word not in known:
                 core = word.rstrip(self.TAIL)
-                if core and len(core) < len(word) and core.decode().isalpha():
+                if core and len(core) < len(word) and self._all_letters(core):
                     cut.append((word, core))
                     new.update(x for x in (core, word[len(core) :]) if x not in known)
                 else:
                     new.add(word)
-        letters = [word for word in new if word.decode().isalpha()]
+        letters = [word for word in new if self._all_letters(word)]
         if letters:
-            # Each is a word of the tokenizer, so one call does for all, unless lower case adds a mark to one.
+            # Each is a word of the tokenizer, so one call does for all.
             found = self.tokenizer.encode(b" ".join(letters).decode(), add_special_tokens=False)
             ids: list[list[int]] = [[] for _ in letters]
             if (found.word_ids or [-1])[-1] == len(letters) - 1:
@@ -120,10 +131,15 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
 def reduce_by_dominance(counts: dict[int, int], capacity: int) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
     """(fixed bins as (lengths, how many), what remains).
 
-    From the largest length down, with residual r beside an item of length j:
-    nothing fits: {j} is fixed. The largest partner k fills r exactly, or no two
-    items fit together, or no three do and no pair is longer than k: {j, k}
-    dominates every feasible set with j, and is fixed.
+    From the largest length j down, with the room that it leaves and k, the
+    largest partner that fits:
+
+    * no partner fits: {j} is fixed;
+    * k fills the room, no two items fit together, or no three do and no pair is
+      longer than k: {j, k} dominates every feasible set with j;
+    * no three fit, k is in the longest pair {k, b} that fits, and no two items
+      longer than b fit: {j, k, b} dominates, as of any pair one item is at most
+      as long as k and the other as b.
     """
     left, fixed = dict(counts), []
     lengths = sorted(left)
@@ -135,18 +151,21 @@ def reduce_by_dominance(counts: dict[int, int], capacity: int) -> tuple[list[tup
             del left[length]
             lengths.remove(length)
 
-    def smallest(n: int, without: int) -> list[int]:
+    def smallest(n: int, without: int, above: int = 0) -> list[int]:
+        """The ``n`` smallest items longer than ``above``, without one of length ``without``."""
         out: list[int] = []
-        for length in lengths:
+        for length in lengths[bisect.bisect_right(lengths, above) :]:
             out += [length] * min(n - len(out), left[length] - (length == without))
             if len(out) >= n:
                 break
         return out
 
     def longest_pair(room: int, without: int) -> int:
-        best, i, k = 0, 0, bisect.bisect_right(lengths, room) - 1
+        """The length of the longest two items that fit together, without one of length ``without``; 0 if none do."""
+        usable = [x for x in lengths[: bisect.bisect_right(lengths, room)] if left[x] > (x == without)]
+        best, i, k = 0, 0, len(usable) - 1
         while i <= k:
-            a, b = lengths[i], lengths[k]
+            a, b = usable[i], usable[k]
             if a + b > room:
                 k -= 1
             else:
@@ -155,6 +174,22 @@ def reduce_by_dominance(counts: dict[int, int], capacity: int) -> tuple[list[tup
                 i += 1
         return best
 
+    def dominating(j: int, room: int, k: int) -> tuple[int, ...]:
+        """The partners of a dominating set, none where none is proven."""
+        few = smallest(3, j)
+        if k == room or len(few) < 2 or few[0] + few[1] > room:
+            return (k,)
+        if len(few) == 3 and sum(few) <= room:
+            return ()
+        pair = longest_pair(room, j)
+        if pair <= k:
+            return (k,)
+        b = pair - k
+        if b not in left or Counter((j, k, b))[b] > left[b] or b > k:
+            return ()
+        longer = smallest(2, j, above=b)
+        return (k, b) if len(longer) < 2 or sum(longer) > room else ()
+
     while changed:
         changed = False
         for j in sorted(lengths, reverse=True):
@@ -163,26 +198,31 @@ def reduce_by_dominance(counts: dict[int, int], capacity: int) -> tuple[list[tup
                 at = bisect.bisect_right(lengths, room) - 1
                 if at >= 0 and lengths[at] == j and left[j] < 2:
                     at -= 1
-                if at < 0:
-                    fixed.append(((j,), left[j]))
-                    drop(j, left[j])
-                    changed = True
-                    break
-                k = lengths[at]
-                few = smallest(3, j)
-                if not (k == room or len(few) < 2 or few[0] + few[1] > room or ((len(few) < 3 or sum(few) > room) and longest_pair(room, j) <= k)):
+                partners = dominating(j, room, lengths[at]) if at >= 0 else ()
+                if at >= 0 and not partners:
                     break
-                n = left[j] // 2 if j == k else min(left[j], left[k])
-                fixed.append(((j, k), n))
-                if j == k:
-                    drop(j, 2 * n)
-                else:
-                    drop(j, n)
-                    drop(k, n)
+                own = Counter((j, *partners))
+                n = min(left[length] // times for length, times in own.items())
+                fixed.append(((j, *partners), n))
+                for length, times in own.items():
+                    drop(length, n * times)
                 changed = True
     return fixed, left
 
 
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """The L2 bound on the number of bins: for each length up to half a bin, items that need a bin each and what the rest fill beyond them."""
+    lengths = sorted(counts)
+    best = -(-sum(length * n for length, n in counts.items()) // capacity)
+    for least in [0, *[x for x in lengths if 2 * x <= capacity]]:
+        alone = sum(counts[x] for x in lengths if x > capacity - least)
+        halves = [x for x in lengths if capacity - least >= x > capacity / 2]
+        room = sum(counts[x] * (capacity - x) for x in halves)
+        rest = sum(counts[x] * x for x in lengths if least <= x <= capacity / 2)
+        best = max(best, alone + sum(counts[x] for x in halves) + max(0, -(-(rest - room) // capacity)))
+    return best
+
+
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
     """Best-fit decreasing over a histogram: bins as (((length, times), ...), how many)."""
     opened: dict[int, list[tuple[tuple, int]]] = {}
@@ -235,7 +275,7 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[tuple[in
 def plan(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, dict[str, int]]:
     """Segments (length, first rank, times a bin, first sequence, offset) sorted by (length, first rank), and figures."""
     fixed, rest = reduce_by_dominance(counts, capacity)
-    bins = [(tuple((length, 1) for length in lengths) if len(set(lengths)) == len(lengths) else ((lengths[0], len(lengths)),), n) for lengths, n in fixed]
+    bins = [(tuple(Counter(lengths).items()), n) for lengths, n in fixed]
     bins += best_fit(rest, capacity)
     rank: dict[int, int] = {}
     segments, sequence = [], 0
@@ -247,7 +287,7 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, dict[str, i
             rank[length] = start + n * times
             offset += length * times
         sequence += n
-    return np.array(sorted(segments), dtype=np.int64).reshape(-1, 5), {"sequences": sequence, "fixed": sum(n for _, n in fixed)}
+    return np.array(sorted(segments), dtype=np.int64).reshape(-1, 5), {"sequences": sequence, "fixed": sum(n for _, n in fixed), "bound": lower_bound(counts, capacity)}
 
 
 def ranked(rows: DataFrame) -> DataFrame:
@@ -294,6 +334,6 @@ def best_fit_packing(docs: DataFrame, tokenizer_path: str, capacity: int = 4096,
 
     A null or empty text is its end id alone. Equal lengths are interchangeable,
     ranked by (hash bucket, doc_id, piece, ids_crc32); repeated rows are packed
-    each by itself. An empty table gives no rows; further columns aren't read.
+    each by itself; rows without an id are left out. An empty table gives no rows; further columns aren't read.
     """
     return pack(materialize(pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col), "pieces"), capacity)
