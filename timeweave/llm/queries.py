@@ -24,7 +24,7 @@ def _tokenizer(name: str) -> str:
 def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WARC records of every page, read back and put in global order."""
     found = warc.warc_index(_table(spark, sf_dir, "pages"))
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "ts", "history_position")
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,9 @@ import gzip
 import hashlib
 import io
 import pickle
+import zlib
 from collections.abc import Iterable, Iterator
+from itertools import islice
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -27,6 +29,8 @@ from timeweave.llm.common import materialize, partitions, per_group
 
 #: An archive is closed once it holds so many bytes.
 ARCHIVE_BYTES = 8 << 20
+#: Bytes that a reader takes at once, and index rows that a merge gives at once.
+READ_BYTES, MERGED_ROWS = 1 << 16, 10_000
 #: Keys a range in the bounded sample from which splitters are taken.
 SAMPLE_PER_RANGE = 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -75,8 +79,9 @@ def write_archives(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_i
     """
     rows = pages.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.encode("html", "utf-8")))
-    small = rows.select("page_id", "digest", F.octet_length("html").alias("n")).where(F.col("n") >= least_bytes).drop("n").distinct()
-    first = per_group(small, ["digest"], "page_id", {"first": ("min", "page_id")})
+    # Only payloads that several pages have are looked up: one row a revisit, without the payloads.
+    small = rows.where(F.octet_length("html") >= least_bytes).select("page_id", "digest").distinct()
+    first = per_group(small, ["digest"], "page_id", {"first": ("min", "page_id")}).where("first <> page_id")
     both = rows.join(first, ["page_id", "digest"], "left").withColumn("first", F.coalesce("first", "page_id"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -95,21 +100,23 @@ def write_archives(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_i
 
 
 def read_records(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """(offset, length, headers, block) of each gzip member of an archive."""
-    import zlib
-
-    at = 0
+    """(offset, length, headers, block) of each gzip member of an archive, fed in chunks of READ_BYTES."""
+    view, at = memoryview(data), 0
     while at < len(data):
-        member = zlib.decompressobj(31)
-        raw = member.decompress(memoryview(data)[at:])
-        length = len(data) - at - len(member.unused_data)
-        head, _, rest = raw.partition(b"\r\n\r\n")
+        member, out, end = zlib.decompressobj(31), [], at
+        while not member.eof:
+            if end >= len(data):
+                raise ValueError(f"cut record at {at}")
+            chunk = view[end : end + READ_BYTES]
+            out.append(member.decompress(chunk))
+            end += len(chunk) - len(member.unused_data)
+        head, _, rest = b"".join(out).partition(b"\r\n\r\n")
         version, *lines = head.decode("utf-8").split("\r\n")
         if not version.startswith("WARC/"):
             raise ValueError(f"no WARC record at {at}")
         headers = {k.lower(): v for k, _, v in (line.partition(": ") for line in lines)}
-        yield at, length, headers, rest[: int(headers["content-length"])]
-        at += length
+        yield at, end - at, headers, rest[: int(headers["content-length"])]
+        at = end
 
 
 def _page(uri: str) -> int:
@@ -197,46 +204,69 @@ def merge_runs(index: DataFrame, ranges: int | None = None) -> DataFrame:
             refers = [None if pd.isna(x) else int(x) for x in batch["refers_to"]]
             for row in zip(*[refers if c == "refers_to" else batch[c] for c in columns]):
                 out.setdefault((bisect.bisect_right(splitters, row[1:4]), row[0]), []).append(row)
-            yield pd.DataFrame({"history_range": [k[0] for k in out], "run": [k[1] for k in out], "slice": [pickle.dumps([r[1:4] + (-1 if r[7] is None else r[7],) + r for r in sorted(rows, key=lambda r: r[1:4])]) for rows in out.values()]})
+            # Runs come sorted, so do their slices; equal keys go by what they refer to.
+            yield pd.DataFrame({"history_range": [k[0] for k in out], "run": [k[1] for k in out], "slice": [zlib.compress(pickle.dumps([r[1:4] + (-1 if r[7] is None else r[7],) + r for r in sorted(rows, key=lambda r: r[1:4])]), 1) for rows in out.values()]})
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def merged(number: int, slices: list[bytes]) -> pd.DataFrame:
-            rows = [x[4:] for x in LoserTree(map(pickle.loads, slices))]
-            frame = pd.DataFrame(rows, columns=columns)
-            return frame.assign(refers_to=frame["refers_to"].astype("Int64"), history_range=np.int32(number), position=np.arange(len(rows)))
+        def slice_rows(data: bytes) -> Iterator[tuple]:
+            yield from pickle.loads(zlib.decompress(data))
+
+        def merged(number: int, slices: list[bytes]) -> Iterator[pd.DataFrame]:
+            tree, position = iter(LoserTree(map(slice_rows, slices))), 0
+            while rows := [x[4:] for x in islice(tree, MERGED_ROWS)]:
+                frame = pd.DataFrame(rows, columns=columns)
+                yield frame.assign(refers_to=frame["refers_to"].astype("Int64"), history_range=np.int32(number), position=np.arange(position, position + len(rows)))
+                position += len(rows)
 
         number, slices = None, []
         for batch in batches:
             for at, part in zip(batch["history_range"], batch["slice"]):
                 if at != number and slices:
-                    yield merged(number, slices)
+                    yield from merged(number, slices)
                     slices = []
                 number = at
                 slices.append(part)
         if slices:
-            yield merged(number, slices)
+            yield from merged(number, slices)
 
     slices = index.mapInPandas(cut, "history_range int, run string, slice binary")
     return slices.repartition(n, "history_range").sortWithinPartitions("history_range", "run").mapInPandas(merge, INDEX + ", history_range int, position long")
 
 
+def global_positions(merged: DataFrame) -> DataFrame:
+    """``merged`` with ``history_position``, the place in the order of all ranges; it should be a written table.
+
+    The ranges' row counts, one row a range, tell where each begins.
+    """
+    counts = sorted((r["history_range"], r["n"]) for r in merged.groupBy("history_range").agg(F.count(F.lit(1)).alias("n")).collect())
+    starts = np.cumsum([0, *[n for _, n in counts]]).tolist()
+    table = merged.sparkSession.createDataFrame([(k, at) for (k, _), at in zip(counts, starts)], "history_range int, _start long")
+    return merged.join(F.broadcast(table), "history_range").withColumn("history_position", F.col("_start") + F.col("position")).drop("_start")
+
+
 def warc_index(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Write archives of ``pages``, read them back, merge their index: one row a page.
+    """Write archives of ``pages``, read them back, merge their index: one row a page with an id.
 
-    Repeated rows each get a record; an empty table gives no rows; further
-    columns aren't read.
+    ``history_position`` is the place in the global order of (urlkey, ts,
+    page_id), from 0. Repeated rows each get a record and a place; an empty table
+    gives no rows; further columns aren't read.
     """
     archives = write_archives(pages, least_bytes, id_col, url_col, html_col)
-    return merge_runs(materialize(index_runs(archives), "cdx"))
+    return global_positions(materialize(merge_runs(materialize(index_runs(archives), "cdx")), "histories"))
 
 
-ORACLE_SQL = """
-WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages WHERE page_id IS NOT NULL),
-     d AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS hex, min(page_id) OVER (PARTITION BY b) AS first FROM p),
-     bits AS (SELECT *, list_transform(range(32), lambda i: CAST('0x' || substr(hex, CAST(i * 5 // 4 AS INTEGER) + 1, 2) || '0' AS BIGINT)) AS w FROM d)
+ORACLE_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, encode(coalesce(html, '')) AS b FROM pages WHERE page_id IS NOT NULL),
+     d AS (SELECT page_id, url, octet_length(b) AS payload_bytes, sha1(b) AS hex, min(page_id) OVER (PARTITION BY b) AS first FROM p),
+     bits AS (SELECT *, list_transform(range(32), lambda i: CAST('0x' || substr(hex, CAST(i * 5 // 4 AS INTEGER) + 1, 2) || '0' AS BIGINT)) AS w FROM d),
+     parts AS (SELECT *, regexp_extract(url, '^https?://([^/?#:]*)(:[0-9]+)?(/[^?#]*)?([?][^#]*)?', ['host', 'port', 'path', 'query']) AS u FROM bits),
+     keyed AS (SELECT *, array_to_string(list_reverse(string_split(lower(u.host), '.')), ',') || CASE WHEN u.port IN ('', ':80', ':443') THEN '' ELSE u.port END
+                      || ')' || CASE WHEN u.path = '' THEN '/' ELSE u.path END || CASE WHEN u.query = '?' THEN '' ELSE u.query END AS urlkey,
+                      strftime(TIMESTAMP '2024-01-01' + to_seconds(page_id % 1000000000), '%Y-%m-%dT%H:%M:%SZ') AS ts FROM parts)
 SELECT page_id, payload_bytes,
        array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((w[CAST(i + 1 AS INTEGER)] >> CAST(7 - i * 5 % 4 AS INTEGER)) & 31) AS INTEGER) + 1, 1)), '') AS payload_digest,
        CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
-FROM bits
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to,
+       urlkey, ts, row_number() OVER (ORDER BY urlkey, ts, page_id) - 1 AS history_position
+FROM keyed
 """
