@@ -2,7 +2,7 @@
 
 import json
 import random
-from itertools import permutations
+from itertools import combinations, permutations
 
 import numpy as np
 import pytest
@@ -35,6 +35,48 @@ def test_a_gap_is_filled_when_the_next_block_confirms_it():
     assert out[0][4:] == ("dropped", 6)
 
 
+def test_tracks_start_with_the_recording_and_fills_have_a_bound():
+    state, out = capture.place(None, 4, 2_000_000_000, 100, started_ns=1_000_000_000)
+    assert out == [(4, 16_000, 100, 16_000, "start", 16_000)]
+    assert capture.place(None, 0, 100_000_000_000, 10)[1] == [(0, 960_000, 10, 960_000, "start", 1_600_000)]
+    # Within the tolerance nothing happens; a hole in the sequence alone fills nothing; a gap that isn't confirmed is forgotten.
+    state, out = capture.place((16_000, 0, False, 0), 1, 1_030_000_000, 10)
+    assert out == [(1, 16_000, 10, 0, "block", 0)] and not state[2]
+    state, out = capture.place((16_000, 0, False, 0), 5, 2_000_000_000, 10)
+    assert [o[4] for o in out] == ["dropped", "block"] and state[2]
+    state, out = capture.place(state, 6, 1_000_000_000, 10)
+    assert [o[4] for o in out] == ["block"] and not state[2]
+    assert capture.place((16_000, 0, True, 0), 1, 500_000_000, 10)[1][0] == (1, 16_000, 0, 0, "overlap", 8_000)
+
+
+def test_timeline_rows_take_every_line_that_covers_half(spark):
+    lines = [(1, 1, "mic", 0, 10_000), (1, 2, "system", 1000, 3000), (1, 3, "system", 4000, 6000), (1, 4, "system", 7000, 7000), (1, 5, "mic", 9999, 20_000), (1, 6, "system", 30_000, 30_000), (1, 7, "mic", 30_000, 30_001)]
+    got = Q.timeline_rows(spark.createDataFrame(lines, "session_id long, line_id long, source string, start_ms long, end_ms long"))
+    assert {r.line_id: r.row for r in got.collect()} == {1: 0, 2: 0, 3: 0, 4: 0, 5: 1, 6: 2, 7: 2}
+
+
+def test_windows_keep_every_row(spark):
+    r = np.random.default_rng(3)
+    v = r.normal(size=(5, 4))
+    items = spark.createDataFrame([(1, k, x.tolist()) for k, x in enumerate(v)], "win long, row long, v array<double>")
+    got = A.assigned_windows(items, np.eye(4)[:3]).collect()
+    placed = A.assign_window(v @ np.eye(4)[:3].T)
+    assert len(got) == 5 and sum(c is not None for c in placed) == 3 and sorted(c for c in placed if c is not None) == [0, 1, 2]
+    assert {x.row: x.cluster for x in got} == {k: (int(v[k][:3].argmax()) if c is None else c) for k, c in enumerate(placed)}
+    for rows, columns in ((1, 1), (2, 5), (3, 2), (4, 4), (3, 0), (4, 1)):
+        s = r.normal(size=(rows, columns))
+        n = min(rows, columns)
+        best = max((sum(s[i, c] for i, c in zip(own, order)) for own in combinations(range(rows), n) for order in permutations(range(columns), n)), default=0.0)
+        found = A.assign_window(s)
+        assert len(found) == rows and sum(c is not None for c in found) == n and abs(sum(s[i, c] for i, c in enumerate(found) if c is not None) - best) < 1e-9
+
+
+def test_latest_cut_of_tokens(spark):
+    tokens = spark.createDataFrame([(1, k, t) for k, t in enumerate((0, 5, 10, 15, 30))], "line_id long, token long, start_ms long")
+    cuts = spark.createDataFrame([(1, 5), (1, 12), (1, 30), (2, 0)], "line_id long, cut_ms long")
+    assert {r.token: r.cut_ms for r in Q.token_turns(tokens, cuts, ["line_id"]).collect()} == {0: None, 1: 5, 2: 5, 3: 12, 4: 30}
+
+
 def test_files(spark, tmp_path):
     p = str(tmp_path)
     assert files.read_lines(spark, f"{p}/none.jsonl", files.SCHEMAS["words"], required=False).count() == 0

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from itertools import permutations
 
 import numpy as np
 import pandas as pd
@@ -105,21 +104,43 @@ def text_echo(phrases: DataFrame, tokens: DataFrame, before_ms: int = 1500, afte
 
 
 def assign_window(scores: np.ndarray) -> list[int | None]:
-    """For at most three rows, distinct columns of the highest sum; a row beyond the columns gets none."""
+    """Distinct columns of the highest sum for as many rows as there are columns, at most; a row beyond them gets none.
+
+    Each row can do with its n best columns, n being the number of rows. Choices
+    are searched in depth; one that can't beat the best sum, even with every
+    later row's best column, is left.
+    """
     rows, columns = scores.shape
-    best, found = -np.inf, [None] * rows
-    for order in permutations([*range(columns), *[None] * max(0, rows - columns)], rows):
-        total = sum(scores[i, c] for i, c in enumerate(order) if c is not None)
-        if total > best + 1e-12:
-            best, found = total, list(order)
+    own = [np.sort(np.lexsort((np.arange(columns), -s))[:rows]).tolist() for s in scores]
+    ahead = np.r_[np.cumsum([0.0, *[max(0.0, float(s.max())) for s in scores[::-1]]])[::-1]] if columns else np.zeros(rows + 1)
+    need, best, found = min(rows, columns), -np.inf, [None] * rows
+    stack: list[tuple[tuple, float, int]] = [((), 0.0, 0)]
+    while stack:
+        chosen, total, used = stack.pop()
+        row = len(chosen)
+        if row == rows:
+            if total > best:
+                best, found = total, list(chosen)
+            continue
+        if total + ahead[row] < best:
+            continue
+        # The last pushed is tried first: columns in order, then none.
+        if need - used < rows - row:
+            stack.append(((*chosen, None), total, used))
+        if used < need:
+            stack += [((*chosen, c), total + float(scores[row, c]), used + 1) for c in reversed(own[row]) if c not in chosen]
     return found
 
 
 def assigned_windows(items: DataFrame, centroids: np.ndarray) -> DataFrame:
-    """The speakers of each window to distinct clusters; those left over to the most similar."""
+    """The speakers of each window to distinct clusters; those left over to the most similar.
+
+    Every row comes back; a window has as many as the model's local speakers,
+    three, and more only cost more time.
+    """
 
     def run(window: pd.DataFrame) -> pd.DataFrame:
-        window = window.sort_values("row").head(3) if len(window) > 3 else window.sort_values("row")
+        window = window.sort_values("row")
         scores = np.array(window["v"].tolist()) @ centroids.T
         found = assign_window(scores)
         return pd.DataFrame({"win": window["win"], "row": window["row"], "cluster": [int(scores[i].argmax()) if c is None else c for i, c in enumerate(found)]})

@@ -160,7 +160,21 @@ def title(rows: DataFrame) -> DataFrame:
     return rows.withColumn("shown", F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.concat(F.lit("Recording "), F.date_format("started", "yyyy-MM-dd HH:mm"))))
 
 
+#: Spans of ids by which jobs are numbered.
+RANGES = 1000
+
+
 def queue_positions(jobs: DataFrame) -> DataFrame:
-    """K9: jobs in order of arrival, a session once; the first runs."""
+    """K9: jobs in order of arrival, a session once; the first runs.
+
+    Jobs are numbered within equal spans of ids, and the spans, of which there are
+    RANGES at most, by how many jobs come before.
+    """
     first = jobs.groupBy("session_id").agg(F.min("job_id").alias("job_id"))
-    return first.withColumn("position", F.row_number().over(Window.orderBy("job_id")) - 1).withColumn("state", F.when(F.col("position") == 0, "running").otherwise("waiting"))
+    ends = first.agg(F.min("job_id").alias("_lo"), F.max("job_id").alias("_hi"))
+    spread = first.join(F.broadcast(ends)).withColumn("_span", F.expr(f"(job_id - _lo) * {RANGES} DIV (_hi - _lo + 1)")).drop("_lo", "_hi")
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = spread.groupBy("_span").agg(F.count(F.lit(1)).alias("_n")).select("_span", before.alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_span").orderBy("job_id")) - 1
+    placed = spread.withColumn("_within", within).join(F.broadcast(starts), "_span").select("session_id", "job_id", (F.col("_before") + F.col("_within")).cast("int").alias("position"))
+    return placed.withColumn("state", F.when(F.col("position") == 0, "running").otherwise("waiting"))

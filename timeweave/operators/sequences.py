@@ -253,26 +253,38 @@ def fold_bounds(rows: DataFrame, keys: Sequence[str], start_ms: int, end_ms: int
 
 
 def timeline_rows(lines: DataFrame, keys: Sequence[str] = ("session_id",)) -> DataFrame:
-    """A line joins the last row if it covers half of the shorter of itself and a line of the other side there.
+    """A line joins the last row if it and a line of the other side there share half of the shorter; a line lasts a millisecond at least.
 
     Which row is open depends on the lines before, so each session's lines are
-    folded in order.
+    folded in order, in batches.
     """
     schema = "session_id long, row int, line_id long, source string, start_ms long, end_ms long"
 
-    def fold(session: pd.DataFrame) -> pd.DataFrame:
-        session = session.sort_values(["start_ms", "line_id"])
-        row, members, out = -1, [], []
-        for x in session.itertuples(index=False):
-            sides = {m.source for m in members}
-            joins = any(m.source != x.source and 2 * (min(m.end_ms, x.end_ms) - max(m.start_ms, x.start_ms)) >= max(1, min(m.end_ms - m.start_ms, x.end_ms - x.start_ms)) for m in members) and x.source not in sides
-            if not joins:
-                row, members = row + 1, []
-            members.append(x)
-            out.append((x.session_id, row, x.line_id, x.source, x.start_ms, x.end_ms))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
-
-    return lines.groupBy(*keys).applyInPandas(fold, schema)
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        session, row, members = None, -1, []
+        for batch in batches:
+            out = []
+            for own, line, source, start, end in zip(*(batch[c] for c in ("session_id", "line_id", "source", "start_ms", "end_ms"))):
+                if own != session:
+                    session, row, members = own, -1, []
+                last = max(end, start + 1)
+                shared = [(min(last, b) - max(start, a), min(last - start, b - a)) for side, a, b in members if side != source]
+                if not any(0 < overlap and shorter <= 2 * overlap for overlap, shorter in shared):
+                    row, members = row + 1, []
+                members.append((source, start, last))
+                out.append((own, row, line, source, start, end))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+
+    ordered = lines.select("session_id", "line_id", "source", "start_ms", "end_ms").repartition(*keys).sortWithinPartitions(*keys, "start_ms", "line_id")
+    return ordered.mapInPandas(fold, schema)
+
+
+def token_turns(tokens: DataFrame, cuts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """For each token the latest cut at or before its start, null before the first; an as-of join by one ordered pass."""
+    none = F.lit(None).cast("long")
+    both = tokens.select(*keys, "start_ms", "token", none.alias("_cut")).unionByName(cuts.select(*keys, F.col("cut_ms").alias("start_ms"), none.alias("token"), F.col("cut_ms").alias("_cut")))
+    w = Window.partitionBy(*keys).orderBy("start_ms", F.col("_cut").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("cut_ms", F.max("_cut").over(w)).where("token IS NOT NULL").select(*keys, "token", "start_ms", "cut_ms")
 
 
 def token_groups(words: DataFrame) -> DataFrame:

@@ -61,8 +61,8 @@ def sessions_by_day(sessions: DataFrame, offset_minutes: Column | int = 0) -> Da
 def week_headings(days: DataFrame) -> DataFrame:
     """The Monday of each row's week where it differs from that of the row before."""
     week = F.date_trunc("week", F.col("day").cast("timestamp")).cast("date")
-    before = F.lag("week").over(Window.orderBy("day"))
-    return days.withColumn("week", week).withColumn("heading", F.when(before.isNull() | (before != F.col("week")), F.col("week")))
+    first = F.row_number().over(Window.partitionBy("week").orderBy("day")) == 1
+    return days.withColumn("week", week).withColumn("heading", F.when(first, F.col("week")))
 
 
 def split_rows(rows: DataFrame, at: int, column: str = "start_ms", also: Sequence[str] = ()) -> DataFrame:

@@ -115,3 +115,14 @@ def nearest_point(frames: DataFrame, points: DataFrame, horizon: int, fallback:
 def mix_tracks(frames: DataFrame) -> DataFrame:
     """The sum of the tracks, clamped to [-1, 1]; a track without a frame is silent."""
     return frames.groupBy("session_id", "frame").agg(F.least(F.greatest(F.sum("rms"), F.lit(-1.0)), F.lit(1.0)).alias("mixed"))
+
+
+def joined_envelope(levels: DataFrame, pieces: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """pieces' level buckets (*keys, piece, bucket, peak) at their places (*keys, piece, offset, buckets), silence elsewhere.
+
+    The envelope reaches to the end of the last piece; where pieces overlap the
+    louder counts, and buckets beyond a piece's own number aren't its.
+    """
+    placed = levels.join(pieces, [*keys, "piece"]).where("bucket >= 0 AND bucket < buckets").groupBy(*keys, (F.col("offset") + F.col("bucket")).alias("bucket")).agg(F.max("peak").alias("peak"))
+    whole = pieces.groupBy(*keys).agg(F.max(F.col("offset") + F.col("buckets")).alias("_n")).where("_n > 0").select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("bucket"))
+    return whole.join(placed, [*keys, "bucket"], "left").select(*keys, "bucket", F.coalesce("peak", F.lit(0.0)).alias("peak"))

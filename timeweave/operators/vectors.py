@@ -55,7 +55,7 @@ def speaker_scores(scores: DataFrame) -> DataFrame:
 
 
 def unique_matches(scores: DataFrame, threshold: float) -> DataFrame:
-    """One name a cluster: finite scores from the threshold, by (score desc, cluster); a name goes once."""
+    """One name a cluster: finite scores from the threshold; a cluster takes its best name, and a name may go to several."""
     fine = scores.where(~F.isnan("score") & (F.abs("score") < float("inf")) & (F.col("score") >= threshold))
     own = F.row_number().over(Window.partitionBy("cluster").orderBy(F.col("score").desc(), "name"))
     return fine.withColumn("_r", own).where("_r = 1").drop("_r")

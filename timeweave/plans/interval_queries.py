@@ -148,10 +148,10 @@ def line_words(spark, sf_dir):
 
 
 @query("recording_overlaps", T.sql(body="""
-, r AS (SELECT session_id, event_id AS rec_id, p AS start_ms, p + 2000 AS end_ms FROM ev WHERE event_id % 7 = 0)
+, r AS (SELECT session_id, event_id AS rec_id, p AS start_ms, p + 2000 AS end_ms FROM ev)
 SELECT a.session_id, a.rec_id AS a, b.rec_id AS b FROM r a JOIN r b ON a.session_id = b.session_id AND a.rec_id < b.rec_id AND a.start_ms < b.end_ms AND b.start_ms < a.end_ms"""))
-def recording_overlaps(spark, sf_dir, where="event_id % 7 = 0"):
-    rows = T.events(spark, sf_dir).where(where).select("session_id", F.col("event_id").alias("rec_id"), F.col("p").alias("start_ms"), (F.col("p") + 2000).alias("end_ms"))
+def recording_overlaps(spark, sf_dir):
+    rows = T.events(spark, sf_dir).select("session_id", F.col("event_id").alias("rec_id"), F.col("p").alias("start_ms"), (F.col("p") + 2000).alias("end_ms"))
     return I.recording_overlaps(rows, ("session_id",))
 
 

@@ -58,10 +58,10 @@ def group_faults(spark, sf_dir):
 
 @query("seams_between", T.sql(W, body="""
 , n AS (SELECT session_id, word_id AS line_id, start_ms, lead(start_ms) OVER (PARTITION BY session_id ORDER BY start_ms, word_id) AS next_ms FROM words),
-s AS (SELECT DISTINCT session_id, p + 500 AS seam_ms FROM ev WHERE event_id % 31 = 0)
+s AS (SELECT DISTINCT session_id, p + 500 AS seam_ms FROM ev)
 SELECT session_id, line_id, seam_ms FROM n JOIN s USING (session_id) WHERE start_ms < seam_ms AND seam_ms <= next_ms"""))
-def seams_between(spark, sf_dir, where="event_id % 31 = 0"):
-    seams = T.events(spark, sf_dir).where(where).select("session_id", (F.col("p") + 500).alias("start_ms")).distinct()
+def seams_between(spark, sf_dir):
+    seams = T.events(spark, sf_dir).select("session_id", (F.col("p") + 500).alias("start_ms")).distinct()
     return R.seams_between(T.words(spark, sf_dir).select("session_id", F.col("word_id").alias("line_id"), "start_ms"), seams)
 
 
@@ -85,26 +85,26 @@ def calendar_choice(spark, sf_dir):
 
 
 @query("reference_points", T.sql(W, body="""
-, pts AS (SELECT session_id, p AS at_ms, event_id % 17 AS delay, value AS gain FROM ev WHERE event_id % 53 = 0),
+, pts AS (SELECT session_id, p AS at_ms, event_id % 17 AS delay, value AS gain FROM ev),
 m AS (SELECT word_id, pts.*, start_ms + greatest(end_ms - start_ms, 0) // 2 AS mid FROM words w JOIN pts USING (session_id)),
 n AS (SELECT *, CASE WHEN at_ms <= mid THEN 'before' ELSE 'after' END AS side FROM m WHERE abs(at_ms - mid) <= 180000),
-r AS (SELECT *, row_number() OVER (PARTITION BY word_id, side ORDER BY abs(at_ms - mid), at_ms) AS k FROM n),
+r AS (SELECT *, row_number() OVER (PARTITION BY word_id, side ORDER BY abs(at_ms - mid), at_ms, delay, gain) AS k FROM n),
 g AS (SELECT word_id, side, list_sort(list(delay)) AS d, list_sort(list(gain)) AS g, count(*) AS n FROM r WHERE k <= 3 GROUP BY ALL)
 SELECT word_id, side, d[n // 2 + 1] AS delay, g[n // 2 + 1] AS gain, n FROM g"""))
-def reference_points(spark, sf_dir, where="event_id % 53 = 0"):
-    points = T.events(spark, sf_dir).where(where).select("session_id", F.col("p").alias("at_ms"), (F.col("event_id") % 17).alias("delay"), F.col("value").alias("gain"))
+def reference_points(spark, sf_dir):
+    points = T.events(spark, sf_dir).select("session_id", F.col("p").alias("at_ms"), (F.col("event_id") % 17).alias("delay"), F.col("value").alias("gain"))
     return R.reference_points(T.words(spark, sf_dir), points)
 
 
 @query("cluster_for_range", T.sql(S, body="""
-, q AS (SELECT session_id, source, event_id AS request_id, p AS start_ms, p + 700 AS end_ms FROM ev WHERE event_id % 19 = 0),
+, q AS (SELECT session_id, source, event_id AS request_id, p AS start_ms, p + 700 AS end_ms FROM ev),
 l AS (SELECT session_id, source, start_ms, start_ms + 700 AS end_ms, min(cluster) AS x FROM segments WHERE seg_id % 3 = 0 GROUP BY ALL),
 n AS (SELECT request_id, s.cluster FROM q JOIN segments s ON s.session_id = q.session_id AND s.source = q.source AND q.start_ms <= s.end_ms AND s.start_ms <= q.end_ms
   QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY greatest(least(q.end_ms, s.end_ms) - greatest(q.start_ms, s.start_ms), 0) DESC, s.start_ms, s.cluster) = 1)
 SELECT q.request_id, coalesce(l.x, n.cluster) AS cluster FROM q LEFT JOIN l USING (session_id, source, start_ms, end_ms) LEFT JOIN n USING (request_id)"""))
-def cluster_for_range(spark, sf_dir, where="event_id % 19 = 0"):
+def cluster_for_range(spark, sf_dir):
     p = F.col("p")
-    requests = T.events(spark, sf_dir).where(where).select("session_id", "source", F.col("event_id").alias("request_id"), p.alias("start_ms"), (p + 700).alias("end_ms"))
+    requests = T.events(spark, sf_dir).select("session_id", "source", F.col("event_id").alias("request_id"), p.alias("start_ms"), (p + 700).alias("end_ms"))
     segments = T.segments(spark, sf_dir)
     lines = segments.where("seg_id % 3 = 0").select("session_id", "source", "start_ms", (F.col("start_ms") + 700).alias("end_ms"), "cluster")
     return R.cluster_for_range(requests, lines, segments)
@@ -173,7 +173,7 @@ def session_titles(spark, sf_dir):
     return R.title(rows).select("o_orderkey", "shown")
 
 
-@query("job_queue", "SELECT o_custkey AS session_id, min(o_orderkey) AS job_id, CAST(row_number() OVER (ORDER BY min(o_orderkey)) - 1 AS INTEGER) AS position, CASE WHEN row_number() OVER (ORDER BY min(o_orderkey)) = 1 THEN 'running' ELSE 'waiting' END AS state FROM orders WHERE o_custkey < 200 GROUP BY o_custkey")
-def job_queue(spark, sf_dir, where="o_custkey < 200"):
+@query("job_queue", "SELECT o_custkey AS session_id, min(o_orderkey) AS job_id, CAST(row_number() OVER (ORDER BY min(o_orderkey)) - 1 AS INTEGER) AS position, CASE WHEN row_number() OVER (ORDER BY min(o_orderkey)) = 1 THEN 'running' ELSE 'waiting' END AS state FROM orders GROUP BY o_custkey")
+def job_queue(spark, sf_dir):
     """K9."""
-    return R.queue_positions(T.table(spark, sf_dir, "orders").where(where).select(F.col("o_custkey").alias("session_id"), F.col("o_orderkey").alias("job_id")))
+    return R.queue_positions(T.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("session_id"), F.col("o_orderkey").alias("job_id")))

@@ -176,11 +176,11 @@ def quiet_stretches(spark, sf_dir):
 
 
 @query("snap_to_quiet", T.sql(LEVELS_SQL, QUIET_SQL, body="""
-, pts AS (SELECT session_id, event_id AS point_id, p AS at_ms FROM ev WHERE event_id % 13 = 0),
+, pts AS (SELECT session_id, event_id AS point_id, p AS at_ms FROM ev),
 c AS (SELECT q.session_id, point_id, at_ms, least(greatest(at_ms, q.start_ms + least((q.end_ms - q.start_ms) // 2, 1000)), q.end_ms - least((q.end_ms - q.start_ms) // 2, 1000)) AS s, q.start_ms FROM pts JOIN quiet q USING (session_id))
 SELECT session_id, point_id, at_ms, s AS snapped_ms FROM c QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY abs(s - at_ms), start_ms) = 1"""))
-def snap_to_quiet(spark, sf_dir, where="event_id % 13 = 0"):
-    points = T.events(spark, sf_dir).where(where).select("session_id", F.col("event_id").alias("point_id"), F.col("p").alias("at_ms"))
+def snap_to_quiet(spark, sf_dir):
+    points = T.events(spark, sf_dir).select("session_id", F.col("event_id").alias("point_id"), F.col("p").alias("at_ms"))
     return Q.snap_to_quiet(points, Q.quiet_stretches(_levels(spark, sf_dir))).where("snapped_ms IS NOT NULL")
 
 
@@ -194,7 +194,15 @@ def fold_bounds(spark, sf_dir):
     return Q.fold_bounds(T.words(spark, sf_dir).withColumnRenamed("word_id", "row_id"), SESSION, 300000, 2000000)
 
 
-@query("timeline_rows")
+@query("timeline_rows", T.sql(W, body="""
+, o AS (SELECT session_id, word_id AS line_id, source, start_ms, end_ms, greatest(end_ms, start_ms + 1) AS last, row_number() OVER (PARTITION BY session_id ORDER BY start_ms, word_id) AS k FROM words),
+f AS (SELECT session_id, k, 0 AS row, line_id, source, start_ms, end_ms, [{'s': source, 'a': start_ms, 'b': last}] AS members FROM o WHERE k = 1
+  UNION ALL
+  SELECT session_id, k, CASE WHEN joins THEN row ELSE row + 1 END, line_id, source, start_ms, end_ms, CASE WHEN joins THEN list_append(members, own) ELSE [own] END
+  FROM (SELECT o.session_id, o.k, f.row, o.line_id, o.source, o.start_ms, o.end_ms, f.members, {'s': o.source, 'a': o.start_ms, 'b': o.last} AS own,
+          len(list_filter(f.members, lambda m: m.s <> o.source AND least(m.b, o.last) > greatest(m.a, o.start_ms) AND 2 * (least(m.b, o.last) - greatest(m.a, o.start_ms)) >= least(m.b - m.a, o.last - o.start_ms))) > 0 AS joins
+        FROM f JOIN o ON o.session_id = f.session_id AND o.k = f.k + 1))
+SELECT session_id, row, line_id, source, start_ms, end_ms FROM f""").replace("WITH ", "WITH RECURSIVE ", 1))
 def timeline_rows(spark, sf_dir):
     return Q.timeline_rows(T.words(spark, sf_dir).withColumnRenamed("word_id", "line_id").select("session_id", "line_id", "source", "start_ms", "end_ms"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from timeweave.functions import scalars as X
 from timeweave.operators import intervals as I
+from timeweave.operators import alignment as A
 from timeweave.operators import sessions as M
 from timeweave.plans.catalogue import query
 from timeweave.sources import tables as T
@@ -60,15 +61,18 @@ def normalize_token(spark, sf_dir):
     return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).withColumn("norm", X.normalize_token(F.col("token")))
 
 
-@query("bounded_edit_distance", """
-WITH t AS (SELECT DISTINCT nullif(lower(regexp_replace(unnest(string_split(text, ' ')), '[^\\p{L}\\p{N}]', '', 'g')), '') AS w FROM conversations),
-c AS (SELECT w FROM t WHERE w IS NOT NULL ORDER BY w LIMIT 300)
-SELECT a.w AS a, b.w AS b, levenshtein(a.w, b.w) <= CASE WHEN least(length(a.w), length(b.w)) <= 4 THEN 0 WHEN least(length(a.w), length(b.w)) <= 7 THEN 1 ELSE 2 END AS same FROM c a JOIN c b ON a.w < b.w AND substr(a.w, 1, 1) = substr(b.w, 1, 1)""")
+#: The oracle's distance counts bytes, so its letters beyond ASCII stand as upper-case ones, which no token has.
+_ODD, _PLAIN = "áéíóúñüäößàèùâêîôûçœæëï", "ABCDEFGHIJKLMNOPQRSTUVW"
+
+
+@query("bounded_edit_distance", f"""
+WITH t AS (SELECT DISTINCT nullif(lower(regexp_replace(unnest(string_split(text, ' ')), '[^\\p{{L}}\\p{{N}}]', '', 'g')), '') AS w FROM conversations),
+c AS (SELECT w, length(w) AS n, translate(w, '{_ODD}', '{_PLAIN}') AS x FROM t WHERE length(w) > 4)
+SELECT a.w AS a, b.w AS b FROM c a JOIN c b ON a.w < b.w AND abs(a.n - b.n) <= 2 AND levenshtein(a.x, b.x) <= CASE WHEN least(a.n, b.n) <= 7 THEN 1 ELSE 2 END""")
 def bounded_edit_distance(spark, sf_dir):
-    """F5 on the first 300 tokens in order, whose pairs of one initial are compared."""
-    tokens = T.utterances(spark, sf_dir).select(F.explode(F.split("text", " ")).alias("w")).select(X.normalize_token(F.col("w")).alias("w")).distinct().where("w IS NOT NULL").orderBy("w").limit(300)
-    a, b = tokens.select(F.col("w").alias("a"), F.substring("w", 1, 1).alias("i")), tokens.select(F.col("w").alias("b"), F.substring("w", 1, 1).alias("i"))
-    return a.join(b, "i").where("a < b").select("a", "b", X.tokens_match(F.col("a"), F.col("b")).alias("same"))
+    """the pairs of all distinct tokens that match; those of up to four characters match only themselves."""
+    tokens = T.utterances(spark, sf_dir).select(F.explode(F.split("text", " ")).alias("w")).select(X.normalize_token(F.col("w")).alias("w")).where("w IS NOT NULL").distinct()
+    return A.near_tokens(tokens)
 
 
 @query("format_timestamps", T.sql(W, body="SELECT word_id, printf('%02d:%02d:%02d.%03d', start_ms // 3600000, start_ms // 60000 % 60, start_ms // 1000 % 60, start_ms % 1000) AS stamp, (start_ms + 5) // 10 * 10 AS rounded, start_ms + greatest(end_ms - start_ms, 0) // 2 AS mid FROM words"))

@@ -2,8 +2,30 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
+LOCAL_FOLDER = "/tmp/timeweave-scratch"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares, ``spark.checkpoint.dir``; a local session without one, as in tests, has its own."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return LOCAL_FOLDER
+
+
+def own_folder(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that nothing else has; what is there goes when the application ends."""
+    path = f"{shared_folder(spark)}/timeweave/{label}-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A UTC session on ``local[cpus]`` with adaptive execution."""

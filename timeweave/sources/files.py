@@ -79,11 +79,14 @@ def read_contexts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_sessions(spark: SparkSession, root: str) -> DataFrame:
-    """Manifests of all session folders, newest first."""
+    """Manifests of all session folders with the names of their artifacts, newest first."""
     schema = "state STRING, started_wallclock STRING, sample_rate INT, channels INT, sample_format STRING, local_speaker STRING"
     rows = spark.read.schema(schema).option("multiLine", True).json(f"{root}/*/manifest.json")
     folder = F.element_at(F.split(F.input_file_name(), "/"), -2)
-    return rows.withColumn("session_id", folder).orderBy(F.col("started_wallclock").desc())
+    artifacts = spark.read.format("binaryFile").load(f"{root}/*/*").select(F.element_at(F.split("path", "/"), -2).alias("_folder"), F.element_at(F.split("path", "/"), -1).alias("_name"))
+    held = artifacts.groupBy("_folder").agg(F.array_sort(F.collect_set("_name")).alias("artifacts"))
+    found = rows.withColumn("session_id", folder).join(held, F.col("session_id") == F.col("_folder"), "left").drop("_folder")
+    return found.orderBy(F.col("started_wallclock").desc(), "session_id")
 
 
 def read_pcm(spark: SparkSession, path: str, block: int = 16_384) -> DataFrame:
@@ -121,6 +124,33 @@ def write_wav(tracks: DataFrame, keys: list[str]) -> DataFrame:
     return tracks.select(*keys, "samples").mapInPandas(run, T.StructType(fields))
 
 
+def wav_samples(tracks: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, pos, sample) of mono 16-bit WAV files in ``wav``; samples are quantised numbers, chunks other than the data are skipped."""
+    fields = [f for f in tracks.schema.fields if f.name in keys] + [T.StructField("samples", T.ArrayType(T.IntegerType()))]
+
+    def decode(data: bytes) -> np.ndarray:
+        if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
+            raise ValueError("no WAV file")
+        at, form = 12, None
+        while at + 8 <= len(data):
+            name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
+            if name == b"fmt ":
+                form = struct.unpack_from("<HHIIHH", data, at + 8)
+            elif name == b"data":
+                if form is None or (form[0], form[1], form[5]) != (1, 1, 16):
+                    raise ValueError("no mono 16-bit samples")
+                return np.frombuffer(data[at + 8 : at + 8 + size // 2 * 2], dtype="<i2")
+            at += 8 + size + size % 2
+        raise ValueError("no samples")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[keys].assign(samples=[decode(bytes(w)).tolist() for w in batch["wav"]])
+
+    decoded = tracks.select(*keys, "wav").mapInPandas(run, T.StructType(fields))
+    return decoded.select(*keys, F.posexplode("samples").alias("pos", "sample"))
+
+
 def read_speakers(spark: SparkSession, path: str) -> DataFrame:
     """Samples of a speaker store of any version, one row a sample.
 

@@ -10,70 +10,64 @@ from pyspark.sql import functions as F
 
 SAMPLE_RATE = 16_000
 TOLERANCE, MOST_FILL, OVERLAP_LIMIT = 480, 60 * SAMPLE_RATE, 4_000
-PLACED = "source string, seq long, at_sample long, samples long, silence long, event string, amount long"
+PLACED = "session_id long, source string, seq long, at_sample long, samples long, silence long, event string, amount long"
 _STATE = "written long, started_ns long, pending boolean, last_seq long"
+TRACK = ["session_id", "source"]
 
 
-def place(state: tuple[int, int, bool, int] | None, seq: int, capture_ns: int, samples: int) -> tuple[tuple[int, int, bool, int], list[tuple]]:
+def place(state: tuple[int, int, bool, int] | None, seq: int, capture_ns: int, samples: int, started_ns: int = 0) -> tuple[tuple[int, int, bool, int], list[tuple]]:
     """Where a block goes, and the events this makes.
 
-    A block whose clock is ahead of what is written waits for the next to confirm
-    the gap, which is then filled with silence, a minute at most. A late block
-    goes to the present end; only a long overlap is an event. A hole in the
-    sequence is a drop.
+    Clocks count from the recording's start, so a track that starts later begins
+    with silence. A block whose clock is ahead of what is written waits for the
+    next to confirm the gap, which is then filled; no fill is longer than a
+    minute. A late block goes to the present end; only a long overlap is an
+    event. A hole in the sequence is a drop.
     """
-    if state is None:
-        return (samples, capture_ns, False, seq), [(seq, 0, samples, 0, "start", 0)]
-    written, started, pending, last = state
+    written, started, pending, last = state or (0, started_ns, False, seq - 1)
     expected = max(0, capture_ns - started) * SAMPLE_RATE // 1_000_000_000
+    if state is None:
+        silence = min(expected, MOST_FILL)
+        return (silence + samples, started, False, seq), [(seq, silence, samples, silence, "start", expected)]
     out, silence, gap = [], 0, expected - written
     if seq > last + 1:
         out.append((seq, written, 0, 0, "dropped", seq - last - 1))
-    if gap > TOLERANCE:
-        if pending or seq > last + 1:
-            silence, pending = min(gap, MOST_FILL), False
-            out.append((seq, written, 0, silence, "gap", gap))
-        else:
-            pending = True
-    else:
-        pending = False
-        if -gap > OVERLAP_LIMIT:
-            out.append((seq, written, 0, 0, "overlap", -gap))
+    if gap > TOLERANCE and pending:
+        silence = min(gap, MOST_FILL)
+        out.append((seq, written, 0, silence, "gap", silence))
+    elif -gap > OVERLAP_LIMIT:
+        out.append((seq, written, 0, 0, "overlap", -gap))
+    pending = gap > TOLERANCE and not pending
     out.append((seq, written + silence, samples, silence, "block", 0))
     return (written + silence + samples, started, pending, max(seq, last)), out
 
 
+def _placements(key: tuple, now: tuple | None, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+    """The state after a track's blocks, which are taken in the order of their sequence, and their placements."""
+    out = []
+    for seq, capture_ns, samples, started_ns in rows.sort_values("seq")[["seq", "capture_ns", "samples", "started_ns"]].itertuples(index=False):
+        now, made = place(now, int(seq), int(capture_ns), int(samples), int(started_ns))
+        out += [(*key, *m) for m in made]
+    return now, pd.DataFrame(out, columns=[c.split()[0] for c in PLACED.split(", ")])
+
+
 def placed_blocks(blocks: DataFrame) -> DataFrame:
-    """Placements and events of a stream of blocks (source, seq, capture_ns, samples); state by source.
+    """Placements and events of a stream of blocks (session_id, source, seq, capture_ns, samples, started_ns); state by track.
 
-    Blocks of a micro-batch are taken in the order of their sequence, and the
-    state carries the track's end, so late blocks are appended, never dropped.
+    The state carries the track's end, so late blocks are appended, never dropped.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        now = state.get if state.exists else None
-        rows = pd.concat(list(batches)).sort_values("seq")
-        out = []
-        for seq, capture_ns, samples in zip(rows["seq"], rows["capture_ns"], rows["samples"]):
-            now, made = place(now, int(seq), int(capture_ns), int(samples))
-            out += [(key[0], *m) for m in made]
+        now, placed = _placements(key, state.get if state.exists else None, pd.concat(list(batches)))
         state.update(now)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in PLACED.split(", ")])
+        yield placed
 
-    return blocks.groupBy("source").applyInPandasWithState(run, PLACED, _STATE, "append", "NoTimeout")
+    return blocks.groupBy(*TRACK).applyInPandasWithState(run, PLACED, _STATE, "append", "NoTimeout")
 
 
 def placed_batch(blocks: DataFrame) -> DataFrame:
-    """The same placements of a finished recording."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        now, out = None, []
-        for source, seq, capture_ns, samples in rows.sort_values("seq")[["source", "seq", "capture_ns", "samples"]].itertuples(index=False):
-            now, made = place(now, int(seq), int(capture_ns), int(samples))
-            out += [(source, *m) for m in made]
-        return pd.DataFrame(out, columns=[c.split()[0] for c in PLACED.split(", ")])
-
-    return blocks.groupBy("source").applyInPandas(run, PLACED)
+    """The same placements of finished recordings, a track a task."""
+    return blocks.groupBy(*TRACK).applyInPandas(lambda key, rows: _placements(key, None, rows)[1], PLACED)
 
 
 def live_levels(blocks: DataFrame) -> DataFrame:
