@@ -3,19 +3,14 @@
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_LOCAL_SCRATCH = "/tmp/timeweave-scratch"
-
+from timeweave.session import own_folder
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, ``spark.checkpoint.dir``; one of our own only where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_SCRATCH
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -24,13 +19,9 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     This cuts the lineage and survives the loss of executors; the files go when
     the application ends.
     """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/timeweave/{label}-{uuid.uuid4().hex}"
+    path = own_folder(df.sparkSession, label)
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:
