@@ -13,7 +13,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster shares, ``spark.checkpoint.dir``; a local session without one, as in tests, has its own."""
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.partition("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return LOCAL_FOLDER
 
