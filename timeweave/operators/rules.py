@@ -178,3 +178,61 @@ def queue_positions(jobs: DataFrame) -> DataFrame:
     within = F.row_number().over(Window.partitionBy("_span").orderBy("job_id")) - 1
     placed = spread.withColumn("_within", within).join(F.broadcast(starts), "_span").select("session_id", "job_id", (F.col("_before") + F.col("_within")).cast("int").alias("position"))
     return placed.withColumn("state", F.when(F.col("position") == 0, "running").otherwise("waiting"))
+
+
+_BY_SOURCE = "IF(source = 'mic', 0, 1)"
+#: Orders as SQL expressions; ``in_order`` adds an id, as the sorts are stable. K2: chunks; K3: utterances; K7: pieces.
+CHUNK_ORDER = ("start_ms", _BY_SOURCE, "cluster", "end_ms")
+UTTERANCE_ORDER = ("start_ms", _BY_SOURCE)
+PIECE_ORDER = ("start IS NULL", "start", "name")
+
+
+def in_order(rows: DataFrame, keys: Sequence[str], order: Sequence[str], last: str) -> DataFrame:
+    """K2, K3, K7: ``place`` from 1 within the keys."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*map(F.expr, order), last)))
+
+
+def has_text(column: str) -> Column:
+    """K3: text beside white space."""
+    return F.regexp_replace(column, r"(?U)\s+", "") != ""
+
+
+def nearest_first(rows: DataFrame, keys: Sequence[str], last: str) -> DataFrame:
+    """K8: ``place`` by the distance of starts from ``at_ms``."""
+    return in_order(rows, keys, ("abs(start_ms - at_ms)", "start_ms"), last)
+
+
+def can_mark(now_start: Column, now_end: Column, recorded_ms: Column, start: Column, end: Column) -> Column:
+    """A span may be marked if it differs from the present one, starts before it ends and ends within the recording, if that is known."""
+    differs = ~(now_start.eqNullSafe(start) & now_end.eqNullSafe(end))
+    valid = start.isNull() | end.isNull() | (start < end)
+    within = (recorded_ms <= 0) | (F.coalesce(end, recorded_ms) <= recorded_ms) & (F.coalesce(start, F.lit(0)) < recorded_ms)
+    return differs & valid & within
+
+
+def padded_interval(start: Column, end: Column, least_ms: int) -> tuple[Column, Column]:
+    """widened on both sides alike to a least length, not below 0."""
+    pad = F.floor(F.greatest(F.lit(least_ms) - (end - start), F.lit(0)) / 2)
+    return F.greatest(start - pad, F.lit(0)), end + pad
+
+
+def shifted(at: Column, delay: Column) -> Column:
+    """a time on the other track's axis, not below 0."""
+    return F.greatest(at - delay, F.lit(0))
+
+
+def fitting_bars(bars: DataFrame, lanes: int, start_ms: int, end_ms: int, least_ms: int = 50) -> DataFrame:
+    """Bars of the first ``lanes`` lanes, or unsure, cut to a clip and on its axis, ``least_ms`` long at least, numbered from 1."""
+    cut = bars.where(F.col("unsure") | (F.col("lane") <= lanes)).withColumn("start_ms", F.greatest("start_ms", F.lit(start_ms)) - start_ms).withColumn("end_ms", F.least("end_ms", F.lit(end_ms)) - start_ms)
+    return in_order(cut.where(F.col("end_ms") - F.col("start_ms") >= least_ms), ("session_id",), ("start_ms", "end_ms"), "seg_id").withColumnRenamed("place", "bar")
+
+
+def mic_diarization(segments: DataFrame) -> DataFrame:
+    """P25: whether the microphone's speakers are told apart: where that is requested and it has segments."""
+    return segments.groupBy("session_id").agg((F.bool_or(F.col("source") == "mic") & F.bool_or("requested")).alias("effective"))
+
+
+def local_offset(seconds: Column, zone: str) -> Column:
+    """F16: minutes east of UTC in a zone at a time, from the zone's table."""
+    at = F.timestamp_seconds(seconds)
+    return ((F.unix_seconds(F.from_utc_timestamp(at, zone)) - seconds) / 60).cast("int")

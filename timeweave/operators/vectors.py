@@ -24,16 +24,44 @@ def mean_normalized(rows: DataFrame, keys: Sequence[str], vector: str = "v", inn
     return sums.select(*keys, X.normalize(F.col("_sum")).alias("centroid"))
 
 
-def centroid_prefilter(queries: DataFrame, centroids: DataFrame, k: int = 5) -> DataFrame:
-    """The ``k`` people whose centroids are closest to each query, by (score desc, name).
+#: Centroids and queries that meet in one task.
+CENTROID_BLOCK, QUERY_BLOCK = 2000, 4000
 
-    There is one centroid a person and few people beside samples, so centroids
-    are collected into one row whose size Spark checks before it broadcasts it.
+
+def centroid_prefilter(queries: DataFrame, centroids: DataFrame, k: int = 5, allowed: DataFrame | None = None) -> DataFrame:
+    """The ``k`` people whose centroids are closest to each query, by (score desc, name); only ``allowed`` (query_id, name) where given.
+
+    Blocks of queries meet blocks of centroids, which are multiplied as matrices;
+    a meeting gives the best of its block, and those of all blocks are ranked.
+    With ``allowed``, queries meet just the people that they allow, by name.
     """
-    all_centroids = centroids.agg(F.collect_list(F.struct("name", "centroid")).alias("_all"))
-    scored = queries.join(all_centroids).select("query_id", "q", F.explode(F.transform("_all", lambda c: F.struct(c["name"].alias("name"), X.dot(F.col("q"), c["centroid"]).alias("score")))).alias("_c"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("_c.score").desc(), "_c.name"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "q", F.col("_c.name").alias("name"), F.col("_c.score").alias("score"), "rank")
+    if allowed is not None:
+        met = allowed.join(queries, "query_id").join(centroids, "name").select("query_id", "q", "name", X.dot(F.col("q"), F.col("centroid")).alias("score"))
+        best = met.where("score IS NOT NULL")
+    else:
+        people = centroids.where("centroid IS NOT NULL")
+        count = lambda rows, size, name: rows.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / size)).cast("int").alias(name))
+        sizes = F.broadcast(count(people, CENTROID_BLOCK, "_np").join(count(queries, QUERY_BLOCK, "_nq")))  # one row
+        own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        right = people.join(sizes).withColumn("_p", own("name", "_np")).withColumn("_s", each("_nq")).select("_p", "_s", "name", "centroid")
+        left = queries.join(sizes).withColumn("_s", own("query_id", "_nq")).withColumn("_p", each("_np")).select("_p", "_s", "query_id", "q")
+
+        def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            if not len(a) or not len(b):
+                return pd.DataFrame({"query": [], "name": [], "score": []})
+            b = b.sort_values("name")
+            scores = np.array(a["q"].tolist()) @ np.array(b["centroid"].tolist()).T
+            order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+            rows = np.repeat(np.arange(len(a)), order.shape[1])
+            return pd.DataFrame({"query": a["query"].to_numpy()[rows], "name": b["name"].to_numpy()[order.ravel()], "score": scores[rows, order.ravel()]})
+
+        # Ids may be structs; they travel as JSON and meet their queries again.
+        asked = left.select("_p", "_s", F.to_json(F.struct("query_id")).alias("query"), "q")
+        found = asked.groupBy("_p", "_s").cogroup(right.groupBy("_p", "_s")).applyInPandas(meet, "query string, name string, score double")
+        best = queries.withColumn("query", F.to_json(F.struct("query_id"))).join(found, "query").drop("query")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "name"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "q", "name", "score", "rank")
 
 
 def topk_scores(candidates: DataFrame, samples: DataFrame, k: int = 3) -> DataFrame:
@@ -61,24 +89,31 @@ def unique_matches(scores: DataFrame, threshold: float) -> DataFrame:
     return fine.withColumn("_r", own).where("_r = 1").drop("_r")
 
 
-def _signed_buckets(v: Column, planes: int, dimension: int, seed: int) -> Column:
-    draw = np.random.default_rng(seed).normal(size=(planes, dimension))
-    bits = [F.when(X.dot(v, F.array(*[F.lit(float(x)) for x in row])) >= 0, 1 << k).otherwise(0) for k, row in enumerate(draw)]
-    return sum(bits[1:], bits[0])
+#: Sign patterns of the directions on which near vectors are bucketed: component i counts against where it shares an odd number of bits.
+_PATTERNS = (0b010101, 0b110011, 0b001111)
 
 
 def near_duplicates(left: DataFrame, right: DataFrame, threshold: float = 0.999) -> DataFrame:
     """Pairs of unit vectors with cosine from ``threshold``.
 
-    Such vectors differ by at most sqrt(2 - 2 t) in any component, so both meet in
-    buckets of that width on the sum of four components, each with its neighbours:
-    an equality join that can't miss a pair.
+    Such vectors are at most sqrt(2 - 2 t) apart, and so are their parts along any
+    direction. Both meet in buckets of that width along three directions at once,
+    one side with the buckets beside its own: an equality join that can't miss a
+    pair.
     """
-    reach = 2 * float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-9
-    cell = lambda v: F.floor((F.get(v, F.lit(0)) + F.get(v, F.lit(1)) + F.get(v, F.lit(2)) + F.get(v, F.lit(3))) / reach)
-    a = left.select(F.col("id").alias("a"), F.col("v").alias("va"), F.explode(F.array(cell(F.col("v")) - 1, cell(F.col("v")), cell(F.col("v")) + 1)).alias("cell"))
-    b = right.select(F.col("id").alias("b"), F.col("v").alias("vb"), cell(F.col("v")).alias("cell"))
-    return a.join(b, "cell").where(F.col("a") != F.col("b")).withColumn("cosine", X.dot(F.col("va"), F.col("vb"))).where(F.col("cosine") >= threshold).select("a", "b", "cosine")
+    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-9
+
+    def cell(pattern: int) -> Column:
+        signed = F.transform("v", lambda x, i: F.when(F.bit_count(i.bitwiseAND(F.lit(pattern))) % 2 == 0, x).otherwise(-x))
+        return F.floor(F.aggregate(signed, F.lit(0.0), lambda s, x: s + x) / F.sqrt(F.size("v")) / reach)
+
+    cells = [f"_c{k}" for k in range(len(_PATTERNS))]
+    placed = lambda rows, name: rows.select(F.col("id").alias(name), F.col("v"), *[cell(p).alias(c) for p, c in zip(_PATTERNS, cells)])
+    a = placed(left, "a").withColumnRenamed("v", "va")
+    for c in cells:
+        a = a.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
+    met = a.join(placed(right, "b").withColumnRenamed("v", "vb"), cells)
+    return met.where(F.col("a") != F.col("b")).withColumn("cosine", X.dot(F.col("va"), F.col("vb"))).where(F.col("cosine") >= threshold).select("a", "b", "cosine")
 
 
 def mad_floor(rows: DataFrame, keys: Sequence[str], value: str, gap: float, least: int = 5) -> DataFrame:
@@ -122,32 +157,70 @@ def limit_removals(findings: DataFrame, share: float = 0.1, least_left: int = 20
     return findings.withColumn("verdict", F.when((F.col("verdict") == "remove") & (rank > allowed), "deferred").otherwise(F.col("verdict")))
 
 
-def agglomerate(v: np.ndarray, distance: float | None = None, count: int | None = None) -> np.ndarray:
-    """M6: average-linkage labels on cosine distance, cut at a distance or an exact count, numbered by first appearance."""
+def linkage(v: np.ndarray) -> list[tuple[float, int, int]]:
+    """The merges of average linkage on cosine distance, as (distance, a member, a member), by nearest-neighbour chains.
+
+    A chain goes from cluster to nearest cluster until two are each other's; those
+    merge. Each step looks at one row of distances, so the time is quadratic.
+    """
     n = len(v)
-    if not n:
-        return np.zeros(0, dtype=int)
     d = 1 - v @ v.T
     np.fill_diagonal(d, np.inf)
-    size, members, alive = np.ones(n), [[i] for i in range(n)], np.ones(n, dtype=bool)
-    left = n
-    while left > (count or 1):
-        at = int(d.argmin())
-        i, j = sorted(divmod(at, n))
-        if distance is not None and count is None and d[i, j] > distance:
-            break
-        merged = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        d[i], d[:, i] = merged, merged
-        d[i, i] = np.inf
-        d[j], d[:, j] = np.inf, np.inf
-        size[i] += size[j]
-        members[i] += members[j]
-        alive[j] = False
-        left -= 1
-    labels = np.zeros(n, dtype=int)
-    for number, i in enumerate(sorted(np.flatnonzero(alive), key=lambda k: min(members[k]))):
-        labels[members[i]] = number
-    return labels
+    size, alive, chain, merges = np.ones(n), np.ones(n, dtype=bool), [], []
+    while len(merges) < n - 1:
+        if not chain:
+            chain = [int(np.flatnonzero(alive)[0])]
+        while True:
+            top = chain[-1]
+            row = d[top]
+            near = int(row.argmin())
+            if len(chain) > 1 and row[chain[-2]] <= row[near]:
+                near = chain[-2]  # of equals the one before, so a chain can't go in circles
+                break
+            chain.append(near)
+        a, b = chain.pop(), chain.pop()
+        merges.append((float(d[a, b]), a, b))
+        merged = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
+        d[b], d[:, b] = merged, merged
+        d[b, b] = np.inf
+        d[a], d[:, a] = np.inf, np.inf
+        size[b] += size[a]
+        alive[a] = False
+    return merges
+
+
+def first_numbers(labels: np.ndarray) -> np.ndarray:
+    """Labels numbered by first appearance."""
+    _, first, where = np.unique(labels, return_index=True, return_inverse=True)
+    return np.argsort(np.argsort(first))[where]
+
+
+def agglomerate(v: np.ndarray, distance: float | None = None, count: int | None = None) -> np.ndarray:
+    """M6: average-linkage labels on cosine distance, cut at a distance or an exact count, numbered by first appearance."""
+    n = len(v)
+    merges = sorted(linkage(v), key=lambda m: m[0])
+    applied = max(0, n - max(1, count)) if count is not None else sum(m[0] <= distance for m in merges) if distance is not None else n
+    labels = np.arange(n)
+    for _, a, b in merges[:applied]:
+        labels[labels == labels[a]] = labels[b]
+    return first_numbers(labels)
+
+
+#: What the model clusters at once.
+MOST_CLUSTERED = 4_000
+
+
+def spread_evenly(n: int, most: int) -> np.ndarray:
+    """At most ``most`` of n places, evenly spread."""
+    return np.arange(n) if n <= most else np.arange(most) * n // most
+
+
+def centres_of(v: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """A3: the normalised sum of the normalised vectors of each label."""
+    unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    sums = np.zeros((labels.max() + 1, v.shape[1]))
+    np.add.at(sums, labels, unit)
+    return sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
 
 
 def absorb_small(v: np.ndarray, labels: np.ndarray, least: int) -> np.ndarray:
@@ -160,17 +233,26 @@ def absorb_small(v: np.ndarray, labels: np.ndarray, least: int) -> np.ndarray:
         small = ~np.isin(labels, large)
         labels = labels.copy()
         labels[small] = large[(v[small] @ centres.T).argmax(axis=1)]
-    first = {k: i for i, k in reversed(list(enumerate(labels)))}
-    order = {k: n for n, k in enumerate(sorted(first, key=first.get))}
-    return np.array([order[k] for k in labels])
+    return first_numbers(labels)
 
 
 def clustered(samples: DataFrame, group: str, distance: float, least: int = 1) -> DataFrame:
-    """M6, M7 for each group; groups are bounded (4,000 rows in the model's own cap)."""
+    """M6, M7 for each group.
+
+    The model's own bound on what is clustered at once holds: of more than
+    MOST_CLUSTERED vectors as many, evenly spread, are clustered, and the others
+    go to the most similar cluster's centre.
+    """
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("sample_no")
         v = np.array(g["v"].tolist(), dtype=float)
+        if len(v) > MOST_CLUSTERED:
+            chosen = spread_evenly(len(v), MOST_CLUSTERED)
+            own = absorb_small(v[chosen], agglomerate(v[chosen], distance), least)
+            labels = (v @ centres_of(v[chosen], own).T).argmax(axis=1)
+            labels[chosen] = own
+            return pd.DataFrame({group: g[group], "sample_no": g["sample_no"], "label": labels})
         return pd.DataFrame({group: g[group], "sample_no": g["sample_no"], "label": absorb_small(v, agglomerate(v, distance), least)})
 
     return samples.select(group, "sample_no", "v").groupBy(group).applyInPandas(run, f"{group} string, sample_no long, label int")

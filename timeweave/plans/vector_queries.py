@@ -15,8 +15,8 @@ SM = T.SAMPLES_SQL
 _UNIT = "list_transform({v}, lambda x: x / sqrt(list_inner_product({v}, {v})))"
 CENTROIDS_SQL = f"""parts AS (SELECT name, i, sum(x / n) AS s FROM (SELECT name, unnest(v) AS x, unnest(range(len(v))) AS i, sqrt(list_inner_product(v, v)) AS n FROM samples) GROUP BY ALL),
 sums AS (SELECT name, list(s ORDER BY i) AS s FROM parts GROUP BY ALL), centroids AS (SELECT name, {_UNIT.format(v='s')} AS centroid FROM sums)"""
-#: Queries: the first fifty vectors, ten clusters of five.
-QUERIES_SQL = "q AS (SELECT sample_no AS query_id, CAST(sample_no % 10 AS INTEGER) AS cluster, v AS q FROM samples WHERE sample_no < 50)"
+#: Queries: every vector, in ten clusters.
+QUERIES_SQL = "q AS (SELECT sample_no AS query_id, CAST(sample_no % 10 AS INTEGER) AS cluster, v AS q FROM samples)"
 PREFILTER_SQL = "pre AS (SELECT query_id, q, name, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name) AS INTEGER) AS rank FROM (SELECT query_id, q, name, list_inner_product(q, centroid) AS score FROM q, centroids)) WHERE rank <= 5)"
 TOPK_SQL = "topk AS (SELECT query_id, name, avg(d) AS score FROM (SELECT query_id, p.name, d, row_number() OVER (PARTITION BY query_id, p.name ORDER BY d DESC, sample_no) AS r FROM (SELECT query_id, pre.name, sample_no, list_inner_product(pre.q, v) AS d FROM pre JOIN samples USING (name)) p) WHERE r <= 3 GROUP BY ALL)"
 
@@ -26,7 +26,7 @@ def _sql(*relations, body):
 
 
 def _queries(spark, sf_dir):
-    return T.samples(spark, sf_dir).where("sample_no < 50").select(F.col("sample_no").alias("query_id"), F.col("v").alias("q"))
+    return T.samples(spark, sf_dir).select(F.col("sample_no").alias("query_id"), F.col("v").alias("q"))
 
 
 def _prefilter(spark, sf_dir):
