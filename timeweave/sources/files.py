@@ -169,6 +169,30 @@ def read_speakers(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(version.alias("format_version"), F.explode(people).alias("name", "samples")).select("format_version", "name", F.posexplode("samples").alias("sample_no", "s")).select("format_version", "name", "sample_no", "s.*")
 
 
+def write_speakers(samples: DataFrame, path: str, version: int = 3) -> None:
+    """A speaker store of the present version as one document, which takes the old one's place.
+
+    Samples of a person are in order; the writer is the one task of the
+    document's row, so two writers can't mix their samples.
+    """
+    sample = F.struct("sample_no", "embedding", "session", "source", "learned_at", "kept_by_user")
+    people = samples.groupBy("name").agg(F.transform(F.sort_array(F.collect_list(sample)), lambda s: s.dropFields("sample_no")).alias("samples"))
+    speakers = F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", F.struct("samples")))))
+    document = people.agg(speakers.alias("speakers")).select(F.lit(version).alias("format_version"), "speakers")
+    staged = f"{path}.staged"
+    document.coalesce(1).write.mode("overwrite").json(staged)
+    swap_in(samples.sparkSession, staged, path)
+
+
+def write_cases(clips: DataFrame, words: DataFrame, truths: DataFrame, path: str) -> None:
+    """Labelled cases by folder: clips as 16-bit WAV, their words and truths as JSON lines; all of them take the old ones' place at once."""
+    staged = f"{path}.staged"
+    write_wav(clips, ["folder"]).write.mode("overwrite").parquet(f"{staged}/clips")
+    write_lines(words, f"{staged}/words")
+    write_lines(truths, f"{staged}/truths")
+    swap_in(clips.sparkSession, staged, path)
+
+
 def content_hashes(spark: SparkSession, path: str) -> DataFrame:
     """SHA-256 and size of files, to be joined with what was recorded."""
     return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))

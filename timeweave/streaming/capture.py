@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +71,26 @@ def placed_batch(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy(*TRACK).applyInPandas(lambda key, rows: _placements(key, None, rows)[1], PLACED)
 
 
+def record_tracks(tracks: dict[str, DataFrame], path: str, checkpoint: str, seconds: float | None = 1.0) -> dict[str, str | None]:
+    """Every track's placements written by a query of its own, flushed at least every ``seconds``; (track: error or None).
+
+    A track that fails leaves the others alone; only if all fail is that an
+    error. Without ``seconds`` what is there is recorded, and the recording ends.
+    """
+    when = {"availableNow": True} if seconds is None else {"processingTime": f"{seconds} seconds"}
+    running = {name: placed_blocks(blocks).writeStream.format("parquet").option("path", f"{path}/{name}").option("checkpointLocation", f"{checkpoint}/{name}").trigger(**when).start() for name, blocks in tracks.items()}
+    failed: dict[str, str | None] = {}
+    for name, stream in running.items():
+        try:
+            stream.awaitTermination()
+            failed[name] = None
+        except StreamingQueryException as error:
+            failed[name] = str(error)
+    if failed and all(failed.values()):
+        raise RuntimeError(f"all tracks failed: {failed}")
+    return failed
+
+
 def live_levels(blocks: DataFrame) -> DataFrame:
     """T5: the highest level of each source so far, for update mode."""
     return blocks.groupBy("source").agg(F.max("peak").alias("peak"), F.max("seq").alias("seq"))
