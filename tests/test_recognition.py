@@ -110,3 +110,18 @@ def test_marks_need_a_change_and_the_recording(spark):
     rows = spark.createDataFrame([(0, 5, 10, 0, 5), (0, 5, 10, 1, 5), (None, None, 10, 6, 6), (None, None, 10, 7, 11), (None, None, 0, 7, 11), (None, None, 10, None, 4), (None, None, 10, 10, None), (None, None, 10, None, None)], "a long, b long, n long, x long, y long")
     got = [r.m for r in rows.select(R.can_mark(rows.a, rows.b, rows.n, rows.x, rows.y).alias("m")).collect()]
     assert got == [False, True, False, False, True, True, False, False]
+
+
+def test_verdicts_of_a_tidying_pass(spark):
+    """Kept before recurring before settling before removal; a rival counts with samples enough, a person likewise."""
+    r = np.random.default_rng(1)
+    near = lambda v, n, spread: [unit(np.array(v) + r.normal(size=3) * spread)[0].tolist() for _ in range(n)]
+    people = {"Ann": near([1, 0, 0], 40, 0.05), "Bob": near([0, 1, 0], 20, 0.05), "Cid": near([0, 0, 1], 5, 0.05)}
+    rows = [(name, k, k % 9, v, False) for name, vs in people.items() for k, v in enumerate(vs)]
+    # Strays of Ann that sound like Bob: of an old session, kept by the user, of the last session; and one like Cid, who has few samples.
+    rows += [("Ann", 100, 0, near([0, 1, 0], 1, 0.01)[0], False), ("Ann", 101, 0, near([0, 1, 0], 1, 0.01)[0], True), ("Ann", 102, 8, near([0, 1, 0], 1, 0.01)[0], False)]
+    samples = spark.createDataFrame(rows, "name string, sample_no long, session int, v array<double>, kept_by_user boolean")
+    history = samples.select("name", "session").distinct().withColumn("pos", samples.session)
+    got = {(x.name, x.sample_no): (x.reason, x.rival, x.verdict) for x in V.findings(V.review(samples, 0.6), samples, history, 0.6).collect()}
+    assert got["Ann", 100] == ("sounds_like", "Bob", "remove") and got["Ann", 101][2] == "kept" and got["Ann", 102][2] == "settling"
+    assert not any(name == "Cid" for name, _ in got) and all(v[2] != "remove" for k, v in got.items() if k[1] < 100 and v[0] == "sounds_like")

@@ -115,7 +115,7 @@ def pair_scores(scores: DataFrame, threshold: float) -> DataFrame:
 
 def tidy_summary(findings: DataFrame) -> DataFrame:
     """Findings by reason and verdict."""
-    return findings.groupBy("name").agg(*[F.count_if(F.col("verdict") == v).alias(v) for v in ("remove", "deferred", "kept")], F.count(F.lit(1)).alias("n"))
+    return findings.groupBy("name").agg(*[F.count_if(F.col("verdict") == v).alias(v) for v in ("remove", "deferred", "settling", "recurring", "kept")], F.count(F.lit(1)).alias("n"))
 
 
 def recorded_duration(tracks: DataFrame) -> DataFrame:

@@ -150,6 +150,36 @@ def review(samples: DataFrame, threshold: float, gap: float = 0.1, rivals: int =
     return all_.withColumn("isolated", isolated).withColumn("flag", flag).drop("_outlier", "v")
 
 
+#: Fixed values of a tidying pass: samples of a person to judge and of a rival to count, how much better a rival is, sessions until a sample settles, sessions that make a group recur.
+LEAST_TIDIED, LEAST_JUDGED, CLEARLY_BETTER, SETTLING, RECURRING = 20, 10, 0.05, 3, 2
+
+
+def findings(reviewed: DataFrame, samples: DataFrame, history: DataFrame, threshold: float) -> DataFrame:
+    """(name, sample_no, reason, rival, severity, verdict, n_samples) of samples that sound like someone else or are isolated.
+
+    ``reviewed`` is that of ``review``, ``history`` (name, session, pos) has the
+    order of each person's sessions, ``samples`` kept_by_user. A sample that the
+    user kept stays; an isolated one whose close neighbours come from several
+    sessions recurs; one whose person has had too few sessions since settles;
+    the rest is to be removed, within the pass's limit.
+    """
+    sizes = samples.groupBy("name").agg(F.count(F.lit(1)).alias("n_samples"))
+    rivals = sizes.select(F.col("name").alias("rival"), F.col("n_samples").alias("_rival_n"))
+    rows = reviewed.join(sizes, "name").where(F.col("n_samples") >= LEAST_TIDIED).join(rivals, "rival", "left")
+    like = (F.col("flag") == "stray") & (F.col("rival_score") - F.col("own_score") >= CLEARLY_BETTER) & (F.col("_rival_n") >= LEAST_JUDGED)
+    reason = F.when(F.coalesce(like, F.lit(False)), "sounds_like").when(F.col("isolated"), "isolated")
+    rows = rows.withColumn("reason", reason).where("reason IS NOT NULL").withColumn("_limit", F.when(F.col("reason") == "sounds_like", F.col("rival_score")).otherwise(F.col("isolation_floor")))
+    near = neighbourhoods(samples).join(rows.select("name", "sample_no", "_limit", F.col("session").alias("_own")), ["name", "sample_no"]).where(F.col("d") >= F.greatest(F.lit(threshold), F.col("_limit")))
+    close = near.select("name", "sample_no", F.explode(F.array("other_session", "_own")).alias("_s")).where("_s IS NOT NULL").groupBy("name", "sample_no").agg(F.count_distinct("_s").alias("_sessions"))
+    last = history.groupBy("name").agg(F.max("pos").alias("_last"))
+    since = history.join(last, "name").select("name", "session", (F.col("_last") - F.col("pos")).alias("_since"))
+    judged = rows.join(close, ["name", "sample_no"], "left").join(since, ["name", "session"], "left").join(samples.select("name", "sample_no", F.col("kept_by_user").alias("_kept")), ["name", "sample_no"])
+    recurs = (F.col("reason") == "isolated") & (F.coalesce("_sessions", F.lit(0)) >= RECURRING)
+    verdict = F.when(F.coalesce("_kept", F.lit(False)), "kept").when(recurs, "recurring").when(F.coalesce("_since", F.lit(SETTLING)) < SETTLING, "settling").otherwise("remove")
+    rated = judged.withColumn("verdict", verdict).withColumn("severity", F.col("_limit") - F.coalesce("own_score", F.lit(0.0)))
+    return limit_removals(rated.select("name", "sample_no", "reason", F.when(F.col("reason") == "sounds_like", F.col("rival")).alias("rival"), "severity", "verdict", "n_samples"))
+
+
 def limit_removals(findings: DataFrame, share: float = 0.1, least_left: int = 20) -> DataFrame:
     """K4: of the findings to remove, the most severe within a tenth of the samples, leaving 20; others are deferred."""
     rank = F.row_number().over(Window.partitionBy("name", F.col("verdict") == "remove").orderBy(F.col("severity").desc(), "sample_no"))

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from timeweave.functions import scalars as X
+from timeweave.operators import rules as R
 from timeweave.operators import vectors as V
 from timeweave.plans.catalogue import query
 from timeweave.sources import tables as T
@@ -109,16 +110,25 @@ def sample_review(spark, sf_dir):
     return _review(spark, sf_dir).select("name", "sample_no", F.round("center_similarity", 6).alias("center_similarity"), F.round("own_score", 6).alias("own_score"), "rival", F.round("rival_score", 6).alias("rival_score"), "isolated", "flag")
 
 
+def _kept(spark, sf_dir):
+    return T.samples(spark, sf_dir).withColumn("kept_by_user", F.col("sample_no") % 17 == 0)
+
+
+def _findings(spark, sf_dir):
+    history = T.samples(spark, sf_dir).select("name", "session").distinct().withColumn("pos", F.col("session"))
+    return V.findings(_review(spark, sf_dir), _kept(spark, sf_dir), history, 0.2)
+
+
 @query("tidy_plan")
 def tidy_plan(spark, sf_dir):
     """Verdicts over the review, within the pass's limit."""
-    rows = _review(spark, sf_dir).where("flag <> 'none'")
-    n = T.samples(spark, sf_dir).groupBy("name").agg(F.count(F.lit(1)).alias("n_samples"))
-    clear = F.coalesce(F.col("rival_score") - F.col("own_score") >= 0.05, F.lit(False)) & (F.col("flag") == "stray")
-    judged = rows.join(n, "name").withColumn("reason", F.when(clear, "sounds_like").when(F.col("isolated"), "isolated")).where("reason IS NOT NULL")
-    limit = F.when(F.col("reason") == "sounds_like", F.col("rival_score")).otherwise(F.col("isolation_floor"))
-    judged = judged.withColumn("severity", limit - F.coalesce("own_score", F.lit(0.0))).withColumn("verdict", F.when(F.col("session") >= 6, "settling").otherwise("remove"))
-    return V.limit_removals(judged).select("name", "sample_no", "reason", F.round("severity", 6).alias("severity"), "verdict")
+    return _findings(spark, sf_dir).select("name", "sample_no", "reason", "rival", F.round("severity", 6).alias("severity"), "verdict")
+
+
+@query("tidy_summary")
+def tidy_summary(spark, sf_dir):
+    """Findings of each person by verdict."""
+    return R.tidy_summary(_findings(spark, sf_dir))
 
 
 @query("agglomerate")
