@@ -125,3 +125,19 @@ def test_verdicts_of_a_tidying_pass(spark):
     got = {(x.name, x.sample_no): (x.reason, x.rival, x.verdict) for x in V.findings(V.review(samples, 0.6), samples, history, 0.6).collect()}
     assert got["Ann", 100] == ("sounds_like", "Bob", "remove") and got["Ann", 101][2] == "kept" and got["Ann", 102][2] == "settling"
     assert not any(name == "Cid" for name, _ in got) and all(v[2] != "remove" for k, v in got.items() if k[1] < 100 and v[0] == "sounds_like")
+
+
+def test_neighbourhoods_in_blocks_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(V, "SAMPLE_BLOCK", 9)
+    r = np.random.default_rng(8)
+    v = unit(*r.normal(size=(60, 4)))
+    rows = [("Ann" if k < 40 else "Bob", k, (k % 4 if k < 40 else int(k > 50)), x.tolist()) for k, x in enumerate(v)] + [("Ann", 99, None, v[3].tolist())]
+    samples = spark.createDataFrame(rows, "name string, sample_no long, session int, v array<double>")
+    got = {}
+    for x in V.neighbourhoods(samples, 3, 10).collect():
+        got.setdefault(x.sample_no, []).append((x.rank, x.other))
+    for name, k, session, x in rows:
+        others = [o for o in rows if o[0] == name and o[1] != k]
+        foreign = [o for o in others if session is not None and o[2] is not None and o[2] != session]
+        near = sorted(foreign if len(foreign) >= 10 else others, key=lambda o: (-round(float(np.dot(x, o[3])), 12), o[1]))[:3]
+        assert [o for _, o in sorted(got[k])] == [o[1] for o in near], k

@@ -123,14 +123,42 @@ def mad_floor(rows: DataFrame, keys: Sequence[str], value: str, gap: float, leas
     return middle.join(spread, list(keys)).select(*keys, "n", F.when(F.col("n") >= least, F.col("_m") - F.greatest(4 * 1.4826 * F.col("_mad"), F.lit(gap))).alias("floor"))
 
 
+#: Samples of a person that meet as many others in one task.
+SAMPLE_BLOCK = 1500
+
+
 def neighbourhoods(samples: DataFrame, k: int = 5, least_foreign: int = 10) -> DataFrame:
-    """The ``k`` closest other samples of the same person, of other sessions where there are enough."""
-    b = samples.select("name", F.col("sample_no").alias("other"), F.col("session").alias("other_session"), F.col("v").alias("vb"))
-    pairs = samples.join(b, "name").where("sample_no <> other").withColumn("d", X.dot(F.col("v"), F.col("vb"))).drop("v", "vb")
-    foreign = F.col("session") != F.col("other_session")
-    counted = pairs.withColumn("_f", F.sum(foreign.cast("int")).over(Window.partitionBy("name", "sample_no"))).where((F.col("_f") < least_foreign) | foreign)
+    """The ``k`` closest other samples of the same person, of other sessions where there are enough.
+
+    A person's samples are dealt to blocks that meet each other as matrices; a
+    meeting gives each sample's ``k`` best of the block. A sample of an unknown
+    session has no foreign ones and takes all.
+    """
+    sizes = samples.groupBy("name").agg(F.count(F.lit(1)).alias("_n"), F.count("session").alias("_known"))
+    own = samples.where("session IS NOT NULL").groupBy("name", "session").agg(F.count(F.lit(1)).alias("_m"))
+    rated = samples.select("name", "sample_no", "session", "v").join(sizes, "name").join(own, ["name", "session"], "left")
+    rated = rated.withColumn("_all", F.coalesce(F.col("_known") - F.col("_m"), F.lit(0)) < least_foreign).withColumn("_blocks", F.ceil(F.col("_n") / SAMPLE_BLOCK).cast("int"))
+    dealt = rated.withColumn("_own", F.pmod(F.xxhash64("sample_no"), F.col("_blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    left = dealt.select("name", F.col("_own").alias("i"), F.col("_other").alias("j"), "sample_no", "session", "v", "_all")
+    right = dealt.select("name", "_other", "_own", "sample_no", "session", "v").toDF("name_b", "i_b", "j_b", "other", "other_session", "vb")
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"name": [], "sample_no": [], "other": [], "other_session": [], "d": []})
+        b = b.sort_values("other")
+        mine, theirs = a["session"].to_numpy(dtype=float, na_value=np.nan), b["other_session"].to_numpy(dtype=float, na_value=np.nan)
+        foreign = (mine[:, None] != theirs[None]) & ~np.isnan(mine)[:, None] & ~np.isnan(theirs)[None]
+        may = (a["sample_no"].to_numpy()[:, None] != b["other"].to_numpy()[None]) & (foreign | a["_all"].to_numpy(dtype=bool)[:, None])
+        d = np.array(a["v"].tolist()) @ np.array(b["vb"].tolist()).T
+        order = np.argsort(np.where(may, -d, np.inf), axis=1, kind="stable")[:, :k]
+        row, at = np.repeat(np.arange(len(a)), order.shape[1]), order.ravel()
+        row, at = row[may[row, at]], at[may[row, at]]
+        return pd.DataFrame({"name": a["name"].to_numpy()[row], "sample_no": a["sample_no"].to_numpy()[row], "other": b["other"].to_numpy()[at], "other_session": b["other_session"].to_numpy()[at], "d": d[row, at]})
+
+    session = samples.schema["session"].dataType.simpleString()
+    found = left.groupBy("name", "i", "j").cogroup(right.groupBy("name_b", "i_b", "j_b")).applyInPandas(meet, f"name string, sample_no long, other long, other_session {session}, d double")
     rank = F.row_number().over(Window.partitionBy("name", "sample_no").orderBy(F.col("d").desc(), "other"))
-    return counted.withColumn("rank", rank).where(F.col("rank") <= k).select("name", "sample_no", "other", "other_session", "d", "rank")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("name", "sample_no", "other", "other_session", "d", "rank")
 
 
 def review(samples: DataFrame, threshold: float, gap: float = 0.1, rivals: int = 5) -> DataFrame:
