@@ -205,7 +205,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     Ids are those of the ranked merges in each match of ``pattern``, as
     little-endian unsigned 32-bit integers; decoding gives the text's bytes where
     the pattern matches all of it. Null is empty. Repeated rows are encoded each;
-    an empty table gives no rows; further columns aren't read.
+    rows without an id are left out; an empty table gives no rows; further columns aren't read.
     """
     rows = identified(docs, id_col).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     columns = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids

@@ -47,6 +47,8 @@ SHINGLE_BYTES = 2_000_000
 ORDER_SAMPLE, ORDER_LEAST, ORDER_MOST = 32, 3, 200_000
 #: Members that meet a centre in one task, and entries of a list in one block.
 STAR_BLOCK, LIST_BLOCK = 400, 1500
+#: Pairs of stars that a task holds to add them up.
+HELD_PAIRS = 1_000_000
 #: Shingles of the sets of one block, one set at least.
 BLOCK_SHINGLES = 1_000_000
 _U = np.uint64
@@ -134,6 +136,9 @@ def features(docs: DataFrame) -> DataFrame:
     return docs.mapInPandas(run, "doc_id long, n long, ka long, kb long, mh long")
 
 
+_COMPARED = "a long, b long, common long, na long, nb long"
+
+
 def compare(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b, common, na, nb) of each pair of document ids.
 
@@ -144,6 +149,8 @@ def compare(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     salts = F.ceil(F.col("m") / STAR_BLOCK).cast("int")
     pairs = materialize(pairs.select("a", "b").distinct(), "asked")
+    if pairs.isEmpty():
+        return docs.sparkSession.createDataFrame([], _COMPARED)
     counted = pairs.join(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m")), "a")
     dealt = materialize(counted.select("a", "b", F.pmod(F.xxhash64("b"), salts).cast("int").alias("part")), "pairs")
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
@@ -167,7 +174,7 @@ def compare(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["a", "b", "common", "na", "nb"])
 
     meeting = anchors.unionByName(members).repartition(partitions(docs.sparkSession), "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    return materialize(meeting.mapInPandas(run, "a long, b long, common long, na long, nb long").distinct(), "compared")
+    return materialize(meeting.mapInPandas(run, _COMPARED).distinct(), "compared")
 
 
 _LINKED = "9 * common >= 4 * (na + nb)"
@@ -361,16 +368,29 @@ def candidate_stars(entries: DataFrame) -> DataFrame:
             starts = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, dtype=np.int64)
             return pd.DataFrame({"a": a[starts], "b": b[starts], "shared": np.diff(np.r_[starts, len(a)]), "least": np.minimum.reduceat(least, starts) if len(a) else least})
 
-        held = np.zeros((0, 7), dtype=np.int64)
+        def merged(frames: list[pd.DataFrame]) -> pd.DataFrame:
+            return pd.concat(frames).groupby(["a", "b"], as_index=False).agg(shared=("shared", "sum"), least=("least", "min"))
+
+        # A pair is in many lists: a task adds its pairs up before they leave it, HELD_PAIRS at a time.
+        held, found, size, bound = np.zeros((0, 7), dtype=np.int64), [], 0, HELD_PAIRS
         for batch in batches:
             held = np.concatenate([held, batch[key + columns].to_numpy(np.int64)])
             # The last block may go on in the next batch; blocks have a bounded number of entries.
             last = int(np.argmax((held[:, :3] == held[-1, :3]).all(axis=1))) if len(held) else 0
             if last:
-                yield counted(held[:last])
-                held = held[last:]
+                found.append(counted(held[:last]))
+                held, size = held[last:], size + len(found[-1])
+            if size > bound:
+                found = [merged(found)]
+                size = len(found[0])
+                bound = size + HELD_PAIRS
+                if size > 2 * HELD_PAIRS:
+                    yield found[0]
+                    found, size, bound = [], 0, HELD_PAIRS
         if len(held):
-            yield counted(held)
+            found.append(counted(held))
+        if found:
+            yield merged(found)
 
     n = partitions(entries.sparkSession)
     pairs = rows.repartition(n, *key).sortWithinPartitions(*key, "n", "at").mapInPandas(run, "a long, b long, shared long, least long")
@@ -539,9 +559,11 @@ def class_components(texts: DataFrame, classes: DataFrame) -> DataFrame:
     known = lambda name: components.select(F.col("node").alias(name), F.col("component").alias(f"c{name}"))
     open_pairs = met.where(f"NOT ({_LINKED})").select("a", "b", F.expr(_DISTANCE).alias("d"))
     open_pairs = open_pairs.join(known("a"), "a", "left").join(known("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b", "d")
-    more = materialize(member_links(texts, stars, open_pairs), "more")
-    if not more.isEmpty():
-        components = connected_components(as_links(components).union(more))
+    open_pairs = materialize(open_pairs, "open")
+    if not open_pairs.isEmpty():
+        more = materialize(member_links(texts, stars, open_pairs), "more")
+        if not more.isEmpty():
+            components = connected_components(as_links(components).union(more))
     return attach(stars.select(F.col("doc_id").alias("rep"), "n", "center"), components.withColumnRenamed("node", "center"), ["center"], "rep", "left").select("rep", "n", F.coalesce("component", "center").alias("component"))
 
 
