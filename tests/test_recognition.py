@@ -161,3 +161,33 @@ def test_best_places_take_the_earlier_of_equals():
     scores = np.array([[1.0, 3.0, 3.0, 3.0, np.nan], [np.nan, 2.0, -np.inf, 5.0, 2.0]])
     row, at = V.best_places(scores, 2)
     assert list(zip(row.tolist(), at.tolist())) == [(0, 1), (0, 2), (1, 3), (1, 1)]
+
+
+@pytest.mark.parametrize("block", [5, 10_000])
+def test_admission_against_all_pairs(spark, monkeypatch, block):
+    """Candidates may be among the samples; those of a session of their own don't count, nor those of none."""
+    from timeweave.operators.voices import admitted
+
+    monkeypatch.setattr(V, "TOPK_BLOCK", block)
+    r = np.random.default_rng(3)
+    v = unit(*r.normal(size=(70, 3)))
+    rows = [(("Ann", "Bob", "Cid")[k % 3 if k < 60 else 2 * (k % 2)], k, (k % 4 if k % 11 else None), x.tolist()) for k, x in enumerate(v)]
+    samples = spark.createDataFrame(rows, "name string, sample_no long, session int, v array<double>")
+    got = {x.query_id: x for x in admitted(samples.select(samples.sample_no.alias("query_id"), "name", "session", samples.v.alias("q")), samples.where("sample_no >= 5"), 0.9, 14).collect()}
+    best = lambda q, rs: float(np.mean(sorted((np.dot(q, x[3]) for x in rs), reverse=True)[:3]))
+    for name, k, session, q in rows:
+        mine = [x for x in rows[5:] if x[0] == name and session is not None and x[2] is not None and x[2] != session]
+        others = [best(q, o) for n in ("Ann", "Bob", "Cid") if n != name and len(o := [x for x in rows[5:] if x[0] == n]) >= 14]
+        own, rival = best(q, mine) if len(mine) >= 14 else None, max(others)
+        assert (got[k].own_score is None) == (own is None) and (own is None or abs(got[k].own_score - own) < 1e-9) and abs(got[k].rival_score - rival) < 1e-9
+        assert got[k].admitted == (own is None or rival < 0.9 or rival < own + 0.05)
+    assert len(got) == 70 and len({x.own_score is None for x in got.values()}) == 2 and len({x.admitted for x in got.values()}) == 2
+
+
+def test_learned_lines_hear_the_samples_of_their_name(spark):
+    lines = spark.createDataFrame([(1, "mic", k, 10_000 * k, 10_000 * k + 3000, k != 3, None, "Ann" if k < 4 else "Bob") for k in range(5)], "session_id long, source string, line_id long, start_ms long, end_ms long, locked boolean, group_id long, speaker string")
+    a, b = [1.0, 0.0], [0.0, 1.0]
+    chunks = spark.createDataFrame([(1, "mic", k, 10_000 * k, 10_000 * k + 2000, v) for k, v in enumerate([a, b, a, a, a])], "session_id long, source string, seg_id long, start_ms long, end_ms long, v array<double>")
+    cuts = spark.createDataFrame([(1, "mic", 20_500, 20_600)], "session_id long, source string, start_ms long, end_ms long")
+    samples = spark.createDataFrame([("Ann", 1, [0.9999, 0.001]), ("Bob", 2, b)], "name string, sample_no long, v array<double>")
+    assert [x.line_id for x in N.learned_lines(lines, chunks, cuts, samples).collect()] == [0]

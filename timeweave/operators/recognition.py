@@ -150,8 +150,8 @@ def learned_lines(lines: DataFrame, chunks: DataFrame, groups: DataFrame, sample
     own = lines.where("locked AND group_id IS NULL")
     taught = learnable(chunks, own.select(*TRACK, "line_id", "start_ms", "end_ms"), groups.select(*TRACK, "start_ms", "end_ms"), LEAST_LEARN_MS)
     voices = taught.select(*TRACK, "seg_id", "line_id").join(chunks.select(*TRACK, "seg_id", "v"), [*TRACK, "seg_id"]).join(own.select(*TRACK, "line_id", F.col("speaker").alias("name")), [*TRACK, "line_id"])
-    same = voices.join(samples.select("name", F.col("v").alias("_stored")), "name").where(X.dot(F.col("v"), F.col("_stored")) >= SAME_VECTOR)
-    return same.select(*TRACK, "line_id").distinct()
+    closest = V.topk_scores(voices.select(F.struct(*TRACK, "line_id", "seg_id").alias("query_id"), "name", F.col("v").alias("q")), samples, 1)
+    return closest.where(F.col("score") >= SAME_VECTOR).select("query_id.session_id", "query_id.source", "query_id.line_id").distinct()
 
 
 def placed_lines(lines: DataFrame, groups: DataFrame) -> DataFrame:
