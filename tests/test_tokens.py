@@ -17,3 +17,16 @@ def test_tokens_against_brute_force(spark):
     want = {(a, b) for a in words for b in words if a < b and (n := min(len(a), len(b))) > 4 and distance(a, b) <= (1 if n <= 7 else 2)}
     got = near_tokens(spark.createDataFrame([(w,) for w in words], "w string")).collect()
     assert len(got) == len(want) and {tuple(x) for x in got} == want and ("kitten", "mitten") in want
+
+
+def test_tokens_about_the_length_from_which_they_meet_at_pieces(spark):
+    from timeweave.operators.alignment import MOST_LEFT_OUT, near_tokens
+
+    r = random.Random(5)
+    words = set()
+    for n in range(6, MOST_LEFT_OUT + 6):
+        w = "".join(r.choice("abé") for _ in range(n))
+        words |= {w, w[1:], w[:-2], w[: n // 2] + "x" + w[n // 2 :], "y" + w[1:-1] + "z", w[2:] + "q"}
+    want = {(a, b) for a in words for b in words if a < b and (n := min(len(a), len(b))) > 4 and distance(a, b) <= (1 if n <= 7 else 2)}
+    got = near_tokens(spark.createDataFrame([(w,) for w in words], "w string")).collect()
+    assert len(got) == len(want) and {tuple(x) for x in got} == want and len(want) > 100
