@@ -52,3 +52,12 @@ def test_passes_see_what_is_marked(spark):
     assert (1, 401) not in marks(E.echo_words(rows, none, none, by_word, levels, led))
     quiet = levels.where("source = 'system'").unionByName(levels.where("source = 'mic'").withColumn("rms", levels.frame % 7 / 10.0))
     assert not any(v == "text_audio" for v in marks(E.echo_words(rows, none, none, None, quiet)).values())
+
+
+def test_passes_are_stored(spark):
+    """What the passes mark is not computed again by those that read it."""
+    words = spark.createDataFrame(phrase(1, "system", 100, 1000, "we could meet on Monday") + phrase(1, "mic", 200, 1200, "we could meet on monday"), WORD)
+    none = spark.createDataFrame([], SPAN)
+    evidence = spark.createDataFrame([(1, 300, 0.1, 0.9)], "session_id long, word_id long, excess double, correlation double")
+    found = E.echo_words(words, none, none, evidence)
+    assert marks(found) == {(1, 200 + k): "text" for k in range(5)} and "Join" not in found._jdf.queryExecution().toString()

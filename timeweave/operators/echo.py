@@ -13,6 +13,7 @@ from timeweave.functions import scalars as X
 from timeweave.operators.alignment import align, timing
 from timeweave.operators.intervals import range_join
 from timeweave.operators.signals import lag_correlations
+from timeweave.session import stored
 
 #: Phrases (ms), candidates around them, what makes words, texts and leads an echo.
 PHRASE_GAP_MS, PHRASE_MS, EARLY_MS, LATE_MS = 900, 12_000, 1_500, 500
@@ -137,6 +138,7 @@ def echo_words(words: DataFrame, room: DataFrame, echo_voices: DataFrame, eviden
     """(session_id, word_id, pass) of the microphone words that are an echo of the system's.
 
     Without levels (``evidence``, ``frames``, ``leads``) only texts are compared.
+    What a pass marks is stored, as the plans of the later passes hold it several times.
     Phrases of the later passes are built of the words that are left. ``room``
     and ``echo_voices`` (session_id, start_ms, end_ms) are spans in which someone
     in the room talks, and turns that sound like a remote voice.
@@ -145,7 +147,7 @@ def echo_words(words: DataFrame, room: DataFrame, echo_voices: DataFrame, eviden
     marked = mic.select("session_id", "word_id").limit(0).withColumn("pass", F.lit(""))
 
     def add(found: DataFrame, name: str) -> DataFrame:
-        return marked.unionByName(found.distinct().withColumn("pass", F.lit(name)))
+        return marked.unionByName(stored(found.distinct().withColumn("pass", F.lit(name)), "echo"))
 
     left = lambda: mic.join(marked.select("session_id", "word_id"), ["session_id", "word_id"], "left_anti")
     if evidence is not None:
