@@ -3,6 +3,8 @@ import math
 import random
 import zlib
 
+from pyspark.sql import functions as F
+
 from tests.llm.helpers import collected, docs
 from timeweave.llm import toxicity
 from timeweave.llm.common import id_crc
@@ -159,3 +161,22 @@ def test_equal_texts_with_different_labels_are_one_toxic_row(spark):
     sample = toxicity.training_sample(docs(spark, rows), labels(spark, [(i, int(i == 0 or i == 4)) for i in range(40)]), "doc_id", "text", "toxic")
     marked = [i for i in (0, 4) if zlib.crc32(str(i).encode()) % 3 != 1]
     assert marked and {(r.text, r.toxic) for r in sample.collect()} == {("same text", 1), ("other text", 0)}
+
+
+def test_all_labelled_documents_are_learned_from(spark):
+    """More of either class than a sample of 2,500 and 5,000 would hold."""
+    rows = [(i, f"plain words number {'abcdefgh'[i % 8]} vilest" if i % 4 == 0 else "plain words of others") for i in range(13_000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    several = frame.withColumn("text", F.concat("text", F.lit(" "), F.translate(F.col("doc_id").cast("string"), "0123456789", "qwertyuiop")))
+    marks = labels(spark, [(i, int(i % 4 == 0)) for i in range(13_000)])
+    sample = toxicity.training_sample(several, marks, "doc_id", "text", "toxic")
+    want = [i for i in range(13_000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert sample.count() == len(want) > 7500
+    assert toxicity.learn(several, marks).words["plain"] == len(want)
+
+
+def test_the_curve_has_the_least_penalised_loss(spark):
+    points = [(0.0, 0.0, 50), (0.0, 1.0, 3), (1.0, 0.0, 5), (1.5, 1.0, 9), (2.0, 1.0, 20), (3.0, 1.0, 4)]
+    a, b = toxicity.fit_curve(spark.createDataFrame(points, "x double, y double, n long"))
+    loss = lambda a, b: sum(n * (math.log1p(math.exp(a * x + b)) - y * (a * x + b)) for x, y, n in points) + 0.05 * a * a + 0.0005 * b * b
+    assert all(loss(a, b) < loss(a + da, b + db) for da, db in ((0.01, 0), (-0.01, 0), (0, 0.01), (0, -0.01)))

@@ -6,9 +6,9 @@ a trigram character model restores the likeliest word; the score is that of the
 restored text.
 
 A run of single characters, and a token with separators, is decoded into words:
-the lattice has word ends as well, and words of the sample as edges.
+the lattice has word ends as well, and words of the lexicon as edges.
 
-All that is learned comes from a bounded sample of labelled documents: the
+All that is learned comes from all labelled documents that may be learned from: the
 character model, the lexicon, the weights of words and of word beginnings, and a logistic
 curve from a document's toxic weight to its score.
 """
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,9 +28,9 @@ from pyspark.sql import functions as F
 
 from timeweave.llm.common import id_crc, identified, materialize
 
-#: The bounded sample: toxic and clean documents, the first by hash.
-SAMPLE_TOXIC, SAMPLE_CLEAN = 2500, 5000
+#: What a feature needs: a share of the toxic documents, documents, and odds; and the share of all documents that a word of the lexicon is in.
 LEAST_SHARE, LEAST_DOCS, LEAST_ODDS, MOST_ODDS = 0.01, 4, 3.0, 8.0
+LEXICON_SHARE = 4 / 7500
 STEMS = (4, 5, 6)
 CACHE_WORDS = 300_000
 #: What a character may stand for, and what may stand between letters.
@@ -54,7 +55,7 @@ class Model:
 
 
 class Lexicon:
-    """ln of the probabilities of the sample's words, and all their beginnings."""
+    """ln of the probabilities of the lexicon's words, and all their beginnings."""
 
     def __init__(self, words: dict[str, int]):
         total = sum(words.values())
@@ -265,67 +266,75 @@ class Scorer:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """(text, toxic) of the first labelled documents of each class by hash; equal texts are one, toxic if any of them is."""
+    """(text, toxic) of all labelled documents that may be learned from; equal texts are one, toxic if any of them is."""
     own = labels.where((id_crc(F.col(id_col)) % 3 != 1) & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg((F.max(label_col) > 0).cast("int").alias("toxic"))
-    first = lambda toxic, n: own.where(F.col("toxic") == toxic).orderBy(F.xxhash64("id"), "id").limit(n)
-    wanted = first(1, SAMPLE_TOXIC).unionByName(first(0, SAMPLE_CLEAN))
-    texts = identified(docs, id_col).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    return materialize(texts.join(F.broadcast(wanted), "id").groupBy("text").agg(F.max("toxic").alias("toxic")), "sample")
+    texts = identified(docs, id_col).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull() & (id_crc(F.col("id")) % 3 != 1))
+    return materialize(texts.join(own, "id").groupBy("text").agg(F.max("toxic").alias("toxic")), "sample")
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """(slope, intercept) of a logistic curve with a small penalty, by Newton steps."""
-    w, design = np.zeros(2), np.stack([x, np.ones_like(x)], axis=1)
+def fit_curve(rows: DataFrame) -> tuple[float, float]:
+    """(slope, intercept) of a logistic curve through rows (x, y, n) with a small penalty, by Newton steps; Spark adds the rows up."""
+    w, penalty = np.zeros(2), np.diag([0.1, 0.001])
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        penalty = np.diag([0.1, 0.001])
-        gradient = design.T @ (p - y) + penalty @ w
-        w = w - np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + penalty, gradient)
+        z = F.least(F.greatest(F.col("x") * float(w[0]) + float(w[1]), F.lit(-30.0)), F.lit(30.0))
+        p = 1 / (1 + F.exp(-z))
+        missed, spread = F.col("n") * (p - F.col("y")), F.col("n") * p * (1 - p)
+        sums = {"gx": missed * F.col("x"), "g1": missed, "xx": spread * F.col("x") * F.col("x"), "x1": spread * F.col("x"), "one": spread}
+        r = rows.agg(*[F.sum(c).alias(name) for name, c in sums.items()]).first()
+        step = np.linalg.solve(np.array([[r["xx"], r["x1"]], [r["x1"], r["one"]]]) + penalty, np.array([r["gx"], r["g1"]]) + penalty @ w)
+        w = w - step
+        if np.abs(step).max() < 1e-9:
+            break
     return float(w[0]), float(w[1])
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """A model of the bounded sample; an empty one if it lacks either class."""
+    """A model of the labelled documents; an empty one if they lack either class."""
     sample = training_sample(docs, labels, id_col, text_col, label_col)
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n.get(0) or not n.get(1):
         return Model()
 
-    def count_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Documents with each feature, and occurrences of trigrams (of kind 1, counted as clean)."""
         for batch in batches:
-            counts: dict[str, list[int]] = {}
+            counts: tuple[Counter, Counter] = (Counter(), Counter())
+            words: Counter = Counter()
+            features: dict[str, list[str]] = {}
             for text, toxic in zip(batch["text"], batch["toxic"]):
-                for f in {f for w in set(_LETTERS.findall(text.lower())) for f in word_features(w)}:
-                    counts.setdefault(f, [0, 0])[toxic] += 1
-            yield pd.DataFrame([(f, *c) for f, c in counts.items()], columns=["feature", "clean", "toxic"])
-
-    def count_trigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            counts: dict[str, int] = {}
-            for text in batch["text"]:
-                for w in _LETTERS.findall(text.lower()):
-                    padded = f"^^{w}$"
-                    for k in range(len(padded) - 2):
-                        counts[padded[k : k + 3]] = counts.get(padded[k : k + 3], 0) + 1
-            yield pd.DataFrame(list(counts.items()), columns=["trigram", "n"])
+                found = _LETTERS.findall(text.lower())
+                words.update(found)
+                own: set[str] = set()
+                for w in set(found):
+                    if (of := features.get(w)) is None:
+                        of = features[w] = word_features(w)
+                    own.update(of)
+                counts[toxic].update(own)
+            trigrams: Counter = Counter()
+            for w, times in words.items():
+                padded = f"^^{w}$"
+                for k in range(len(padded) - 2):
+                    trigrams[padded[k : k + 3]] += times
+            rows = [(0, f, counts[0][f], counts[1][f]) for f in counts[0].keys() | counts[1].keys()] + [(1, t, m, 0) for t, m in trigrams.items()]
+            yield pd.DataFrame(rows, columns=["kind", "feature", "clean", "toxic"])
 
     odds = F.log((F.col("toxic") + 0.5) / (n[1] + 1)) - F.log((F.col("clean") + 0.5) / (n[0] + 1))
-    features = sample.mapInPandas(count_features, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    features = materialize(features, "features")
-    words = features.where("feature NOT LIKE '^%'").select("feature", (F.col("clean") + F.col("toxic")).alias("n")).where(F.col("n") >= LEAST_DOCS)
+    counted = sample.mapInPandas(count, "kind int, feature string, clean long, toxic long").groupBy("kind", "feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counted = materialize(counted, "features")
+    features = counted.where("kind = 0")
+    words = features.where("feature NOT LIKE '^%'").select("feature", (F.col("clean") + F.col("toxic")).alias("n")).where(F.col("n") >= max(LEAST_DOCS, LEXICON_SHARE * (n[0] + n[1])))
     features = features.where(F.col("toxic") >= max(LEAST_DOCS, LEAST_SHARE * n[1])).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
     weights = {r["feature"]: min(MOST_ODDS, r["odds"]) for r in features.collect()}
-    trigrams = sample.mapInPandas(count_trigrams, "trigram string, n long").groupBy("trigram").agg(F.sum("n").alias("n"))
-    model = Model(weights, {r["trigram"]: r["n"] for r in trigrams.collect()}, {r["feature"]: r["n"] for r in words.collect()})
+    trigrams = counted.where("kind = 1").select("feature", F.col("clean").alias("n"))
+    model = Model(weights, {r["feature"]: r["n"] for r in trigrams.collect()}, {r["feature"]: r["n"] for r in words.collect()})
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(model)
         for batch in batches:
             yield pd.DataFrame({"x": [math.log1p(scorer(t)) for t in batch["text"]], "y": batch["toxic"].astype(float)})
 
-    rows = sample.select("text", "toxic").mapInPandas(weigh, "x double, y double").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).collect()
-    x, y = (np.repeat([r[c] for r in rows], [r["n"] for r in rows]) for c in "xy")
-    model.slope, model.intercept = fit_curve(x, y)
+    rows = sample.select("text", "toxic").mapInPandas(weigh, "x double, y double").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+    model.slope, model.intercept = fit_curve(materialize(rows, "curve"))
     return model
 
 
