@@ -266,10 +266,17 @@ class Scorer:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """(text, toxic) of all labelled documents that may be learned from; equal texts are one, toxic if any of them is."""
+    """(text, toxic) of all labelled documents that may be learned from; equal texts are one, toxic if any of them is.
+
+    Texts are told apart by 128 bits of hashes, so only those that are learned from
+    meet their labels, once; these are never broadcast, as their number has no bound.
+    """
     own = labels.where((id_crc(F.col(id_col)) % 3 != 1) & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg((F.max(label_col) > 0).cast("int").alias("toxic"))
     texts = identified(docs, id_col).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull() & (id_crc(F.col("id")) % 3 != 1))
-    return materialize(texts.join(own, "id").groupBy("text").agg(F.max("toxic").alias("toxic")), "sample")
+    texts = texts.withColumn("_h", F.xxhash64("text")).withColumn("_g", F.xxhash64(F.lit(1), "text"))
+    one = texts.select("id", "_h", "_g").hint("merge").join(own, "id").groupBy("_h", "_g").agg(F.min("id").alias("id"), F.max("toxic").alias("toxic"))
+    found = texts.hint("merge").join(one, ["id", "_h", "_g"]).groupBy("id", "_h", "_g").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic"))
+    return materialize(found.select("text", "toxic"), "sample")
 
 
 def fit_curve(rows: DataFrame) -> tuple[float, float]:
