@@ -198,3 +198,12 @@ def test_reference_points_against_all_pairs(spark):
                 want[k, side] = (middle(2), middle(3), len(near))
     got = reference_points(spark.createDataFrame(words, "session_id long, word_id long, start_ms long, end_ms long"), spark.createDataFrame(points, "session_id long, at_ms long, delay long, gain double"), 100).collect()
     assert len(got) == len(want) and {(x.word_id, x.side): (x.delay, x.gain, x.n) for x in got} == want
+
+
+@pytest.mark.parametrize("delays", [(7, 3), (3, 7)])
+def test_the_smallest_delay_of_a_place_counts_on_both_sides(spark, delays):
+    from timeweave.operators.signals import nearest_point
+
+    frames = spark.createDataFrame([(1, f) for f in (5, 10, 15, 40)], "session_id long, frame long")
+    points = spark.createDataFrame([(1, 10, d) for d in delays], "session_id long, at long, delay int").coalesce(1)
+    assert {r.frame: r.delay for r in nearest_point(frames, points, 20, 9).collect()} == {5: 3, 10: 3, 15: 3, 40: 9}

@@ -103,7 +103,11 @@ def word_leads(words: DataFrame, leads: DataFrame, frame_ms: int = 10) -> DataFr
 
 
 def nearest_point(frames: DataFrame, points: DataFrame, horizon: int, fallback: int) -> DataFrame:
-    """The value of the nearest point within the horizon, the earlier of equals, else the fallback."""
+    """The value of the nearest point within the horizon, the earlier of equals, else the fallback.
+
+    Of points at one place the smallest delay counts, for the frames before it and after it.
+    """
+    points = points.groupBy("session_id", "at").agg(F.min("delay").alias("delay"))
     both = frames.select("session_id", "frame", F.lit(None).cast("struct<at:bigint,delay:int>").alias("p")).unionByName(points.select("session_id", F.col("at").alias("frame"), F.struct(F.col("at").cast("long").alias("at"), F.col("delay").cast("int").alias("delay")).alias("p")))
     w = Window.partitionBy("session_id").orderBy("frame")
     near = both.withColumn("_a", F.last("p", True).over(w.rangeBetween(Window.unboundedPreceding, -1))).withColumn("_b", F.first("p", True).over(w.rangeBetween(0, Window.unboundedFollowing))).where("p IS NULL")
