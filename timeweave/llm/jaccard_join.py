@@ -13,6 +13,11 @@ A document's set has the 64-bit hashes of its 5-word shingles.
    Sets that link share not one but many lists; pairs of stars that share fewer
    are skipped too. Neighbours in the lists are compared first: they connect most
    of a large group, and only pairs of stars of different components go on.
+   The stars of lists of more than LONG_LIST entries meet as sets, in blocks by
+   size: a task compares all their centres and gives the links that connect
+   components, so a pair there is no row, and the pairs of the other lists are
+   at most LONG_LIST / 2 times their entries. Overlapping long lists meet
+   together where that takes fewer comparisons.
 4. Their centres are compared. A member's answer is derived from its centre's:
    the Jaccard distance is a metric, so members a, b of centres A, B can link
    only if d(A, B) <= 0.2 + d(a, A) + d(b, B). Only those members meet, in
@@ -47,6 +52,8 @@ SHINGLE_BYTES = 2_000_000
 ORDER_SAMPLE, ORDER_LEAST, ORDER_MOST = 32, 3, 200_000
 #: Members that meet a centre in one task, and entries of a list in one block.
 STAR_BLOCK, LIST_BLOCK = 400, 1500
+#: Entries of a list above which its stars meet as sets.
+LONG_LIST = 64
 #: Pairs of stars that a task holds to add them up.
 HELD_PAIRS = 1_000_000
 #: Shingles of the sets of one block, one set at least.
@@ -338,6 +345,12 @@ def _in_blocks(entries: DataFrame, label: str) -> DataFrame:
     return rows.withColumn("own", F.pmod(F.xxhash64("center", "n"), F.col("nb")).cast("int"))
 
 
+def measured_lists(entries: DataFrame) -> DataFrame:
+    """Entries of lists with more than one component, with the entries of their list as ``m``."""
+    mixed = entries.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    return attach(entries, mixed.select("h", "m"), ["h"], "center")
+
+
 def neighbours(entries: DataFrame) -> DataFrame:
     """(a, b): stars that are next to each other, or to the first, in several lists.
 
@@ -440,14 +453,14 @@ def with_texts(rows: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.join(moved, "rep")
 
 
-def in_meetings(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, list[dict[int, int]], list[list[np.ndarray]]]]:
-    """(key, documents by rep of both sides, sets of both sides) of each meeting of two blocks.
+def in_meetings(batches: Iterator[pd.DataFrame], keys: list[str], carried: str = "size") -> Iterator[tuple[tuple, list[dict], list[list[np.ndarray]]]]:
+    """(key, ``carried`` by rep of both sides, sets of both sides) of each meeting of two blocks.
 
-    Rows (*keys, side, rep, size, text) come sorted by key; a repeated rep counts once a side.
+    Rows (*keys, side, rep, ``carried``, text) come sorted by key; a repeated rep counts once a side.
     """
     now, sizes, sets = None, [{}, {}], [[], []]
     for batch in batches:
-        for *own, side, rep, size, s in zip(*(batch[c] for c in (*keys, "side", "rep", "size")), shingle_sets(batch["text"])):
+        for *own, side, rep, size, s in zip(*(batch[c] for c in (*keys, "side", "rep", carried)), shingle_sets(batch["text"])):
             if tuple(own) != now:
                 if now is not None:
                     yield now, sizes, sets
@@ -496,24 +509,97 @@ def member_links(texts: DataFrame, stars: DataFrame, open_pairs: DataFrame) -> D
     return found.join(stars.select(F.col("doc_id").alias("rep"), F.col("center").alias("u")), "rep").select("u", "v").distinct()
 
 
-def link_counts(texts: DataFrame, classes: DataFrame) -> DataFrame:
-    """(rep, linked): documents of other classes that link to each class, of ``classes`` (rep, n, component, size).
+def in_size_blocks(rows: DataFrame, group: str, carried: list[str]) -> DataFrame:
+    """(group, rep, *carried, lo, hi, i, j, side) of ``rows`` (group, rep, n, *carried), one for each meeting of two blocks of a group.
 
-    Classes of a component meet in blocks; those of more than STAR_BLOCK only
-    with sizes that may link, which are of the same power of 1.25 or the next.
+    Groups of more than STAR_BLOCK meet only with sizes that may link, which are
+    of the same power of 1.25 or the next.
     """
-    counted = per_group(classes, ["component"], "rep", {"m": ("count", "rep")}).where("m > 1")
+    counted = per_group(rows, [group], "rep", {"m": ("count", "rep")}).where("m > 1")
     banded = counted.withColumn("band", F.when(F.col("m") <= STAR_BLOCK, 0).otherwise(F.floor(F.log(1.25, F.col("n")))).cast("int"))
-    blocks = per_group(banded, ["component", "band"], "rep", {"k": ("count", "rep"), "s": ("sum", "n")}).withColumn("nb", number_of_blocks(F.col("k"), F.col("s")))
-    own = materialize(blocks.select("component", "rep", "size", "m", "band", "nb", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int").alias("own")), "blocks")
-    heads = own.where(F.col("m") > STAR_BLOCK).select("component", "band", "nb").distinct()
+    blocks = per_group(banded, [group, "band"], "rep", {"k": ("count", "rep"), "s": ("sum", "n")}).withColumn("nb", number_of_blocks(F.col("k"), F.col("s")))
+    own = materialize(blocks.select(group, "rep", *carried, "m", "band", "nb", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int").alias("own")), "blocks")
+    heads = own.where(F.col("m") > STAR_BLOCK).select(group, "band", "nb").distinct()
     each = lambda rows, n: rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
-    near = lambda step: attach(own, heads.select("component", (F.col("band") + step).alias("band"), F.col("nb").alias("no")), ["component", "band"], "rep")
-    key = lambda lo, hi, i, j, side: ("component", "rep", "size", lo.alias("lo"), hi.alias("hi"), i.alias("i"), j.alias("j"), side.alias("side"))
+    near = lambda step: attach(own, heads.select(group, (F.col("band") + step).alias("band"), F.col("nb").alias("no")), [group, "band"], "rep")
+    key = lambda lo, hi, i, j, side: (group, "rep", *carried, lo.alias("lo"), hi.alias("hi"), i.alias("i"), j.alias("j"), side.alias("side"))
     band, mine, other = F.col("band"), F.col("own"), F.col("other")
     dealt = each(own, "nb").select(*key(band, band, F.least(mine, other), F.greatest(mine, other), (mine > other).cast("int")))
     dealt = dealt.union(each(near(-1), "no").select(*key(band, band + 1, mine, other, F.lit(0))))
-    dealt = dealt.union(each(near(1), "no").select(*key(band - 1, band, other, mine, F.lit(1))))
+    return dealt.union(each(near(1), "no").select(*key(band - 1, band, other, mine, F.lit(1))))
+
+
+def long_list_groups(entries: DataFrame) -> DataFrame:
+    """(group, center, n, component) of the entries of long lists: what has to meet.
+
+    Lists that share stars are one group where that takes no more comparisons
+    than each of them does, as where a large group of near copies has many lists.
+    """
+    least = entries.groupBy("center").agg(F.min("h").alias("v"))
+    clusters = connected_components(entries.select("center", F.col("h").alias("u")).join(least, "center").select("u", "v").distinct())
+    within = attach(entries, clusters.withColumnRenamed("node", "h").withColumnRenamed("component", "cluster"), ["h"], "center", "left").withColumn("cluster", F.coalesce("cluster", "h"))
+    within = materialize(within, "clusters")
+    alone = within.select("cluster", "h", "m").distinct().groupBy("cluster").agg(F.sum(F.col("m").cast("double") * F.col("m")).alias("alone"))
+    together = within.select("cluster", "center", "n").distinct().groupBy("cluster").agg(F.count(F.lit(1)).cast("double").alias("k"))
+    pooled = alone.join(together, "cluster").select("cluster", (F.col("k") * F.col("k") <= F.col("alone")).alias("pooled"))
+    return attach(within, pooled, ["cluster"], "center").select(F.when(F.col("pooled"), F.col("cluster")).otherwise(F.col("h")).alias("group"), "center", "n", "component").distinct()
+
+
+def long_list_links(texts: DataFrame, entries: DataFrame, stars: DataFrame) -> DataFrame:
+    """(a, b, d, linked) of centres in long lists: links that connect components, and pairs of which members may link.
+
+    ``entries`` have the component that each star is known to be in. All centres
+    of a list are compared, but those of components that a task has found connected.
+    """
+    radius = stars.groupBy("center").agg(F.max("far").alias("far"))
+    rows = long_list_groups(entries).join(radius, "center").select("group", F.col("center").alias("rep"), "n", F.struct("component", "far").alias("star"))
+    keys = ["group", "lo", "hi", "i", "j"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for (_, lo, hi, i, j), stars, sets in in_meetings(batches, keys, "star"):
+            if (lo, i) == (hi, j):
+                stars, sets = [stars[0]] * 2, [sets[0]] * 2
+            if not sets[0] or not sets[1]:
+                continue
+            reps = [np.array(list(x), dtype=np.int64) for x in stars]
+            known = [[x["component"] for x in side.values()] for side in stars]
+            far = [np.array([x["far"] for x in side.values()]) for side in stars]
+            n = [np.array([len(s) for s in side], dtype=np.float64) for side in sets]
+            common, total = common_shingles(*sets), n[0][:, None] + n[1][None]
+            linked, d = 9 * common >= 4 * total, 1 - common / (total - common)
+            root = {c: c for side in known for c in side}
+
+            def find(c: int) -> int:
+                while root[c] != c:
+                    root[c] = c = root[root[c]]
+                return c
+
+            labels = lambda: [np.array([find(c) for c in side], dtype=np.int64) for side in known]
+            apart = lambda x: x[0][:, None] != x[1][None]
+            out = []
+            for x, y in np.argwhere(linked & apart(labels())).tolist():
+                u, v = find(known[0][x]), find(known[1][y])
+                if u != v:
+                    root[max(u, v)] = min(u, v)
+                    out.append((x, y))
+            reach = far[0][:, None] + far[1][None]
+            more = np.argwhere((reach > 0) & (d <= 0.2000001 + reach) & apart(labels()))
+            at = np.concatenate([np.array(out, dtype=np.int64).reshape(-1, 2), more])
+            a, b = reps[0][at[:, 0]], reps[1][at[:, 1]]
+            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "d": d[at[:, 0], at[:, 1]], "linked": np.arange(len(at)) < len(out)})
+
+    dealt = with_texts(in_size_blocks(rows, "group", ["star"]), texts)
+    meeting = dealt.repartition(partitions(texts.sparkSession), *keys).sortWithinPartitions(*keys, "side", "rep")
+    return materialize(meeting.mapInPandas(run, "a long, b long, d double, linked boolean").distinct(), "long")
+
+
+def link_counts(texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """(rep, linked): documents of other classes that link to each class, of ``classes`` (rep, n, component, size).
+
+    Classes of a component meet in blocks; those of more than STAR_BLOCK only
+    with sizes that may link, which are of the same power of 1.25 or the next.
+    """
+    dealt = in_size_blocks(classes, "component", ["size"])
     keys = ["component", "lo", "hi", "i", "j"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -550,14 +636,21 @@ def class_components(texts: DataFrame, classes: DataFrame) -> DataFrame:
     entries = star_lists(index_lists(texts, frequent_shingles(texts)), stars)
     first = compare(texts, neighbours(entries))
     components = connected_components(first.where(_LINKED).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    grouped = attach(entries, components.withColumnRenamed("node", "center"), ["center"], "h", "left").withColumn("component", F.coalesce("component", "center"))
-    pairs = candidate_stars(grouped).join(first.select("a", "b"), ["a", "b"], "left_anti")
-    met = first.unionByName(compare(texts, pairs))
     as_links = lambda found: found.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    placed = lambda rows: attach(rows, components.withColumnRenamed("node", "center"), ["center"], "h", "left").withColumn("component", F.coalesce("component", "center"))
+    lists = materialize(measured_lists(placed(entries)), "measured")
+    long_lists, far = lists.where(F.col("m") > LONG_LIST), None
+    if not long_lists.isEmpty():
+        far = long_list_links(texts, long_lists, stars)
+        components = connected_components(as_links(components).union(far.where("linked").select("a", "b")))
+    pairs = candidate_stars(placed(lists.where(F.col("m") <= LONG_LIST).drop("component", "m"))).join(first.select("a", "b"), ["a", "b"], "left_anti")
+    met = first.unionByName(compare(texts, pairs))
     components = connected_components(as_links(components).union(met.where(_LINKED).select("a", "b")))
 
     known = lambda name: components.select(F.col("node").alias(name), F.col("component").alias(f"c{name}"))
     open_pairs = met.where(f"NOT ({_LINKED})").select("a", "b", F.expr(_DISTANCE).alias("d"))
+    if far is not None:
+        open_pairs = open_pairs.union(far.where("NOT linked").select("a", "b", "d")).distinct()
     open_pairs = open_pairs.join(known("a"), "a", "left").join(known("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b", "d")
     open_pairs = materialize(open_pairs, "open")
     if not open_pairs.isEmpty():
