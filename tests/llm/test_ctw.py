@@ -125,3 +125,19 @@ def test_documents_base_and_blocks_of_any_size(spark, monkeypatch):
     assert ctw.score_documents(docs(spark, [])).count() == 0
     untrained = collected(ctw.score_documents(docs(spark, [(next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2), "ab")])))
     assert all(abs(r.bits_per_byte - 8) < 1e-9 and r.train_tokens == 0 for r in untrained.values())
+
+
+def test_documents_travel_in_pieces(spark):
+    rows = spark.createDataFrame([(d, f"w{d} " * 100_000, False) for d in range(12)], "id long, text string, held_out boolean").coalesce(1)
+    found = ctw.count_chunks(rows, 4).where(f"kind = {ctw.DOCUMENTS}").select("chunk", "part").collect()
+    assert len({r.chunk for r in found}) == 1 and len({r.part for r in found}) == len(found) >= 3
+
+
+def test_a_tally_holds_little_more_than_its_distinct_keys():
+    tally, r, most = ctw.Tally(), np.random.default_rng(1), 0
+    for _ in range(20):
+        key = r.integers(0, 1_000_000, 500_000).astype(np.uint64)
+        tally.add(key, np.ones(len(key)))
+        most = max(most, tally.held)
+    assert most < 3_000_000
+    assert sum(int(c.sum()) for c in tally.counts) == 10_000_000

@@ -206,7 +206,7 @@ class Tally:
     """Distinct keys of a chunk, with the counts that they have in training texts."""
 
     def __init__(self) -> None:
-        self.keys, self.counts, self.held, self.least = [], [], 0, 4_000_000
+        self.keys, self.counts, self.held, self.least = [], [], 0, 2_000_000
 
     def add(self, key: np.ndarray, train: np.ndarray) -> None:
         key, count = _summed(key, train)
@@ -215,7 +215,7 @@ class Tally:
         self.held += len(key)
         if self.held > self.least:
             self._merge()
-            self.least = 2 * self.held + 4_000_000
+            self.least = self.held + self.held // 2 + 1_000_000
 
     def _merge(self) -> None:
         if self.keys:
@@ -249,6 +249,7 @@ def count_chunks(rows: DataFrame, parts: int) -> DataFrame:
     """(kind, part, chunk, data) of ``rows`` (id, text, held_out): each chunk's documents, and its words and pairs by part.
 
     Words and pairs that only held-out texts have are there with count 0.
+    Documents are a row for each piece, with its number as part.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -260,11 +261,11 @@ def count_chunks(rows: DataFrame, parts: int) -> DataFrame:
             chunk = (task << 24) + number
             texts, train = [t for _, _, t in held], np.array([not h for _, h, _ in held], dtype=np.float64)
             words, pairs = Tally(), Tally()
-            for own in pieces(texts):
+            for piece, own in enumerate(pieces(texts)):
+                yield pd.DataFrame({"kind": DOCUMENTS, "part": piece, "chunk": chunk, "data": [zstandard.compress(pickle.dumps(held[own]), 1)]})
                 split = [[*t.split(), END] for t in texts[own]]
                 words.add(word_keys([w for s in split for w in s]), np.repeat(train[own], [len(s) for s in split]))
                 pairs.add(pair_keys(texts[own]), np.repeat(train[own], [len(t) for t in texts[own]]))
-            yield pd.DataFrame({"kind": DOCUMENTS, "part": 0, "chunk": chunk, "data": [zstandard.compress(pickle.dumps(held), 1)]})
             for kind, tally in ((WORDS, words), (PAIRS, pairs)):
                 for part, data in tally.blobs(kind, parts):
                     yield pd.DataFrame({"kind": kind, "part": part, "chunk": chunk, "data": [data]})
@@ -377,10 +378,16 @@ def answer(asked: DataFrame, scored: DataFrame, groups: int) -> DataFrame:
     return met.repartition(partitions(asked.sparkSession), *keys).sortWithinPartitions(*keys, "chunk").mapInPandas(run, _BLOBS)
 
 
-def _looked_up(key: np.ndarray, table: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Values of keys from sorted tables of parts, put together."""
+def _looked_up(kind: int, key: np.ndarray, tables: dict[int, tuple[np.ndarray, np.ndarray]], parts: int) -> np.ndarray:
+    """Values of keys from the sorted tables of their parts, which aren't put together: that takes several times their memory."""
     distinct, where = np.unique(key, return_inverse=True)
-    return table[1][np.searchsorted(table[0], distinct)][where]
+    part = _part_of(kind, distinct, parts).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    values = np.empty(len(distinct), dtype=np.int64 if kind == WORDS else np.float64)
+    for own in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+        keys, found = tables[int(part[own[0]])]
+        values[own] = found[np.searchsorted(keys, distinct[own])]
+    return values[where]
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -395,7 +402,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = partitions(docs.sparkSession)
     rows = identified(docs, id_col).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(id_crc(F.col(id_col)) % 7 == 2, F.lit(False)).alias("held_out"))
     counted = materialize(count_chunks(rows, parts), "chunks")
-    chunks = counted.where(f"kind = {DOCUMENTS}").agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    chunks = counted.where(f"kind = {DOCUMENTS}").agg(F.count_distinct("chunk").alias("n")).first()["n"]
     groups = max(1, math.ceil(chunks / GROUP))
     asked = counted.where(f"kind <> {DOCUMENTS}").withColumn("group", F.pmod(F.xxhash64("chunk"), F.lit(groups)).cast("int"))
     table = materialize(add_up(add_up(asked, ["kind", "part", "group"]), ["kind", "part"]), "table")
@@ -405,30 +412,25 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         chunk, own = None, {}
         for batch in batches:
-            for kind, number, data in zip(batch["kind"], batch["chunk"], batch["data"]):
+            for kind, part, number, data in zip(batch["kind"], batch["part"], batch["chunk"], batch["data"]):
                 if number != chunk:
-                    chunk, own = number, {WORDS: [], PAIRS: []}
+                    chunk, own = number, {WORDS: {}, PAIRS: {}}
                 if kind != DOCUMENTS:
-                    own[kind].append(_unpack(data, np.int64 if kind == WORDS else np.float64))
+                    key, value = _unpack(data, np.int64 if kind == WORDS else np.float64)
+                    own[kind][part] = key, value.copy()  # a view would hold the packed keys too
                     continue
-                tables = {}
-                for x in (WORDS, PAIRS):
-                    key, value = (np.concatenate(y) for y in zip(*own.pop(x)))
-                    order = np.argsort(key, kind="stable")
-                    tables[x] = key[order], value[order]
                 held = pickle.loads(zstandard.decompress(data))
                 texts = [t for _, _, t in held]
-                for at in pieces(texts):
-                    split = [[*t.split(), END] for t in texts[at]]
-                    lengths = np.array([len(t) for t in texts[at]])
-                    tokens = np.array([len(s) for s in split])
-                    c = _looked_up(word_keys([w for s in split for w in s]), tables[WORDS])
-                    first = np.cumsum(tokens) - tokens
-                    score = np.add.reduceat(_looked_up(pair_keys(texts[at]), tables[PAIRS]), np.cumsum(lengths) - lengths)
-                    yield pd.DataFrame({
-                        "id": [d for d, _, _ in held[at]], "held_out": [h for _, h, _ in held[at]], "n_tokens": tokens, "n_known": np.add.reduceat((c > 0).astype(np.int64), first), "train_tokens": n,
-                        "base_score": np.add.reduceat(np.log10((c + 1.0) / (n + v + 1)), first), "score": score, "bits_per_byte": -score / math.log10(2) / lengths,
-                    })
+                split = [[*t.split(), END] for t in texts]
+                lengths = np.array([len(t) for t in texts])
+                tokens = np.array([len(s) for s in split])
+                c = _looked_up(WORDS, word_keys([w for s in split for w in s]), own[WORDS], parts)
+                first = np.cumsum(tokens) - tokens
+                score = np.add.reduceat(_looked_up(PAIRS, pair_keys(texts), own[PAIRS], parts), np.cumsum(lengths) - lengths)
+                yield pd.DataFrame({
+                    "id": [d for d, _, _ in held], "held_out": [h for _, h, _ in held], "n_tokens": tokens, "n_known": np.add.reduceat((c > 0).astype(np.int64), first), "train_tokens": n,
+                    "base_score": np.add.reduceat(np.log10((c + 1.0) / (n + v + 1)), first), "score": score, "bits_per_byte": -score / math.log10(2) / lengths,
+                })
 
     met = answer(asked, scored, groups).unionByName(counted.where(f"kind = {DOCUMENTS}"))
     found = met.repartition(parts, "chunk").sortWithinPartitions("chunk", F.col("kind") == DOCUMENTS, "kind", "part")
