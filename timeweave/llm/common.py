@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timeweave.session import own_folder
 
+#: Bytes of an Arrow batch on its way to a Python worker, where ``small_batches`` holds.
+BATCH_BYTES = 4 << 20
+#: glibc's numbers of M_TRIM_THRESHOLD and M_MMAP_THRESHOLD.
+_TRIM, _MMAP = -1, -3
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -24,6 +31,60 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs within goes to Python in batches of about BATCH_BYTES, one row at least.
+
+    Spark's own limit is 10,000 rows, which are tens of MB of texts or packed
+    tables: they are held several times, in the JVM's buffers beyond its heap
+    and in the worker. Plans take the limit when they run, so what a caller is to
+    run later is written within.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def in_small_batches(function: Callable) -> Callable:
+    """``function`` of a table first, within ``small_batches``."""
+
+    @functools.wraps(function)
+    def run(docs: DataFrame, *args, **kwargs):
+        with small_batches(docs.sparkSession):
+            return function(docs, *args, **kwargs)
+
+    return run
+
+
+def giving_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` of a task, after which its worker, which waits for the next task, gives freed memory back.
+
+    Arrays of 1 MB and more are mapped each; glibc otherwise raises that limit to
+    32 MB as they are freed, and keeps what lies below the last one.
+    """
+
+    @functools.wraps(run)
+    def of_task(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        libc = ctypes.CDLL(None)
+        if mallopt := getattr(libc, "mallopt", None):
+            mallopt(_MMAP, 1 << 20)
+            mallopt(_TRIM, 1 << 20)
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(libc, "malloc_trim", None):
+                trim(0)
+
+    return of_task
+
+
 def partitions(spark: SparkSession) -> int:
     """The number of shuffle partitions, which the cluster sizes to its input."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -26,7 +26,7 @@ from __future__ import annotations
 import math
 import pickle
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timeweave.llm.common import id_crc, identified, materialize, partitions
+from timeweave.llm.common import giving_back, id_crc, identified, in_small_batches, materialize, partitions
 
 DEPTH = 5
 #: Contexts of fewer bytes are on the driver.
@@ -43,6 +43,8 @@ SPLIT = 2
 END = b"\n"
 #: Bytes of text of a chunk, of a piece of it whose pairs are sorted together, and chunks whose counts are added up first.
 CHUNK_BYTES, PIECE_BYTES, GROUP = 32 << 20, 1 << 20, 64
+#: Keys of a part that are unpacked before they are added up.
+HELD_KEYS = 500_000
 DOCUMENTS, WORDS, PAIRS = 0, 1, 2
 _BLOBS = "kind int, part int, chunk long, data binary"
 _U = np.uint64
@@ -145,8 +147,10 @@ class Level:
 
 def _summed(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys with the sums of their counts."""
-    distinct, where = np.unique(key, return_inverse=True)
-    return distinct, np.rint(np.bincount(where, weights=count, minlength=len(distinct))).astype(np.int64)
+    order = np.argsort(key)
+    key, count = key[order], count[order].astype(np.int64)
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, dtype=np.int64)
+    return key[starts], np.add.reduceat(count, starts) if len(key) else count
 
 
 def lower_levels(key: np.ndarray, count: np.ndarray) -> list[Level]:
@@ -190,9 +194,18 @@ def _unpack(blob: bytes, kind: type = np.int64) -> tuple[np.ndarray, np.ndarray]
     return np.cumsum(raw[: len(raw) // 2], dtype=np.uint64), raw[len(raw) // 2 :].view(kind)
 
 
-def _added(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys of packed counts, added up."""
-    keys, counts = zip(*map(_unpack, blobs))
+def _added(blobs: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys of packed counts, added up; no more are unpacked at once than there are distinct ones, or HELD_KEYS."""
+    keys, counts, held, least = [], [], 0, HELD_KEYS
+    for blob in blobs:
+        key, count = _unpack(blob)
+        keys.append(key)
+        counts.append(count)
+        held += len(key)
+        if held > least:
+            key, count = _summed(np.concatenate(keys), np.concatenate(counts))
+            keys, counts, held = [key], [count], len(key)
+            least = held + max(held, HELD_KEYS)
     return _summed(np.concatenate(keys), np.concatenate(counts))
 
 
@@ -281,7 +294,7 @@ def count_chunks(rows: DataFrame, parts: int) -> DataFrame:
         if held:
             yield from blobs(held)
 
-    return rows.mapInPandas(run, _BLOBS)
+    return rows.mapInPandas(giving_back(run), _BLOBS)
 
 
 def _grouped(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, list[tuple[int, bytes]]]]:
@@ -306,7 +319,7 @@ def add_up(blobs: DataFrame, keys: list[str]) -> DataFrame:
             yield pd.DataFrame({c: [x] for c, x in zip(keys, key)} | {"chunk": 0, "data": [_pack(*_added([data for _, data in rows]))]})
 
     dealt = blobs.repartition(partitions(blobs.sparkSession), *keys).sortWithinPartitions(*keys)
-    return dealt.select(*keys, "chunk", "data").mapInPandas(run, ", ".join(f"{c} int" for c in keys) + ", chunk long, data binary")
+    return dealt.select(*keys, "chunk", "data").mapInPandas(giving_back(run), ", ".join(f"{c} int" for c in keys) + ", chunk long, data binary")
 
 
 def learn_upper(table: DataFrame) -> list[Level]:
@@ -326,7 +339,7 @@ def learn_upper(table: DataFrame) -> list[Level]:
         found = [(0, k, v, 0.0) for k, v in top.items()] + [(1, k, 0, v) for k, v in below.items()]
         yield pd.DataFrame(found, columns=["kind", "k", "n", "below"])
 
-    rows = table.mapInPandas(run, "kind int, k long, n long, below double").groupBy("kind", "k").agg(F.sum("n").alias("n"), F.sum("below").alias("below")).toPandas().sort_values(["kind", "k"])
+    rows = table.mapInPandas(giving_back(run), "kind int, k long, n long, below double").groupBy("kind", "k").agg(F.sum("n").alias("n"), F.sum("below").alias("below")).toPandas().sort_values(["kind", "k"])
     top, below = rows[rows["kind"] == 0], rows[rows["kind"] == 1]
     as_key = lambda x: x["k"].to_numpy(np.int64).astype(np.uint64)
     return upper_levels(as_key(top), top["n"].to_numpy(np.int64), as_key(below), below["below"].to_numpy(np.float64))
@@ -340,7 +353,7 @@ def word_totals(table: DataFrame) -> tuple[int, int]:
             counts = [_unpack(data)[1] for data in batch["data"]]
             yield pd.DataFrame({"n": [int(c.sum()) for c in counts], "v": [int((c > 0).sum()) for c in counts]})
 
-    row = table.mapInPandas(run, "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
+    row = table.mapInPandas(giving_back(run), "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
     return int(row["n"]), int(row["v"])
 
 
@@ -356,7 +369,7 @@ def score_table(table: DataFrame, upper: list[Level]) -> DataFrame:
                     data = _pack(key, log_probabilities(key, shared.value, lower_levels(key, count)))
                 yield pd.DataFrame({"kind": kind, "part": part, "chunk": chunk, "data": [data]})
 
-    return table.select("kind", "part", "chunk", "data").mapInPandas(run, _BLOBS)
+    return table.select("kind", "part", "chunk", "data").mapInPandas(giving_back(run), _BLOBS)
 
 
 def answer(asked: DataFrame, scored: DataFrame, groups: int) -> DataFrame:
@@ -375,7 +388,7 @@ def answer(asked: DataFrame, scored: DataFrame, groups: int) -> DataFrame:
                     yield pd.DataFrame({"kind": kind, "part": part, "chunk": chunk, "data": [_pack(own, value[np.searchsorted(key, own)])]})
 
     met = copies.select(*keys, "chunk", "data").unionByName(asked.select(*keys, "chunk", "data"))
-    return met.repartition(partitions(asked.sparkSession), *keys).sortWithinPartitions(*keys, "chunk").mapInPandas(run, _BLOBS)
+    return met.repartition(partitions(asked.sparkSession), *keys).sortWithinPartitions(*keys, "chunk").mapInPandas(giving_back(run), _BLOBS)
 
 
 def _looked_up(kind: int, key: np.ndarray, tables: dict[int, tuple[np.ndarray, np.ndarray]], parts: int) -> np.ndarray:
@@ -390,6 +403,7 @@ def _looked_up(kind: int, key: np.ndarray, tables: dict[int, tuple[np.ndarray, n
     return values[where]
 
 
+@in_small_batches
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every document with an id.
 
@@ -434,4 +448,5 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     met = answer(asked, scored, groups).unionByName(counted.where(f"kind = {DOCUMENTS}"))
     found = met.repartition(parts, "chunk").sortWithinPartitions("chunk", F.col("kind") == DOCUMENTS, "kind", "part")
-    return found.mapInPandas(judge, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double").withColumnRenamed("id", id_col)
+    scores = found.mapInPandas(giving_back(judge), "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
+    return materialize(scores, "scores").withColumnRenamed("id", id_col)
