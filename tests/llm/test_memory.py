@@ -2,7 +2,7 @@ import numpy as np
 import pandas as pd
 
 from tests.llm.helpers import docs
-from timeweave.llm import common, ctw
+from timeweave.llm import common, ctw, jaccard_join
 
 LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -57,3 +57,40 @@ def test_a_parts_counts_are_added_up_as_they_come(monkeypatch):
     assert max(longest) <= 600
     assert got.tolist() == sorted([3 * k for k in range(90)] + [3 * k + 1 for k in range(90)])
     assert counts[::2].tolist() == [sum(range(0, 60, 2))] * 90 and counts[1::2].tolist() == [sum(range(1, 60, 2))] * 90
+
+
+def near_copies():
+    words = [f"w{i}" for i in range(60)]
+    return [(i, " ".join(words[: 60 - i % 3] + [f"own{i // 12}"])) for i in range(48)]
+
+
+def test_near_copies_meet_in_small_batches(spark, monkeypatch):
+    table = docs(spark, near_copies())
+    seen = limits_of(spark, monkeypatch, jaccard_join, lambda: jaccard_join.jaccard_components(table))
+    assert {"sets", "classes", "linked"} <= seen.keys()
+    seen |= limits_of(spark, monkeypatch, jaccard_join, lambda: jaccard_join.keep_one_of_each(table))
+    assert set(seen.values()) == {str(common.BATCH_BYTES)}
+
+
+def test_index_lists_do_not_depend_on_what_is_packed_together(spark, monkeypatch):
+    texts = docs(spark, near_copies()).select("doc_id", "text")
+    none = np.zeros((2, 0), dtype=np.uint64)
+    found = lambda: sorted(map(tuple, jaccard_join.index_lists(texts, none).collect()))
+    whole = found()
+    monkeypatch.setattr(jaccard_join, "HELD_ENTRIES", 20)
+    assert whole and found() == whole
+
+
+def test_pairs_are_added_up_in_place():
+    draw = np.random.default_rng(3)
+    parts = []
+    for n in (0, 50, 400):
+        part = np.zeros(n, dtype=jaccard_join._PAIR)
+        for c, most in zip(jaccard_join._PAIR.names, (9, 9, 5, 40)):
+            part[c] = draw.integers(0, most, n)
+        parts.append(part)
+    expected = pd.concat([pd.DataFrame(p) for p in parts]).groupby(["a", "b"], as_index=False).agg(shared=("shared", "sum"), least=("least", "min"))
+    got = jaccard_join.added_pairs(parts)
+    assert pd.DataFrame(got).to_numpy().tolist() == expected.to_numpy().tolist()
+    assert not parts and len(jaccard_join.added_pairs([got[:0]])) == 0
+    assert [len(f) for f in jaccard_join._in_frames(got, 30)] == [30] * (len(got) // 30) + [len(got) % 30] * (len(got) % 30 > 0)

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from timeweave.llm.common import attach, materialize, partitions, per_group
+from timeweave.llm.common import attach, giving_back, in_small_batches, materialize, partitions, per_group
 from timeweave.llm.components import connected_components
 
 WORDS = 5
@@ -54,6 +54,8 @@ ORDER_SAMPLE, ORDER_LEAST, ORDER_MOST = 32, 3, 200_000
 STAR_BLOCK, LIST_BLOCK = 400, 1500
 #: Entries of a list above which its stars meet as sets.
 LONG_LIST = 64
+#: Index entries that a task packs together.
+HELD_ENTRIES = 400_000
 #: Pairs of stars that a task holds to add them up.
 HELD_PAIRS = 1_000_000
 #: Shingles of the sets of one block, one set at least.
@@ -140,7 +142,7 @@ def features(docs: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[at : at + len(sets)].to_numpy(), "n": n, "ka": ka, "kb": kb, "mh": mh})
                 at += len(sets)
 
-    return docs.mapInPandas(run, "doc_id long, n long, ka long, kb long, mh long")
+    return docs.mapInPandas(giving_back(run), "doc_id long, n long, ka long, kb long, mh long")
 
 
 _COMPARED = "a long, b long, common long, na long, nb long"
@@ -181,7 +183,7 @@ def compare(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["a", "b", "common", "na", "nb"])
 
     meeting = anchors.unionByName(members).repartition(partitions(docs.sparkSession), "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    return materialize(meeting.mapInPandas(run, _COMPARED).distinct(), "compared")
+    return materialize(meeting.mapInPandas(giving_back(run), _COMPARED).distinct(), "compared")
 
 
 _LINKED = "9 * common >= 4 * (na + nb)"
@@ -198,7 +200,7 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
                 yield pd.DataFrame({"h": _i64(values), "n": counts})
 
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(ORDER_SAMPLE)) == 0)
-    counted = sample.mapInPandas(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= ORDER_LEAST)
+    counted = sample.mapInPandas(giving_back(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= ORDER_LEAST)
     rows = counted.orderBy(F.col("n").desc(), "h").limit(ORDER_MOST).collect()
     hashes = np.array([r["h"] for r in rows], dtype=np.int64).view(np.uint64)
     rank = np.argsort(np.argsort([(r["n"]) for r in rows], kind="stable"), kind="stable") if rows else np.zeros(0, dtype=np.int64)
@@ -231,15 +233,23 @@ _ENTRY = np.dtype([("h", "<u8"), ("ka", "<i8"), ("n", "<u4"), ("at", "<u4")])
 def index_lists(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     """(h, ka, n, at): entries of lists with more than one class; ``at`` is the place of h in the class's set.
 
-    Entries travel packed, a blob for each batch and list partition; a class is
-    put in once a batch, however many documents it has.
+    Entries travel packed, a blob for each HELD_ENTRIES and list partition; a
+    class is put in once among these, however many documents it has.
     """
     n = partitions(docs.sparkSession)
     table = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def packed(parts: list[np.ndarray]) -> pd.DataFrame:
+            entries = np.concatenate(parts)
+            where = (mix(entries["h"], 21) % _U(n)).astype(np.int64)
+            order = np.argsort(where, kind="stable")
+            entries, where = entries[order], where[order]
+            starts = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
+            return pd.DataFrame({"part": where[starts].astype(np.int32), "data": [x.tobytes() for x in np.split(entries, starts[1:])]})
+
+        seen, parts, held = set(), [], 0
         for batch in batches:
-            seen, parts = set(), []
             for sets in _parts(shingle_sets(batch["text"])):
                 keys, fresh = _class_keys(sets)[1].tolist(), []
                 for s, key in zip(sets, keys):
@@ -253,13 +263,12 @@ def index_lists(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                     entries["ka"], entries["n"] = (np.repeat(np.array(x), [len(p) for p in first]) for x in ([key for _, key in fresh], [len(s) for s, _ in fresh]))
                     entries["at"] = np.concatenate([np.arange(len(p)) for p in first])
                     parts.append(entries)
-            if parts:
-                entries = np.concatenate(parts)
-                where = (mix(entries["h"], 21) % _U(n)).astype(np.int64)
-                order = np.argsort(where, kind="stable")
-                entries, where = entries[order], where[order]
-                starts = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
-                yield pd.DataFrame({"part": where[starts].astype(np.int32), "data": [x.tobytes() for x in np.split(entries, starts[1:])]})
+                    held += len(entries)
+                if held >= HELD_ENTRIES:
+                    yield packed(parts)
+                    seen, parts, held = set(), [], 0
+        if parts:
+            yield packed(parts)
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def lists(blobs: list[bytes]) -> Iterator[pd.DataFrame]:
@@ -283,8 +292,8 @@ def index_lists(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
         if blobs:
             yield from lists(blobs)
 
-    packed = docs.mapInPandas(emit, "part int, data binary").repartition(n, "part").sortWithinPartitions("part")
-    return packed.mapInPandas(gather, "h long, ka long, n long, at long")
+    packed = docs.mapInPandas(giving_back(emit), "part int, data binary").repartition(n, "part").sortWithinPartitions("part")
+    return packed.mapInPandas(giving_back(gather), "h long, ka long, n long, at long")
 
 
 def least_shared(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -365,6 +374,29 @@ def neighbours(entries: DataFrame) -> DataFrame:
     return counted.where("shared >= 2 + n DIV 50").select("a", "b")
 
 
+_PAIR = np.dtype([("a", "<i8"), ("b", "<i8"), ("shared", "<i4"), ("least", "<i4")])
+
+
+def added_pairs(parts: list[np.ndarray]) -> np.ndarray:
+    """Pairs (a, b, shared, least) of all parts once each, with the sum of ``shared`` and the smallest ``least``; the parts are used up."""
+    pairs = np.concatenate(parts)
+    parts.clear()
+    if not len(pairs):
+        return pairs
+    pairs = pairs[np.lexsort((pairs["b"], pairs["a"]))]
+    starts = np.flatnonzero(np.r_[True, (pairs["a"][1:] != pairs["a"][:-1]) | (pairs["b"][1:] != pairs["b"][:-1])])
+    shared, least = np.add.reduceat(pairs["shared"], starts), np.minimum.reduceat(pairs["least"], starts)
+    pairs = pairs[starts]
+    pairs["shared"], pairs["least"] = shared, least
+    return pairs
+
+
+def _in_frames(pairs: np.ndarray, most: int = 100_000) -> Iterator[pd.DataFrame]:
+    """``pairs`` as frames of at most ``most`` rows."""
+    for at in range(0, len(pairs), most):
+        yield pd.DataFrame({c: pairs[c][at : at + most].astype(np.int64) for c in _PAIR.names})
+
+
 def candidate_stars(entries: DataFrame) -> DataFrame:
     """(a, b): pairs of stars, not connected yet, whose members share index lists enough to link.
 
@@ -375,14 +407,10 @@ def candidate_stars(entries: DataFrame) -> DataFrame:
     key, columns = ["h", "i", "j"], ["center", "component", "n", "at"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def counted(rows: np.ndarray) -> pd.DataFrame:
+        def counted(rows: np.ndarray) -> np.ndarray:
             lists = np.cumsum(np.r_[0, (rows[1:, :3] != rows[:-1, :3]).any(axis=1)])
             a, b, least = list_pairs(lists, *rows[:, 3:].T)
-            starts = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, dtype=np.int64)
-            return pd.DataFrame({"a": a[starts], "b": b[starts], "shared": np.diff(np.r_[starts, len(a)]), "least": np.minimum.reduceat(least, starts) if len(a) else least})
-
-        def merged(frames: list[pd.DataFrame]) -> pd.DataFrame:
-            return pd.concat(frames).groupby(["a", "b"], as_index=False).agg(shared=("shared", "sum"), least=("least", "min"))
+            return added_pairs([np.rec.fromarrays([a, b, np.ones(len(a)), least], dtype=_PAIR)])
 
         # A pair is in many lists: a task adds its pairs up before they leave it, HELD_PAIRS at a time.
         held, found, size, bound = np.zeros((0, 7), dtype=np.int64), [], 0, HELD_PAIRS
@@ -394,19 +422,20 @@ def candidate_stars(entries: DataFrame) -> DataFrame:
                 found.append(counted(held[:last]))
                 held, size = held[last:], size + len(found[-1])
             if size > bound:
-                found = [merged(found)]
+                found = [added_pairs(found)]
                 size = len(found[0])
                 bound = size + HELD_PAIRS
                 if size > 2 * HELD_PAIRS:
-                    yield found[0]
+                    yield from _in_frames(found[0])
                     found, size, bound = [], 0, HELD_PAIRS
         if len(held):
             found.append(counted(held))
         if found:
-            yield merged(found)
+            found = added_pairs(found)
+            yield from _in_frames(found)
 
     n = partitions(entries.sparkSession)
-    pairs = rows.repartition(n, *key).sortWithinPartitions(*key, "n", "at").mapInPandas(run, "a long, b long, shared long, least long")
+    pairs = rows.repartition(n, *key).sortWithinPartitions(*key, "n", "at").mapInPandas(giving_back(run), "a long, b long, shared long, least long")
     return pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("least").alias("least")).where("shared >= least").select("a", "b")
 
 
@@ -505,7 +534,7 @@ def member_links(texts: DataFrame, stars: DataFrame, open_pairs: DataFrame) -> D
 
     dealt = with_texts(placed.select("host", block(0), block(1), "side", "rep", F.lit(1).alias("size")), texts)
     meeting = dealt.repartition(partitions(texts.sparkSession), *keys).sortWithinPartitions(*keys, "side", "rep")
-    found = meeting.mapInPandas(run, "rep long, v long").distinct()
+    found = meeting.mapInPandas(giving_back(run), "rep long, v long").distinct()
     return found.join(stars.select(F.col("doc_id").alias("rep"), F.col("center").alias("u")), "rep").select("u", "v").distinct()
 
 
@@ -590,7 +619,7 @@ def long_list_links(texts: DataFrame, entries: DataFrame, stars: DataFrame) -> D
 
     dealt = with_texts(in_size_blocks(rows, "group", ["star"]), texts)
     meeting = dealt.repartition(partitions(texts.sparkSession), *keys).sortWithinPartitions(*keys, "side", "rep")
-    return materialize(meeting.mapInPandas(run, "a long, b long, d double, linked boolean").distinct(), "long")
+    return materialize(meeting.mapInPandas(giving_back(run), "a long, b long, d double, linked boolean").distinct(), "long")
 
 
 def link_counts(texts: DataFrame, classes: DataFrame) -> DataFrame:
@@ -614,7 +643,7 @@ def link_counts(texts: DataFrame, classes: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"rep": reps[0] + reps[1], "linked": np.r_[met @ size[1], met.T @ size[0]]}).astype("int64")
 
     meeting = with_texts(dealt, texts).repartition(partitions(texts.sparkSession), *keys).sortWithinPartitions(*keys, "side", "rep")
-    return meeting.mapInPandas(run, "rep long, linked long").groupBy("rep").agg(F.sum("linked").alias("linked"))
+    return meeting.mapInPandas(giving_back(run), "rep long, linked long").groupBy("rep").agg(F.sum("linked").alias("linked"))
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -660,6 +689,7 @@ def class_components(texts: DataFrame, classes: DataFrame) -> DataFrame:
     return attach(stars.select(F.col("doc_id").alias("rep"), "n", "center"), components.withColumnRenamed("node", "center"), ["center"], "rep", "left").select("rep", "n", F.coalesce("component", "center").alias("component"))
 
 
+@in_small_batches
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, n_links) of every document with an id.
 
@@ -674,12 +704,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts, sets, classes = _classes(docs, id_col, text_col)
     documents = classes.select("doc_id", "rep").distinct()
     sized = materialize(class_components(texts, classes).join(documents.groupBy("rep").agg(F.count(F.lit(1)).alias("size")), "rep"), "sized")
-    counted = sized.join(link_counts(texts, sized), "rep", "left").select("rep", F.col("component").alias("component_id"), (F.col("size") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    counted = sized.join(materialize(link_counts(texts, sized), "linked"), "rep", "left").select("rep", F.col("component").alias("component_id"), (F.col("size") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
     of_class = attach(documents, counted, ["rep"], "doc_id").select(F.col("doc_id").alias("_id"), "component_id", "n_links")
     out = sets.join(of_class, F.col("doc_id") == F.col("_id"), "left")
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+@in_small_batches
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are the smallest of their component, with all their columns.
 
