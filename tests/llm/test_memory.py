@@ -2,7 +2,7 @@ import numpy as np
 import pandas as pd
 
 from tests.llm.helpers import docs
-from timeweave.llm import common, ctw, jaccard_join
+from timeweave.llm import common, ctw, jaccard_join, language_id, packing, secret_scan
 
 LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -94,3 +94,22 @@ def test_pairs_are_added_up_in_place():
     assert pd.DataFrame(got).to_numpy().tolist() == expected.to_numpy().tolist()
     assert not parts and len(jaccard_join.added_pairs([got[:0]])) == 0
     assert [len(f) for f in jaccard_join._in_frames(got, 30)] == [30] * (len(got) // 30) + [len(got) % 30] * (len(got) % 30 > 0)
+
+
+def test_workers_of_the_pipeline_give_memory_back(spark, monkeypatch):
+    import public_tokenizers
+
+    kind, tasks = type(spark.range(0)), []
+    plain = kind.mapInPandas
+
+    def noted(self, function, *args, **kwargs):
+        tasks.append(function)
+        return plain(self, function, *args, **kwargs)
+
+    monkeypatch.setattr(kind, "mapInPandas", noted)
+    table = docs(spark, [(i, f"plain words of row {i}", "en") for i in range(20)])
+    language_id.keep_identified(table)
+    secret_scan.redact(table)
+    packing.best_fit_packing(table, public_tokenizers.path("word_bpe_49k.json"))
+    assert len(tasks) >= 4
+    assert [f for f in tasks if not hasattr(f, "__wrapped__")] == []

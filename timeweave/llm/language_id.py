@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from timeweave.llm.common import id_crc, identified, materialize
+from timeweave.llm.common import giving_back, id_crc, identified, materialize
 
 #: The bounded sample: labelled documents a language, whole texts of so many characters at most.
 SAMPLE_DOCS, SAMPLE_LONGEST = 20, 6_000
@@ -229,7 +229,7 @@ def language_id(docs: DataFrame, samples: dict[str, str], id_col: str = "doc_id"
             yield pd.DataFrame({"id": batch["id"], "lang_pred": lang, "score": score, "phrases_per_letter": rate})
 
     rows = identified(docs, id_col).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInPandas(run, "id long, lang_pred string, score double, phrases_per_letter double").withColumnRenamed("id", id_col)
+    return rows.mapInPandas(giving_back(run), "id long, lang_pred string, score double, phrases_per_letter double").withColumnRenamed("id", id_col)
 
 
 def _may_train(id_col: str) -> Column:
@@ -262,7 +262,7 @@ def prose_excess(docs: DataFrame, samples: dict[str, str], id_col: str = "doc_id
             yield pd.DataFrame({"id": batch["id"], "labelled": batch["labelled"], "letters": letters, "length": length, "excess": (least - words) / np.maximum(1, letters)})
 
     rows = identified(docs, id_col).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (_may_train(id_col) & F.col(lang_col).isNotNull()).alias("labelled"))
-    return rows.mapInPandas(run, "id long, labelled boolean, letters long, length int, excess double")
+    return rows.mapInPandas(giving_back(run), "id long, labelled boolean, letters long, length int, excess double")
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from timeweave.llm.common import identified, materialize, partitions
+from timeweave.llm.common import giving_back, identified, materialize, partitions
 
 #: Distinct words whose ids a worker remembers, over all its tasks.
 CACHE_WORDS = 1_200_000
@@ -125,7 +125,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
                         out.append((doc_id, piece, start // 4, len(own) // 4, zlib.crc32(own), *([own] if with_ids else [])))
                 yield pd.DataFrame(out, columns=[c.split()[0] for c in columns.split(", ")])
 
-    return identified(docs, id_col).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(run, columns)
+    return identified(docs, id_col).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(giving_back(run), columns)
 
 
 def reduce_by_dominance(counts: dict[int, int], capacity: int) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
@@ -326,7 +326,7 @@ def pack(rows: DataFrame, capacity: int = 4096) -> DataFrame:
             nth = rank - own[:, 1]
             yield batch.drop(columns="rank").assign(sequence_id=own[:, 3] + nth // own[:, 2], offset=own[:, 4] + nth % own[:, 2] * length)
 
-    return ranked(rows).select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInPandas(run, columns)
+    return ranked(rows).select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInPandas(giving_back(run), columns)
 
 
 def best_fit_packing(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

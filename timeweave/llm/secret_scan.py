@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timeweave.llm.common import attach, identified, materialize
+from timeweave.llm.common import attach, giving_back, identified, materialize
 
 #: Base kinds, in the order in which equal starts are listed, and those that the scan adds.
 BASE_KINDS = ("assign", "access", "hex")
@@ -97,7 +97,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
             yield pd.DataFrame(out, columns=[c.split()[0] for c in columns.split(", ")])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return identified(docs, id_col).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInPandas(run, columns)
+    return identified(docs, id_col).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInPandas(giving_back(run), columns)
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
