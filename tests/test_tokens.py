@@ -30,3 +30,17 @@ def test_tokens_about_the_length_from_which_they_meet_at_pieces(spark):
     want = {(a, b) for a in words for b in words if a < b and (n := min(len(a), len(b))) > 4 and distance(a, b) <= (1 if n <= 7 else 2)}
     got = near_tokens(spark.createDataFrame([(w,) for w in words], "w string")).collect()
     assert len(got) == len(want) and {tuple(x) for x in got} == want and len(want) > 100
+
+
+def test_what_is_left_of_tokens_is_not_sent_to_the_driver(spark, tmp_path):
+    from timeweave.operators.alignment import MOST_LEFT_OUT, near_tokens
+
+    r = random.Random(6)
+    words = {"".join(r.choice("abcd") for _ in range(r.choice([6, 9, MOST_LEFT_OUT + 4]))) for _ in range(200)}
+    words |= {w[:-1] + "z" for w in words}
+    spark.createDataFrame([(w,) for w in words], "w string").write.parquet(f"{tmp_path}/words")
+    found = near_tokens(spark.read.parquet(f"{tmp_path}/words"))
+    got = {tuple(x) for x in found.collect()}
+    assert all((min(w, o), max(w, o)) in got for w in words if (o := w[:-1] + "z") != w)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

@@ -166,6 +166,9 @@ def near_tokens(tokens: DataFrame) -> DataFrame:
     each, and meet there. Long ones meet at a piece: of the limit + 1 pieces of the
     shorter token one is in the other as it is, moved by the limit at most. Tokens
     of up to four characters match only themselves.
+
+    A token has hundreds of rests, of which Spark's estimate knows nothing, so joins
+    are by merging: a small table would be sent to the driver with all its rests.
     """
     n = F.length("w")
     cut = lambda k: F.floor(k * F.col("len") / 3).cast("int")
@@ -173,7 +176,8 @@ def near_tokens(tokens: DataFrame) -> DataFrame:
 
     def meet(rows: DataFrame, edits: int) -> DataFrame:
         kept = rows.select("w", F.explode(left_out(F.col("w"), edits)).alias("rest"))
-        return kept.join(kept.withColumnRenamed("w", "o"), "rest").where("w < o").select(F.col("w").alias("a"), F.col("o").alias("b"))
+        met = kept.alias("l").hint("merge").join(kept.alias("r"), F.col("l.rest") == F.col("r.rest"))  # the sides are alike, and shuffled once
+        return met.where("l.w < r.w").select(F.col("l.w").alias("a"), F.col("r.w").alias("b"))
 
     short = meet(tokens.where(n.between(5, 8)), 1).where("least(length(a), length(b)) <= 7")
     middle = meet(tokens.where(n.between(8, MOST_LEFT_OUT + 2)), 2)
@@ -182,5 +186,5 @@ def near_tokens(tokens: DataFrame) -> DataFrame:
     others = split(long.select(F.col("w").alias("o"), F.explode(F.sequence(F.greatest(F.lit(MOST_LEFT_OUT + 1), n - 2), n)).alias("len")))
     others = others.withColumn("shift", F.explode(F.sequence(F.lit(-2), F.lit(2)))).withColumn("at", F.col("at") + F.col("shift")).where("at >= 0 AND at + size <= length(o)")
     probes = others.select("o", "len", "k", F.substring("o", F.col("at") + 1, F.col("size")).alias("piece")).distinct()
-    far = pieces.join(probes, ["len", "k", "piece"]).where("w <> o").select(F.least("w", "o").alias("a"), F.greatest("w", "o").alias("b"))
+    far = pieces.hint("merge").join(probes, ["len", "k", "piece"]).where("w <> o").select(F.least("w", "o").alias("a"), F.greatest("w", "o").alias("b"))
     return short.unionByName(middle).unionByName(far).distinct().where(X.tokens_match(F.col("a"), F.col("b")))
